@@ -76,7 +76,7 @@ def weigh(per_source: DataFrame, max_repeats: float | None = 2.0, min_entropy: f
     out = raw.withColumn("weight", F.col("weight") / F.lit(z or 1.0))
     size = budget if budget is not None else (top[0] * z / top[1] if top and top[1] else 0.0)
     target = F.when(F.col("n_tokens") > 0, F.floor(F.col("weight") * size + 0.5)).otherwise(0).cast("long")
-    passes = F.when(F.col("n_tokens") > 0, F.floor(F.col("target") / F.col("n_tokens"))).otherwise(1).cast("long")
+    passes = F.when(F.col("n_tokens") > 0, F.floor(F.try_divide("target", "n_tokens"))).otherwise(1).cast("long")
     return out.withColumn("target", target).withColumn("passes", passes).withColumn("rest", F.when(F.col("n_tokens") > 0, F.col("target") - F.col("passes") * F.col("n_tokens")).otherwise(0).cast("long"))
 
 
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, max_repeats: float | None
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("epoch") == F.col("_epoch")) & (F.col("cell") == F.col("_cell"))).withColumn("_start", F.col("_before") + F.col("_inside"))
     kept = placed.filter((F.col("epoch") < F.col("passes")) | (F.col("_start") < F.col("rest")))
     at = F.col("epoch") * F.col("_all") + F.col("_start")
-    kept = kept.withColumn("block", F.coalesce(F.floor(at / (F.col("weight") * block_tokens)), F.lit(0)).cast("long"))
+    kept = kept.withColumn("block", F.coalesce(F.floor(F.try_divide(at, F.col("weight") * block_tokens)), F.lit(0)).cast("long"))
     slot = F.row_number().over(Window.partitionBy("block").orderBy(permuted(seed + 1, F.col("doc_id"), F.col("epoch")), "doc_id", "epoch")).cast("long") - 1
     return kept.select("doc_id", "source", "n_tokens", "epoch", "place", "block", slot.alias("slot")), sources
 
