@@ -14,82 +14,62 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 400_000
-
-
-class RankQueue:
-    """Positions by rank. Three levels of 64-way bitmaps tell which ranks have positions; the lowest set bit of each
-    level leads to the lowest rank. Within a rank the leftmost position comes first. Entries are never removed early:
-    the reader skips those that have become stale."""
-
-    __slots__ = ("top", "mid", "low", "buckets")
-
-    def __init__(self):
-        self.top, self.mid, self.low, self.buckets = 0, {}, {}, {}
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [pos]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-            self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, pos)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        m = self.mid[b]
-        a = b << 6 | (m & -m).bit_length() - 1
-        x = self.low[a]
-        rank = a << 6 | (x & -x).bit_length() - 1
-        bucket = self.buckets[rank]
-        pos = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] = x & x - 1
-            if not self.low[a]:
-                self.mid[b] = m & m - 1
-                if not self.mid[b]:
-                    self.top &= self.top - 1
-        return rank, pos
+REMEMBERED = 800_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the lowest-ranked pair merges first, the leftmost of equals."""
-    known = ranks.get(piece)
-    if known is not None:
+    """Ids of one pre-token: the lowest-ranked pair merges first, the leftmost of equals.
+
+    The queue of pairs has a bucket of positions for each merge rank, and a bitmap of two levels over the ranks: a bit
+    of top for each word of low that isn't zero, a bit of low for each rank that has positions. The lowest set bits lead
+    to the next rank. Entries are never taken out early; one whose pair has changed since is skipped.
+    """
+    rank_of = ranks.get
+    if (known := rank_of(piece)) is not None:
         return [known]
     n = len(piece)
-    end = list(range(1, n + 1))  # of the part that begins here; 0 once it has been merged away
-    before = list(range(-1, n - 1))
-    pair: list[int | None] = [None] * n
-    queue = RankQueue()
-
-    def offer(i: int) -> None:
-        j = end[i]
-        r = ranks.get(piece[i : end[j]]) if j < n else None
-        pair[i] = r
-        if r is not None:
-            queue.push(r, i)
-
-    for i in range(n - 1):
-        offer(i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
-        if not end[i] or pair[i] != rank:
-            continue
+    end = list(range(1, n + 2))  # of the part that begins here
+    before = list(range(-1, n))
+    pair = [-1] * (n + 1)  # the rank of the pair that begins here
+    top, low, buckets = 0, {}, {}
+    again = range(n - 1)
+    while True:
+        for i in again:
+            j = end[i]
+            if i < 0 or j >= n:
+                continue
+            r = rank_of(piece[i : end[j]])
+            if r is None:
+                pair[i] = -1
+                continue
+            pair[i] = r
+            if (bucket := buckets.get(r)) is None:
+                buckets[r] = [i]
+                a = r >> 6
+                low[a] = low.get(a, 0) | 1 << (r & 63)
+                top |= 1 << a
+            else:
+                heappush(bucket, i)
+        while top:
+            a = (top & -top).bit_length() - 1
+            x = low[a]
+            r = a << 6 | (x & -x).bit_length() - 1
+            bucket = buckets[r]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[r]
+                low[a] = x = x & x - 1
+                if not x:
+                    top &= top - 1
+            if pair[i] == r:
+                break
+        else:
+            break
         j = end[i]
-        end[i], end[j] = end[j], 0
-        pair[j] = None
-        if end[i] < n:
-            before[end[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        end[i] = k = end[j]
+        pair[i] = pair[j] = -1
+        before[k] = i
+        again = (i, before[i])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -110,7 +90,7 @@ class Codec(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= 32:
             self[piece] = ids
         return ids
 
