@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, quality, sharding
+from . import bpe, chat, media, mixing, pii, quality, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
@@ -36,5 +44,5 @@ def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_avi(table(spark, sf_dir, "documents")).withColumn("feature", media.feature()).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op6_quality_rules, op7_byte_bpe, op8_chat_format, op10_media_clips)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op10_media_clips)}
 ORACLE = {"op8_chat_format": chat.DIGEST_SQL}
