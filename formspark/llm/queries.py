@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, pii, quality, sharding, toxicity
+from . import bpe, chat, media, mixing, pii, quality, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_avi(table(spark, sf_dir, "documents")).withColumn("feature", media.feature()).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op10_media_clips)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op10_media_clips)}
 ORACLE = {"op8_chat_format": chat.DIGEST_SQL}
