@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, pii, quality, sharding, suffixes, toxicity
+from . import bpe, chat, media, mixing, near, pii, quality, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -44,9 +44,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_avi(table(spark, sf_dir, "documents")).withColumn("feature", media.feature()).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op10_media_clips)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op9_ngram_join, op10_media_clips)}
 ORACLE = {"op8_chat_format": chat.DIGEST_SQL}
