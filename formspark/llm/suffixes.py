@@ -4,11 +4,12 @@ A suffix matters here by its first `length` bytes only, and equal strings of tha
 string of that length has an anchor: its position with the least hash of a short gram, so equal strings have their
 anchors at equal offsets. Suffixes that share an anchor and nearly its offset form a block, and are sorted twice:
 
-1. Blocks, by two tokens: the fingerprint of the bytes that all suffixes of the block share, then of all its bytes. Two
-   blocks without an equal first token hold no equal suffixes; two that agree in both tokens hold the same ones.
-2. The suffixes of blocks that agree in the first token only, one by one, by the fingerprints of their two halves.
+1. Blocks of up to 128 suffixes, by two tokens: the fingerprint of the bytes that all suffixes of the block share, then
+   of all its bytes. Blocks without an equal first token hold no equal suffixes; two that agree in both hold the same.
+2. Blocks that agree in the first token only, in parts of up to 32 suffixes that carry the few bytes around what they
+   share, so that the bucket that sorts them compares their suffixes one by one.
 
-Either sort range-partitions by sampled splitters over the tokens (ties are split by position, so a very frequent string
+Each sort range-partitions by sampled splitters over the tokens (ties are split by position, so a very frequent string
 spreads over many buckets), sorts each bucket by multikey quicksort, and compares neighbours, also across boundaries.
 """
 
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut, partitions
+from .common import partitions, stored
 
 GRAM = 16
-BLOCK = 128
+BLOCK, PART = 128, 32
 _POS_BITS = np.uint64(28)
-ROW = "tok0 long, tok1 long, doc_id long, h int, pos int, n int"
-NAMES = ["tok0", "tok1", "doc_id", "h", "pos", "n"]
+ROW = "tok0 long, tok1 long, doc_id long, h int, pos int, span int"
+NAMES = ["tok0", "tok1", "doc_id", "h", "pos", "span"]
+#: span: successive suffixes from pos, plus so many times the distance from pos to their anchor.
+SPAN = 1024
 SETTLED, OPEN, EDGE = 0, 1, 2
 
 
@@ -70,27 +73,28 @@ def anchors(data: np.ndarray, prints: ta.Prints, length: int) -> np.ndarray:
     return (np.minimum(tail[:m], head[w - 1 : w - 1 + m]) & ((np.uint64(1) << _POS_BITS) - np.uint64(1))).astype(np.int64)
 
 
-def find_blocks(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Text, first position in it, number of suffixes and the two tokens of each block."""
+def blocks_of(prints: ta.Prints, p: np.ndarray, a: np.ndarray, doc: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
+    """Suffixes p of texts doc with anchors a, in order -> blocks: text, first and last suffix, anchor, start of the
+    shared bytes, and the two tokens."""
+    j = (a - p) // size
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (j[1:] != j[:-1]) | (doc[1:] != doc[:-1]) | (p[1:] != p[:-1] + 1))))
+    a, j, doc, first, final = a[new], j[new], doc[new], p[new], p[np.concatenate((new[1:], [len(p)])) - 1]
+    core = a - size * j
+    tok0 = prints.of(core, core + length - size + 1) + j.astype(np.uint64)
+    tok1 = prints.of(first, final + length) + ta.mix64((a - first).astype(np.uint64))
+    return doc, first, final, a, core, tok0.view(np.int64), tok1.view(np.int64)
+
+
+def all_suffixes(data: np.ndarray, offs: np.ndarray, prints: ta.Prints, length: int) -> tuple[np.ndarray, ...]:
+    """Every suffix of at least `length` bytes: place, anchor, text."""
     if len(data) < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
-    prints = ta.Prints(data)
+        return z, z, z
     anchor = anchors(data, prints, length)
     p = np.arange(len(anchor))
     doc = np.searchsorted(offs, p, "right") - 1
-    p = p[p + length <= offs[doc + 1]]
-    if not len(p):
-        return p, p, p, p, p
-    a, doc = anchor[p], doc[p]
-    j = (a - p) // BLOCK
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (j[1:] != j[:-1]) | (doc[1:] != doc[:-1]))))
-    last = np.concatenate((new[1:], [len(p)])) - 1
-    a, j, doc, first, final = a[new], j[new], doc[new], p[new], p[last]
-    core = a - BLOCK * j
-    tok0 = prints.of(core, core + length - BLOCK + 1) + j.astype(np.uint64)
-    tok1 = prints.of(first, final + length) + ta.mix64((a - first).astype(np.uint64))
-    return doc, first - offs[doc], final - first + 1, tok0.view(np.int64), tok1.view(np.int64)
+    fits = p + length <= offs[doc + 1]
+    return p[fits], anchor[fits], doc[fits]
 
 
 def _batches(cols: list[np.ndarray], names: list[str], types: list, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -109,34 +113,85 @@ def _block_rows(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.chunks(batches):
             ids, h = _ids(batch)
-            doc, pos, n, tok0, tok1 = find_blocks(*ta.as_bytes(batch.column(2)), length)
-            yield from _batches([tok0, tok1, ids[doc], h[doc], pos, n], NAMES, _TYPES)
+            data, offs = ta.as_bytes(batch.column(2))
+            prints = ta.Prints(data)
+            p, a, doc = all_suffixes(data, offs, prints, length)
+            if len(p):
+                doc, first, final, a, _, tok0, tok1 = blocks_of(prints, p, a, doc, length, BLOCK)
+                yield from _batches([tok0, tok1, ids[doc], h[doc], first - offs[doc], (a - first) * SPAN + final - first + 1], NAMES, _TYPES)
 
     return run
 
 
-def _suffix_rows(length: int) -> Callable:
-    """Rows of doc_id, h, text and its open blocks -> one row for each of their suffixes."""
+PARTS = ROW + ", left binary, right binary"
+
+
+def _part_rows(length: int) -> Callable:
+    """Rows of doc_id, h, text and its open blocks -> the parts of these blocks, with the bytes on either side of what
+    the suffixes of a part share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.chunks(batches, limit=1 << 20):
             ids, h = _ids(batch)
             data, offs = ta.as_bytes(batch.column(2))
-            prints, spans = ta.Prints(data), batch.column(3)
+            spans = batch.column(3)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(spans.offsets)))
             flat = spans.flatten()
-            pos, n = np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), np.int64)
-            start = np.repeat(pos - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            doc = np.repeat(doc, n)
-            both = np.unique(np.stack((doc, start)), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-            doc, start = both[0], both[1]
-            at = start + offs[doc]
-            tok0, tok1 = prints.of(at, at + length // 2).view(np.int64), prints.of(at + length // 2, at + length).view(np.int64)
-            yield from _batches([tok0, tok1, ids[doc], h[doc], start, np.ones(len(doc), np.int32)], NAMES, _TYPES)
+            pos, span = np.asarray(flat.field(0), np.int64) + offs[doc], np.asarray(flat.field(1), np.int64)
+            order = np.argsort(pos, kind="stable")
+            pos, span, doc = pos[order], span[order], doc[order]
+            n = span % SPAN
+            p = np.repeat(pos - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            if not len(p):
+                continue
+            prints = ta.Prints(data)
+            doc, first, final, a, core, tok0, tok1 = blocks_of(prints, p, np.repeat(pos + span // SPAN, n), np.repeat(doc, n), length, PART)
+            end = core + length - PART + 1
+            raw = data.tobytes()
+            left = [raw[x:y] for x, y in zip(first.tolist(), core.tolist())]
+            right = [raw[x:y] for x, y in zip(end.tolist(), (final + length).tolist())]
+            cols = [tok0, tok1, ids[doc], h[doc], first - offs[doc], (a - first) * SPAN + final - first + 1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, _TYPES)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], [*NAMES, "left", "right"])
 
     return run
 
 
+def _part_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts a bucket of parts and compares, within each run of equal shared bytes, suffix by suffix: SETTLED spans.
+    The suffixes of the first and the last run are told one by one (EDGE), since their runs may go on elsewhere."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
+    del parts
+    order = multikey_quicksort([np.asarray(t.column(k)) for k in range(2)])
+    t = t.take(pa.array(order)).combine_chunks()
+    tok0, _, ids, h, pos, span = (np.asarray(t.column(k)) for k in range(6))
+    run = np.cumsum(np.concatenate(([False], tok0[1:] != tok0[:-1])))
+    alone = np.bincount(run)[run] == 1
+    edge = (run == 0) | (run == run[-1])
+    keep = np.flatnonzero(~alone | edge)
+    left, right = (t.column(k).take(pa.array(keep)).combine_chunks() for k in (6, 7))
+    data, offs = ta.as_bytes(pa.chunked_array([left, right]).combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
+    prints, m, n = ta.Prints(data), len(keep), span[keep] % SPAN
+    row = np.repeat(np.arange(m), n)
+    k = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    x = (span[keep] // SPAN)[row] % PART - k  # bytes of the suffix before the shared ones
+    own = prints.of(offs[1:][row] - x, offs[1:][row])
+    far = offs[m:][row]
+    tok1 = ta.mix64(own * np.uint64(3) + prints.of(far, far + PART - 1 - x) + x.astype(np.uint64))
+    twice, _ = ta.repeats(ta.mix64(tok1 ^ ta.mix64(run[keep][row].astype(np.uint64))))
+    begin = np.flatnonzero(twice & ~(np.concatenate(([False], twice[:-1])) & (k > 0)))
+    stop = np.flatnonzero(twice & ~(np.concatenate((twice[1:], [False])) & (np.concatenate((k[1:], [0])) > 0))) if len(k) else begin
+    at = keep[row[begin]]
+    names, types = ["kind", *NAMES], [pa.int32(), *_TYPES]
+    z = np.zeros(len(at), np.int64)
+    yield from _batches([np.full(len(at), SETTLED, np.int32), z, z, ids[at], h[at], pos[at] + k[begin], stop - begin + 1], names, types)
+    out = np.flatnonzero(edge[keep][row])
+    at = keep[row[out]]
+    yield from _batches([np.full(len(at), EDGE, np.int32), tok0[at], tok1[out].view(np.int64), ids[at], h[at], pos[at] + k[out], np.ones(len(at), np.int32)], names, types)
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts a bucket and tells for its rows what their neighbours tell: SETTLED rows agree with another in both tokens,
     OPEN rows stand for those that agree with others in the first token only, EDGE rows are the first and the last."""
@@ -162,13 +217,15 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches([np.full(len(at), EDGE, np.int32), *(c[at] for c in cols)], ["kind", *NAMES], [pa.int32(), *_TYPES])
 
 
+BY = ["tok0", "tok1", "doc_id", "h", "pos"]
+
+
 def neighbours(rows: DataFrame) -> DataFrame:
-    """kind (SETTLED or OPEN), doc_id, h, pos, n of the rows that agree with others. A row may be told twice."""
-    n = partitions(rows)
-    sorted_ = cut(rows.repartitionByRange(n, "tok0", "tok1", "doc_id", "h", "pos").mapInArrow(_bucket, "kind int, " + ROW))
+    """kind (SETTLED or OPEN), doc_id, h, pos, span of the rows that agree with others. A row may be told twice."""
+    sorted_ = stored(rows.repartitionByRange(partitions(rows), *BY).mapInArrow(_bucket, "kind int, " + ROW))
     # across boundaries: two rows of each bucket
     edges = sorted_.filter(F.col("kind") == EDGE).distinct()
-    own = ["doc_id", "h", "pos", "n"]
+    own = ["doc_id", "h", "pos", "span"]
     held = edges.groupBy("tok0", "tok1").agg(F.count("*").alias("c1"), F.collect_list(F.struct(*own)).alias("rows"))
     met = held.groupBy("tok0").agg(F.sum("c1").alias("c0"), F.collect_list(F.struct("c1", "rows")).alias("held")).filter("c0 > 1")
     met = met.select(F.explode("held").alias("x")).select("x.c1", F.explode("x.rows").alias("r")).select("c1", "r.*")
@@ -181,12 +238,18 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     docs: doc_id, h, text.
     """
-    found = cut(neighbours(docs.mapInArrow(_block_rows(length), ROW)))
-    is_open = F.struct("pos", "n")
-    opened = found.filter(F.col("kind") == OPEN).groupBy("doc_id", "h").agg(F.collect_set(is_open).alias("open"))
-    texts = docs.join(opened.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "open")
-    alone = neighbours(texts.mapInArrow(_suffix_rows(length), ROW))
-    return found.filter(F.col("kind") == SETTLED).unionByName(alone.filter(F.col("kind") == SETTLED)).groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    if length <= BLOCK + GRAM:
+        raise ValueError(f"strings of more than {BLOCK + GRAM} bytes only")
+    found = neighbours(docs.mapInArrow(_block_rows(length), ROW))
+    opened = found.filter(F.col("kind") == OPEN).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("pos", "span")).alias("open"))
+    texts = docs.join(opened, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "open")
+    parts = stored(texts.mapInArrow(_part_rows(length), PARTS).repartitionByRange(partitions(docs), *BY).mapInArrow(_part_bucket, "kind int, " + ROW))
+    settled = F.col("kind") == SETTLED
+    across = neighbours(parts.filter(F.col("kind") == EDGE).drop("kind"))
+    spans = found.filter(settled).select("doc_id", "h", "pos", (F.col("span") % SPAN).alias("n"))
+    for more in (parts, across):
+        spans = spans.unionByName(more.filter(settled).select("doc_id", "h", "pos", F.col("span").alias("n")))
+    return spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
 def _cut_out(length: int) -> Callable:
