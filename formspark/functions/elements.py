@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns, marks that count as set, words of dropdown labels.
 CHECKBOXES = (r"\[([\sxX])\]", r"\(([\sxX])\)", r"(☐|☑|✓)", r"(□|■)")
@@ -63,7 +64,7 @@ def element_counts(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id").agg(kind("checkbox"), kind("radio"), kind("dropdown"), F.count("*").alias("total_elements"))
 
 
-@F.udtf(returnType="type string, checked boolean, label string, line int")
+@F.udtf(returnType=T.StructType().add("type", "string").add("checked", "boolean").add("label", "string").add("line", "integer"))
 class FormElements:
     """The marks of one text, for LATERAL use in SQL after spark.udtf.register."""
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..sources.tables import ALIASES, BEST, PROVIDERS
 
@@ -100,7 +101,7 @@ def merge_info(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def field_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts; 0 where the second is empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y).ratio() if y else 0.0 for x, y in zip(a, b)])

@@ -11,7 +11,7 @@ from ..functions.scalars import attempt_score, mode_score, round_at
 def best_by(attempts: DataFrame, score: Column, keys: tuple[str, ...] = ("form_id", "page")) -> DataFrame:
     """The row of the highest score of each group; the first attempt wins ties. Failed attempts don't take part."""
     ok = attempts.filter(F.col("error").isNull()) if "error" in attempts.columns else attempts
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "attempt_ord")
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "attempt_ord", "provider")
     return ok.withColumn("score", score).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
