@@ -4,6 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A form as text: labels, and between bars the column that fills them in.
+RENDERED = """\
+Student Name: |n_name| Kumar
+DOB: 0|cast(1 + c_custkey % 9 AS string)|/11/20|cast(10 + c_custkey % 10 AS string)
+Gender: |CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'F' END
+Category: |CASE c_custkey % 4 WHEN 0 THEN 'obc' ELSE 'General' END
+Nationality: |n_name
+Religion: |r_name
+Aadhar No: |lpad(cast(c_custkey AS string), 12, '1')
+Blood Group: AB+
+Permanent Address: |cast(c_custkey AS string)| High Street, |n_name
+Pincode: |lpad(cast(c_custkey AS string), 6, '5')
+City: |r_name
+State: |n_name
+Phone: +91 |lpad(cast(c_custkey AS string), 10, '9')
+Alternate Phone: |lpad(cast(c_custkey AS string), 10, '8')
+Email: |lower(replace(c_name, '#', '.'))|@Mail.Example.COM
+Emergency Contact: Ann |n_name
+Emergency Phone: 080-|lpad(cast(c_custkey AS string), 8, '2')
+Father: Bob |r_name
+Father Occupation: Clerk
+Father Phone: 9|lpad(cast(c_custkey AS string), 9, '7')
+Mother: Eve |r_name
+Mother Occupation: Nurse
+Mother Phone: 8|lpad(cast(c_custkey AS string), 9, '6')
+Guardian: Sam |r_name
+Guardian Relation: Uncle
+Guardian Phone: 7|lpad(cast(c_custkey AS string), 9, '4')
+Annual Income: |cast(c_custkey * 1000 AS string)
+10th Board: CBSE
+10th Year: 2016
+10th Percentage: |cast(c_custkey % 120 AS string)|.5
+10th School: |n_name| School, Main
+12th Board: ICSE
+12th Year: 2018
+12th Percentage: 88
+12th School: St. |n_name
+Qualification: Diploma
+Graduation: BSc |n_name
+Course: |c_mktsegment
+Application No: APP-|cast(c_custkey AS string)
+Roll No: R/|cast(c_custkey AS string)
+Admission Date: 01.07.2019"""
+
 SQL = {
     "forms": """
 SELECT o_orderkey AS id, concat('form_', cast(o_orderkey AS string), CASE o_orderkey % 5 WHEN 0 THEN '_SRCC.pdf' WHEN 1 THEN ' Data Form.PNG' WHEN 2 THEN '.exe' ELSE '.jpg' END) AS filename,
@@ -27,16 +71,10 @@ FROM lineitem""",
     "form_pages": """
 SELECT conv_id AS form_id, cast(turn + 1 AS int) AS page, CASE WHEN turn % 5 = 3 THEN '' ELSE text END AS raw_text, cast((length(text) * 7) % 1000 AS double) / 10 AS confidence, role AS provider FROM conversations""",
     "attempts": """
-SELECT l_orderkey AS form_id, 1 + l_linenumber % 2 AS page, l_linenumber AS attempt_ord, CASE l_suppkey % 4 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'google' WHEN 2 THEN 'aws-textract' ELSE 'abbyy' END AS provider,
+SELECT l_orderkey AS form_id, 1 + l_linenumber % 2 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS attempt_ord, CASE l_suppkey % 4 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'google' WHEN 2 THEN 'aws-textract' ELSE 'abbyy' END AS provider,
   p_name AS raw_text, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_quantity * 2 END AS confidence, CASE WHEN l_linenumber % 6 = 5 THEN 'Invalid image' END AS error
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "rendered": """
-SELECT c_custkey AS id, concat('Student Name: ', n_name, ' Kumar', chr(10), 'DOB: 0', cast(1 + c_custkey % 9 AS string), '/11/20', cast(10 + c_custkey % 10 AS string), ', chr(10), 'Gender: ', CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'F' END,
-  ', chr(10), 'Category: ', CASE c_custkey % 4 WHEN 0 THEN 'obc' ELSE 'General' END, ', chr(10), 'Nationality: ', n_name, ', chr(10), 'Religion: ', r_name, ', chr(10), 'Aadhar No: ', lpad(cast(c_custkey AS string), 12, '1'), ', chr(10), 'Blood Group: AB+', chr(10), 'Permanent Address: ', cast(c_custkey AS string), ' High Street, ', n_name,
-  ', chr(10), 'Pincode: ', lpad(cast(c_custkey AS string), 6, '5'), ', chr(10), 'City: ', r_name, ', chr(10), 'State: ', n_name, ', chr(10), 'Phone: +91 ', lpad(cast(c_custkey AS string), 10, '9'), ', chr(10), 'Alternate Phone: ', lpad(cast(c_custkey AS string), 10, '8'), ', chr(10), 'Email: ', lower(replace(c_name, '#', '.')), '@Mail.Example.COM',
-  ', chr(10), 'Emergency Contact: Ann ', n_name, ', chr(10), 'Emergency Phone: 080-', lpad(cast(c_custkey AS string), 8, '2'), ', chr(10), 'Father: Bob ', r_name, ', chr(10), 'Father Occupation: Clerk', chr(10), 'Father Phone: 9', lpad(cast(c_custkey AS string), 9, '7'), ', chr(10), 'Mother: Eve ', r_name, ', chr(10), 'Mother Occupation: Nurse', chr(10), 'Mother Phone: 8', lpad(cast(c_custkey AS string), 9, '6'),
-  ', chr(10), 'Guardian: Sam ', r_name, ', chr(10), 'Guardian Relation: Uncle', chr(10), 'Guardian Phone: 7', lpad(cast(c_custkey AS string), 9, '4'), ', chr(10), 'Annual Income: ', cast(c_custkey * 1000 AS string), ', chr(10), '10th Board: CBSE', chr(10), '10th Year: 2016', chr(10), '10th Percentage: ', cast(c_custkey % 120 AS string), '.5', chr(10), '10th School: ', n_name, ' School, Main',
-  ', chr(10), '12th Board: ICSE', chr(10), '12th Year: 2018', chr(10), '12th Percentage: 88', chr(10), '12th School: St. ', n_name, ', chr(10), 'Qualification: Diploma', chr(10), 'Graduation: BSc ', n_name, ', chr(10), 'Course: ', c_mktsegment, ', chr(10), 'Application No: APP-', cast(c_custkey AS string), ', chr(10), 'Roll No: R/', cast(c_custkey AS string), ', chr(10), 'Admission Date: 01.07.2019') AS raw_text
+    "rendered": "SELECT c_custkey AS id, concat(" + ", chr(10), ".join(", ".join(p if k % 2 else f"'{p}'" for k, p in enumerate(line.split("|")) if p) for line in RENDERED.splitlines()) + """) AS raw_text
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")

@@ -82,9 +82,9 @@ query("dashboard", "SELECT count(*) AS total, count(*) FILTER (status = 'verifie
 # Attempts and pages
 _BEST = "(SELECT *, row_number() OVER (PARTITION BY form_id, page ORDER BY confidence * (1 + length(trim(raw_text)) / 1000.0::double) DESC NULLS LAST, attempt_ord, provider) AS rn FROM attempts WHERE error IS NULL)"
 query("best_attempt", f"SELECT form_id, page, attempt_ord, provider FROM {_BEST} WHERE rn = 1", "attempts")(lambda a: attempts.best_attempt(a).select("form_id", "page", "attempt_ord", "provider"))
-query("best_or_error", f"SELECT form_id, page, provider, NULL AS error FROM {_BEST} WHERE rn = 1 UNION ALL SELECT form_id, page, arg_min(provider, attempt_ord), min(error) FROM attempts GROUP BY form_id, page HAVING count(*) FILTER (error IS NULL) = 0", "attempts")(lambda a: attempts.best_attempt(a, "error").select("form_id", "page", "provider", "error"))
+query("best_or_error", f"SELECT form_id, page, provider, NULL AS error FROM {_BEST} WHERE rn = 1 UNION ALL SELECT form_id, page, arg_min(provider, (attempt_ord, provider)), min(error) FROM attempts GROUP BY form_id, page HAVING count(*) FILTER (error IS NULL) = 0", "attempts")(lambda a: attempts.best_attempt(a, "error").select("form_id", "page", "provider", "error"))
 query("best_mode", "SELECT form_id, page, attempt_ord FROM (SELECT *, row_number() OVER (PARTITION BY form_id, page ORDER BY confidence * (1 + word_count / 100.0::double) DESC NULLS LAST, attempt_ord, provider) AS rn FROM (SELECT *, length(raw_text) % 17 AS word_count FROM attempts WHERE error IS NULL)) WHERE rn = 1", "attempts")(lambda a: attempts.best_mode(a.withColumn("word_count", F.char_length("raw_text") % 17)).select("form_id", "page", "attempt_ord"))
-query("attempt_list", "SELECT form_id, page, list(attempt_ord ORDER BY attempt_ord) AS ords, list(length(raw_text) ORDER BY attempt_ord) AS lengths FROM attempts WHERE error IS NULL GROUP BY form_id, page", "attempts")(lambda a: attempts.attempt_list(a).select("form_id", "page", F.col("attempts.attempt_ord").alias("ords"), F.col("attempts.text_length").alias("lengths")))
+query("attempt_list", "SELECT form_id, page, list(attempt_ord ORDER BY attempt_ord) AS ords, list(length(raw_text) ORDER BY attempt_ord, provider, confidence NULLS FIRST, length(raw_text)) AS lengths FROM attempts WHERE error IS NULL GROUP BY form_id, page", "attempts")(lambda a: attempts.attempt_list(a).select("form_id", "page", F.col("attempts.attempt_ord").alias("ords"), F.col("attempts.text_length").alias("lengths")))
 query("all_attempts", f"SELECT a.form_id, a.page, n AS n_providers, b.provider AS best_provider FROM (SELECT form_id, page, count(DISTINCT provider) AS n FROM attempts WHERE error IS NULL GROUP BY form_id, page) a JOIN {_BEST} b ON a.form_id = b.form_id AND a.page = b.page AND rn = 1", "attempts")(lambda a: attempts.all_attempts(a).select("form_id", "page", F.size("results").alias("n_providers"), "best_provider"))
 _PAGES = "string_agg(chr(10) || '--- Page ' || page || ' ---' || chr(10) || raw_text, chr(10) ORDER BY page) FILTER (trim(raw_text) <> '')"
 for _m, _conf, _cnt in (("upload", "avg(confidence) FILTER (trim(raw_text) <> '' AND confidence <> 0)", "count(*)"), ("eval", "avg(confidence)", "count(*)")):
@@ -191,7 +191,7 @@ query("sla_breaches", "SELECT id FROM forms WHERE status = 'extracted' AND uploa
 query("expired_uploads", "SELECT id FROM forms WHERE upload_date < timestamp '1996-12-02 00:00:00'", "forms")(lambda f: evaluate.expired_uploads(f, F.expr("timestamp_ntz'1997-01-01 00:00:00'")).select("id"))
 query("needs_review", "SELECT form_id, page FROM form_pages WHERE CASE WHEN confidence <= 1 THEN confidence * 100 ELSE confidence END < 80", "form_pages")(lambda p: evaluate.needs_review(p).select("form_id", "page"))
 query("qc_sample", "SELECT id FROM forms WHERE status = 'verified' AND ('0x' || substr(md5(cast(id AS string)), 1, 6))::bigint % 100 < 7", "forms")(lambda f: evaluate.qc_sample(f, 7).select("id"))
-query("cost_report", f"SELECT CASE provider WHEN 'google' THEN 'google-vision' ELSE provider END AS canonical, count(*) AS pages, {rounded('sum(CASE provider WHEN ''google'' THEN 0.0015 WHEN ''aws-textract'' THEN 0.0015 WHEN ''abbyy'' THEN 0.01 ELSE 0.0 END::double)'.replace(chr(39) * 2, chr(39)), 4)} AS estimated_cost FROM attempts GROUP BY 1", "attempts")(lambda a: evaluate.cost_report(a, tables.provider_dim(a.sparkSession)))
+query("cost_report", "SELECT canonical, count(*) AS pages, cast(round(cast(sum(price) AS decimal(20,10)), 4) AS double) AS estimated_cost FROM (SELECT CASE provider WHEN 'google' THEN 'google-vision' ELSE provider END AS canonical, cast(CASE provider WHEN 'google' THEN 0.0015 WHEN 'aws-textract' THEN 0.0015 WHEN 'abbyy' THEN 0.01 ELSE 0 END AS double) AS price FROM attempts) x GROUP BY canonical", "attempts")(lambda a: evaluate.cost_report(a, tables.provider_dim(a.sparkSession)))
 query("impute_confidence", "SELECT form_id, attempt_ord, coalesce(confidence, CASE provider WHEN 'google' THEN 95.0 WHEN 'aws-textract' THEN 85.0 WHEN 'abbyy' THEN 90.0 END)::double AS confidence FROM attempts", "attempts")(lambda a: evaluate.impute_confidence(a, tables.provider_dim(a.sparkSession)).select("form_id", "attempt_ord", "confidence"))
 query("union_reports", "SELECT id, 'a' AS report FROM forms WHERE id % 2 = 0 UNION ALL SELECT id, 'b' FROM forms WHERE id % 2 = 1", "forms")(lambda f: f.filter("id % 2 = 0").select("id", F.lit("a").alias("report")).unionByName(f.filter("id % 2 = 1").select("id", F.lit("b").alias("report"))))
 
