@@ -13,7 +13,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens whose ids a worker remembers; when full, it starts anew.
+from . import text_arrays as ta
+
+#: Pre-tokens whose ids a worker remembers (some 250 bytes each); when full, it starts anew.
 REMEMBERED = 800_000
 
 
@@ -80,14 +82,15 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec(dict):
     """Pre-token -> its ids as little-endian 32-bit integers."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, remembered: int):
         super().__init__()
+        self.remembered = remembered
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.bytes = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) <= 32:
@@ -101,12 +104,12 @@ class Codec(dict):
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=2)
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+@functools.lru_cache(maxsize=1)
+def codec(rank_file: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(rank_file, pattern, remembered)
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each text, with the ids themselves on request.
 
     rank_path: a rank file of a few MB at most, read by the driver and broadcast. Null and empty texts have no tokens.
@@ -116,8 +119,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shipped.value, pattern)
-        for batch in batches:
+        c = codec(shipped.value, pattern, remembered)
+        for batch in ta.chunks(batches):
             n, coded, ids_sha, text_sha, texts = [], [], [], [], batch.column(1)
             for i in range(batch.num_rows):
                 ids = c.encode(texts[i].as_py() or "")
