@@ -112,7 +112,7 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
     s, d = text[start:end], _digits(text[start:end])
     before = text[max(0, start - 40) : start].lower()
     shape = bool(_STRICT[kind].fullmatch(s))
-    valid = (s.count(".") > 0 or "dot" in s.lower(), True, luhn(d), 10 <= len(d) <= 15, len(set(s)) >= 8, d[:3] not in ("000", "666") and d[0] != "9")[kind] if s else False
+    valid = (s.count(".") > 0 or "dot" in s.lower(), True, luhn(d), 10 <= len(d) <= 15, len(set(s)) >= 8, d[:3] not in ("000", "666") and d[:1] != "9")[kind] if s else False
     listed = (s.rpartition(".")[2].lower() in TOP_DOMAINS, d[:1] != "0", d.startswith(ISSUERS), s[:1] == "+" and d.startswith(CALLING_CODES), None, None)[kind]
     near = 1 if any(w in before for w in NEAR[KINDS[kind]]) else -1 if any(w in before for w in NOT_NEAR) else 0
     edge = not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
