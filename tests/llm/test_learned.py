@@ -34,6 +34,7 @@ def test_base_spans_equal_the_patterns():
     for t in ("a@b.c@d.e", "4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "+1 (907) 555-1190.", "0001.2.3.4", "é x.y@z.co"):
         assert pii.base_spans(t) == brute_base(t)
     pii.base_spans("a" * 200000 + "@" + "1" * 200000)  # in linear time
+    assert pii.base_spans("0" * 6000 + "1.2.3.4") == [(0, 1, 6007)]
 
 
 def test_private_spans(spark):
