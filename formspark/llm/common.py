@@ -36,3 +36,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no columns of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"{n}_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

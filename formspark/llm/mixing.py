@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 #: High bits of the permutation hash: each source and pass is ordered in so many independent pieces.
 CELL_BITS = 12
@@ -108,10 +108,14 @@ def mix(docs: DataFrame, tokens: Column | None = None, max_repeats: float | None
 
 
 def mix_rows(docs: DataFrame, max_repeats: float | None = 2.0, seed: int = 42) -> DataFrame:
-    """docs with each row as often as the mix has it; only a table of one row a source is joined to the texts."""
+    """docs with each row as often as the mix has it; only a table of one row a source is joined to the texts.
+
+    Rows that share a doc_id (or have none) and a source are repeated alike. All columns of docs stay as they are.
+    """
+    own, count, stop, copy = free(docs, "_source", "_passes", "_end", "_n")
     mixed, sources = mix(docs, max_repeats=max_repeats, seed=seed)
     last = mixed.groupBy("source").agg(F.max(F.struct("epoch", "place")).alias("last"))
-    ends = sources.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.when((F.col("rest") > 0) & (F.col("last.epoch") == F.col("passes")), F.col("last.place")).alias("_end"))
-    ends = cut(ends)
-    n = F.col("_passes").cast("int") + F.coalesce((permuted(seed, F.col("_passes").cast("int"), F.col("doc_id")) <= F.col("_end")).cast("int"), F.lit(0))
-    return docs.join(ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_n", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    end = F.when((F.col("rest") > 0) & (F.col("last.epoch") == F.col("passes")), F.col("last.place"))
+    ends = cut(sources.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias(own), F.col("passes").cast("int").alias(count), end.alias(stop)))
+    n = F.col(count) + F.coalesce((permuted(seed, F.col(count), F.col("doc_id")) <= F.col(stop)).cast("int"), F.lit(0))
+    return docs.join(ends, F.col("source").eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).drop(own, count, stop, copy)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut, partitions
+from .common import cut, free, partitions
 from .graph import components
 
 _U = np.uint64
@@ -244,6 +244,8 @@ def join_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose class has a lesser doc_id. Rows without doc_id stay."""
-    gone = join_similar(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """docs without those whose class has a lesser doc_id. Rows without doc_id stay; rows that share one stay or go
+    together. All columns of docs stay as they are."""
+    (other,) = free(docs, "_id")
+    gone = join_similar(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
