@@ -20,21 +20,25 @@ KEYWORDS = ("select", "choose", "option", "category", "type", "gender", "status"
 SCHEMA = "doc_id long, type string, checked boolean, label string, value string, line int, position int"
 
 
+def marks(text: str | None, patterns: tuple[re.Pattern[str], ...], on: frozenset[str], context_lines: int) -> Iterator[tuple[bool, str, int, int]]:
+    """checked, label, line from 1 and position of each mark; a mark at a line's end is labelled by a line that follows."""
+    lines = (text or "").split("\n")
+    for i, line in enumerate(lines):
+        for p in patterns:
+            for m in p.finditer(line):
+                below = (x.strip() for x in lines[i + 1 : i + 1 + context_lines])
+                label = line[m.end() :].strip() or next(filter(None, below), "")
+                if label:
+                    yield m[1].lower() in on, label, i + 1, m.start()
+
+
 def marked(df: DataFrame, kind: str, patterns: tuple[str, ...], on: frozenset[str], context_lines: int) -> DataFrame:
     """Marks of every line, with their places. Rows: doc_id and text; the work is per line, in Arrow batches."""
-    compiled = [re.compile(p) for p in patterns]
+    compiled = tuple(re.compile(p) for p in patterns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for doc, text in zip(part["doc_id"], part["text"]):
-                lines = (text or "").split("\n")
-                for i, line in enumerate(lines):
-                    for p in compiled:
-                        for m in p.finditer(line):
-                            label = line[m.end() :].strip() or next((x for x in (y.strip() for y in lines[i + 1 : i + 1 + context_lines]) if x), "")
-                            if label:
-                                rows.append((doc, kind, m[1].lower() in on, label, None, i + 1, m.start()))
+            rows = [(doc, kind, set_, label, None, line, at) for doc, text in zip(part["doc_id"], part["text"]) for set_, label, line, at in marks(text, compiled, on, context_lines)]
             yield pd.DataFrame(rows, columns=["doc_id", "type", "checked", "label", "value", "line", "position"])
 
     return df.select("doc_id", "text").mapInPandas(run, SCHEMA)
@@ -69,10 +73,6 @@ class FormElements:
     """The marks of one text, for LATERAL use in SQL after spark.udtf.register."""
 
     def eval(self, text: str):
-        lines = (text or "").split("\n")
         for kind, patterns, on in (("checkbox", CHECKBOXES, CHECKED), ("radio", RADIOS, SELECTED)):
-            for i, line in enumerate(lines):
-                for p in patterns:
-                    for m in re.finditer(p, line):
-                        if line[m.end() :].strip():
-                            yield kind, m[1].lower() in on, line[m.end() :].strip(), i + 1
+            for checked, label, line, _ in marks(text, tuple(map(re.compile, patterns)), on, 2):
+                yield kind, checked, label, line

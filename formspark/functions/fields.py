@@ -142,6 +142,14 @@ def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec
     return df.withColumns(out).drop("_text", "_low", *cleaned)
 
 
+def validation_report(forms: DataFrame, key: str = "id", specs: tuple[FieldSpec, ...] = SPECS) -> DataFrame:
+    """key, field and value of every filled field that fails its check as it stands."""
+    own = [s for s in specs if s.name in forms.columns]
+    bad = lambda s: F.nullif(F.trim(s.name), F.lit("")).isNotNull() & ~F.coalesce(is_valid(F.col(s.name), s.check), F.lit(False))
+    found = F.array_compact(F.array(*[F.when(bad(s), F.struct(F.lit(s.name).alias("field"), F.col(s.name).alias("value"))) for s in own]))
+    return forms.select(key, F.explode(found).alias("f")).select(key, "f.field", "f.value")
+
+
 def to_structured(names: list[str]) -> Column:
     """The fields found, as a map."""
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])), lambda k, v: v.isNotNull())

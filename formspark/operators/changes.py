@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .lineage import cut
 from .relations import _key, existing_profiles, link_profiles
 
 
 def latest(changes: DataFrame, key: str = "form_id", at: str = "submitted_at") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(at))
+    """The last change of each key; of changes at the same time, the one whose text as JSON is the greatest."""
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(F.to_json(F.struct("*"))))
     return changes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -63,19 +65,22 @@ def prefill(forms: DataFrame, structured: DataFrame, lite: DataFrame) -> DataFra
 
 
 def upsert_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
-    """Profiles with keys (student_name, aadhar_number, at): known ones are touched, new ones get the next ids."""
+    """Profiles with keys (student_name, aadhar_number, at): known ones are touched, new ones get the next ids by name.
+
+    The new keys are written once in order: their numbers hang on where the ranges end, which a second run may shift.
+    """
     new = _key(keys).groupBy("student_name", "_aadhar").agg(F.max("at").alias("at"))
     k = new.select(F.col("student_name").alias("_n"), F.col("_aadhar").alias("_a"), "at")
     same = (F.col("student_name") == F.col("_n")) & F.col("_aadhar").eqNullSafe(F.col("_a"))
     touched = _key(profiles).join(k, same, "left").withColumn("updated_date", F.coalesce("at", "updated_date")).select(*profiles.columns)
     known = _key(profiles).select(F.col("student_name").alias("_n"), F.col("_aadhar").alias("_a"))
     fresh = new.join(known, same, "left_anti")
-    # ids follow on from the largest one; numbered by a sort in parts and the size of the parts before
-    part = fresh.repartitionByRange("student_name", "_aadhar").sortWithinPartitions("student_name", "_aadhar").withColumn("_m", F.monotonically_increasing_id())
-    sizes = part.groupBy(F.shiftright("_m", 33).alias("_p")).count()
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_start")
+    ranged = cut(fresh.repartitionByRange("student_name", "_aadhar").sortWithinPartitions("student_name", "_aadhar").withColumn("_m", F.monotonically_increasing_id()))
+    dealt = ranged.withColumn("_b", F.shiftright("_m", 33))
+    sizes = dealt.groupBy("_b").count()
+    starts = sizes.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_start"))
     top = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    added = part.withColumn("_p", F.shiftright("_m", 33)).join(starts, "_p").crossJoin(top)
+    added = dealt.join(F.broadcast(starts), "_b").crossJoin(F.broadcast(top))
     added = added.select((F.col("_top") + F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).alias("id"), "student_name", F.col("_aadhar").alias("aadhar_number"), F.col("at").alias("updated_date"), F.col("at").alias("created_date"))
     return touched.unionByName(added.select(*[c for c in profiles.columns]))
 

@@ -34,7 +34,7 @@ def rounded(x: str, n: int) -> str:
 
 
 # Search, order and paging
-for _c, _n in (("student_name", "customer#00000001"), ("phone_number", "9123"), ("email", "0.MAIL"), ("enrollment_number", "enr12"), ("course_applied", "build")):
+for _c, _n in (("student_name", "customer#00000001"), ("phone_number", "9123"), ("email", "7@MAIL"), ("enrollment_number", "enr12"), ("application_number", "app-12"), ("course_applied", "build")):
     query(f"flt_{_c}", f"SELECT id, {_c} FROM forms WHERE {_c} ILIKE '%{_n}%'", "forms")(lambda f, c=_c, n=_n: search.search_forms(f, **{c: f" {n} "}).select("id", c))
 query("flt_status", "SELECT id, status FROM forms WHERE status = 'extracted'", "forms")(lambda f: search.search_forms(f, status="extracted").select("id", "status"))
 query("flt_dates", "SELECT id FROM forms WHERE upload_date >= timestamp '1996-03-01 00:00:00' AND upload_date < timestamp '1996-06-16 00:00:00'", "forms")(lambda f: search.search_forms(f, date_from="1996-03-01", date_to="1996-06-15").select("id"))
@@ -46,7 +46,7 @@ query("get_form", "SELECT id, filename FROM forms WHERE id = 7", "forms")(lambda
 query("known_template", "SELECT id, (lower(filename) LIKE '%srcc%' OR lower(filename) LIKE '%data form%') AS known FROM forms", "forms")(lambda f: f.select("id", scalars.is_known_template(F.col("filename")).alias("known")))
 query("form_summary", "SELECT id, filename, upload_date, status, ocr_provider, student_profile_id FROM forms", "forms")(search.form_summary)
 query("document_view", "SELECT id, filename, document_category, description, upload_date, file_size, form_id, student_profile_id, file_path FROM docs", "docs")(search.document_view)
-query("fields_long", " UNION ALL ".join(f"SELECT id, '{c}' AS field, {c} AS value FROM forms" for c in ("student_name", "aadhar_number", "phone_number", "email", "course_applied", "enrollment_number")), "forms")(search.fields_long)
+query("fields_long", " UNION ALL ".join(f"SELECT id, '{c}' AS field, {c} AS value FROM forms" for c in ("student_name", "aadhar_number", "phone_number", "email", "course_applied", "application_number", "enrollment_number")), "forms")(search.fields_long)
 query("list_forms", "SELECT id, upload_date FROM forms ORDER BY upload_date DESC, id DESC LIMIT 50 OFFSET 100", "forms")(lambda f: search.list_forms(f, 100, 50).select("id", "upload_date"))
 query("search_page", "SELECT id FROM forms WHERE status = 'verified' ORDER BY upload_date DESC, id DESC LIMIT 20 OFFSET 40", "forms")(lambda f: search.page_of(search.search_forms(f, status="verified"), "upload_date", 40, 20).select("id"))
 query("next_page", "SELECT id FROM forms WHERE upload_date < timestamp '1996-01-01 00:00:00' ORDER BY upload_date DESC, id DESC LIMIT 20", "forms")(lambda f: search.after(f, "upload_date", __import__("datetime").datetime(1996, 1, 1), 0, 20).select("id"))
@@ -56,7 +56,7 @@ query("recent_forms", "SELECT id FROM forms ORDER BY upload_date DESC, id DESC L
 query("sort_by_name", "SELECT id, student_name FROM forms ORDER BY student_name DESC, id DESC LIMIT 25", "forms")(lambda f: search.list_forms(f, 0, 25, sort_by="student_name").select("id", "student_name"))
 query("count_results", "SELECT count(*) AS n FROM forms WHERE course_applied ILIKE '%house%'", "forms")(lambda f: search.search_forms(f, course_applied="house").agg(F.count("*").alias("n")))
 _iso = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
-_have = ("id", "filename", "status", "ocr_provider", "student_profile_id", "student_name", "aadhar_number", "phone_number", "email", "course_applied", "enrollment_number")
+_have = ("id", "filename", "status", "ocr_provider", "student_profile_id", "student_name", "aadhar_number", "phone_number", "email", "course_applied", "application_number", "enrollment_number")
 _EXPORT_SQL = "SELECT " + ", ".join((f"{c}" if c in _have else f"{_iso(c)}" if c in ("upload_date", "verified_date") else "NULL::VARCHAR") + f' AS "{schemas.export_label(c)}"' for c in schemas.EXPORT) + " FROM forms WHERE status = 'verified'"
 query("export_csv_view", _EXPORT_SQL, "forms")(lambda f: sinks.csv_view(search.export_forms(f)))
 query("export_json_view", _EXPORT_SQL, "forms")(lambda f: sinks.json_view(search.export_forms(f)))
@@ -140,6 +140,7 @@ for _group, _names in schemas.GROUPS.items():
     query(f"extract_{_group}", extraction_sql("rendered", _specs), "rendered")(lambda r, s=_specs: fields.extract_fields(r, specs=s).select("id", *[x.name for x in s]))
 _bare = tuple(s for s in fields.SPECS if s.name in ("email", "pincode", "date_of_birth"))
 query("extract_free_text", extraction_sql("(SELECT doc_id AS id, text AS raw_text FROM documents)", _bare), "documents")(lambda d: fields.extract_fields(d.select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text")), specs=_bare).select("id", *[s.name for s in _bare]))
+query("validation_report", "SELECT id, 'aadhar_number' AS field, substr(aadhar_number, 1, 11) AS value FROM forms WHERE aadhar_number IS NOT NULL AND id % 2 = 0", "forms")(lambda f: fields.validation_report(f.withColumn("aadhar_number", F.when(F.col("id") % 2 == 0, F.substring("aadhar_number", 1, 11)).otherwise(F.col("aadhar_number")))))
 query("extract_all_map", None, "rendered")(lambda r: fields.extract_fields(r).select("id", fields.to_structured(list(schemas.FIELDS)).alias("structured_data")))
 query("extract_lite", None, "rendered")(lambda r: fields.extract_fields_lite(r).drop("raw_text"))
 
@@ -196,4 +197,8 @@ query("impute_confidence", "SELECT form_id, attempt_ord, coalesce(confidence, CA
 query("union_reports", "SELECT id, 'a' AS report FROM forms WHERE id % 2 = 0 UNION ALL SELECT id, 'b' FROM forms WHERE id % 2 = 1", "forms")(lambda f: f.filter("id % 2 = 0").select("id", F.lit("a").alias("report")).unionByName(f.filter("id % 2 = 1").select("id", F.lit("b").alias("report"))))
 
 _FLAG = tuple(s for s in fields.SPECS if s.name in ("email", "phone_number"))
-query("flagship", None, "form_pages")(lambda p: fields.extract_fields(attempts.assemble_pages(p), specs=_FLAG).select("form_id", "confidence", "pages_processed", "email", "phone_number", scalars.confidence_band(F.col("confidence")).alias("band")).orderBy(F.desc("confidence"), F.desc("form_id")).limit(20))
+_FLAG_TEXT = f"(SELECT form_id AS id, coalesce({_PAGES}, '') AS raw_text FROM form_pages GROUP BY form_id)"
+_FLAG_SQL = f"""SELECT form_id, confidence, pages_processed, email, phone_number, CASE WHEN c >= 90 THEN 'high' WHEN c >= 75 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT *, CASE WHEN confidence <= 1 THEN confidence * 100 ELSE confidence END AS c FROM (SELECT form_id, count(*) AS pages_processed, {rounded("coalesce(avg(confidence) FILTER (trim(raw_text) <> '' AND confidence <> 0), 0)", 2)} AS confidence FROM form_pages GROUP BY form_id) f) g
+JOIN ({extraction_sql(_FLAG_TEXT, _FLAG)}) x ON x.id = g.form_id ORDER BY confidence DESC, form_id DESC LIMIT 20"""
+query("flagship", _FLAG_SQL, "form_pages")(lambda p: fields.extract_fields(attempts.assemble_pages(p), specs=_FLAG).select("form_id", "confidence", "pages_processed", "email", "phone_number", scalars.confidence_band(F.col("confidence")).alias("band")).orderBy(F.desc("confidence"), F.desc("form_id")).limit(20))
