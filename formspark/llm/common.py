@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "free", "partitions", "shared_dir", "stored", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a cluster names it in spark.checkpoint.dir, tests get one of their own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint, so that it is computed once and outlives its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame) -> DataFrame:
