@@ -146,7 +146,19 @@ query("extract_lite", None, "rendered")(lambda r: fields.extract_fields_lite(r).
 
 # Elements
 _marks = lambda c: c.select(F.col("conv_id").alias("doc_id"), F.concat(F.when(F.col("turn") % 2 == 0, "[x] yes\n( ) no\n☐\n\nlater\n● on\nGender: Male\nGrade - A\n").otherwise("[ ] off ☑ on\n"), "text").alias("text"))
-query("element_counts", None, "conversations")(lambda c: elements.element_counts(elements.detect_elements(_marks(c))))
+_MARKS_SQL = "SELECT conv_id AS doc_id, string_split(CASE WHEN turn % 2 = 0 THEN '[x] yes\n( ) no\n☐\n\nlater\n● on\nGender: Male\nGrade - A\n' ELSE '[ ] off ☑ on\n' END || text, chr(10)) AS l FROM conversations"
+
+
+def _marks_sql(patterns: tuple[str, ...]) -> str:
+    """Marks on a line, less the one at its end if it and the next two lines say nothing more."""
+    silent = " AND ".join(f"regexp_matches(coalesce(l[i + {k}], ''), '^\\s*$')" for k in (1, 2))
+    return " + ".join(f"len(regexp_extract_all(l[i], '{p}')) - CASE WHEN regexp_matches(l[i], '{p}\\s*$') AND {silent} THEN 1 ELSE 0 END" for p in patterns)
+
+
+_DROP_SQL = " + ".join(f"len(list_filter(regexp_extract_all(l[i], '{p}', 1), lambda x: regexp_matches(lower(x), '{'|'.join(elements.KEYWORDS)}')))" for p in elements.DROPDOWN)
+_COUNTS_SQL = f"""SELECT doc_id, sum(cb)::bigint AS checkbox_count, sum(ra)::bigint AS radio_count, sum(dd)::bigint AS dropdown_count, sum(cb + ra + dd)::bigint AS total_elements
+FROM (SELECT doc_id, {_marks_sql(elements.CHECKBOXES)} AS cb, {_marks_sql(elements.RADIOS)} AS ra, {_DROP_SQL} AS dd FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ({_MARKS_SQL}) a) b) c GROUP BY doc_id HAVING sum(cb + ra + dd) > 0"""
+query("element_counts", _COUNTS_SQL, "conversations")(lambda c: elements.element_counts(elements.detect_elements(_marks(c))))
 query("dropdowns", "SELECT doc_id, label, value, line FROM (SELECT conv_id AS doc_id, unnest([{'label': 'Gender', 'value': 'Male', 'line': 7}, {'label': 'Grade', 'value': 'A', 'line': 8}], recursive := true) FROM conversations WHERE turn % 2 = 0)", "conversations")(lambda c: elements.detect_dropdowns(_marks(c)).filter("line <= 8 AND (line > 2 OR label = 'Gender')").select("doc_id", "label", "value", "line"))
 
 # Scalars
@@ -185,7 +197,11 @@ def _eval(r: DataFrame, how: str) -> DataFrame:
 
 
 query("evaluate_blocks", None, "rendered")(lambda r: _eval(r, "blocks"))
-query("score_samples", None, "rendered")(lambda r: evaluate.score_samples(_eval(r, "edits")))
+_EVAL = tuple(s for s in fields.SPECS if s.name in ("email", "aadhar_number", "city"))
+_LABELED_SQL = " UNION ALL ".join(f"SELECT id, lower(trim({s.name})) AS a, lower(trim(CASE WHEN id % 4 = 0 THEN translate({s.name}, '1a', '7o') ELSE {s.name} END)) AS e FROM ({extraction_sql('rendered', _EVAL)}) x_{s.name}" for s in _EVAL)
+_SCORES_SQL = f"""SELECT id AS sample_id, {rounded("avg(cast(round(cast(r AS decimal(20,10)), 3) AS double))", 6)} AS similarity, {rounded("avg(CASE WHEN r >= 0.999 THEN 1.0::double ELSE 0.0 END)", 6)} AS exact_rate, count(*) AS n_fields
+FROM (SELECT id, 1 - levenshtein(e, a) / greatest(length(e), length(a), 1) AS r FROM ({_LABELED_SQL}) y WHERE coalesce(e, '') <> '') z GROUP BY id"""
+query("score_samples", _SCORES_SQL, "rendered")(lambda r: evaluate.score_samples(_eval(r, "edits")).withColumns({c: scalars.round_at(F.col(c), 6) for c in ("similarity", "exact_rate")}))
 query("provider_summary", f"SELECT provider, count(*) AS samples, {rounded('avg(confidence) FILTER (error IS NULL)', 2)} AS avg_confidence, {rounded('avg(confidence / 100) FILTER (error IS NULL)', 3)} AS avg_similarity, {rounded('avg(page) FILTER (error IS NULL)', 3)} AS avg_exact_rate, {rounded('avg(attempt_ord) FILTER (error IS NULL)', 2)} AS avg_time_ms, count(error) AS failures FROM attempts GROUP BY provider", "attempts")(lambda a: evaluate.provider_summary(a.select("provider", "confidence", (F.col("confidence") / 100).alias("similarity"), F.col("page").alias("exact_rate"), F.col("attempt_ord").alias("time_ms"), "error")))
 query("throughput", "SELECT date_trunc('hour', ts) AS hour, event_type AS provider, count(*) AS forms, count(*) >= 60 AS on_target FROM events GROUP BY 1, 2", "events")(lambda e: evaluate.throughput(e.select("ts", F.col("event_type").alias("provider"))))
 query("sla_breaches", "SELECT id FROM forms WHERE status = 'extracted' AND upload_date < timestamp '1997-01-01 00:00:00'", "forms")(lambda f: evaluate.sla_breaches(f, F.expr("timestamp_ntz'1997-01-02 00:00:00'")).select("id"))
