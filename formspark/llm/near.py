@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
@@ -25,7 +25,6 @@ _U = np.uint64
 #: MinHash values whose low byte goes into the sketch.
 SKETCH = 128
 BUCKET_TILE, CLUSTER_TILE = 2048, 512
-NO_ID = -(1 << 62)
 
 
 def banding(similarity: float, recall: float, most: int = 400) -> tuple[int, int]:
@@ -40,9 +39,15 @@ def banding(similarity: float, recall: float, most: int = 400) -> tuple[int, int
     return best
 
 
-def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each text, with the text's index, and a 128-bit print of each text. A text of fewer
-    than n words, but one at least, has one gram of all its words."""
+def text_print(text: str) -> tuple[Column, Column]:
+    """A 128-bit print of a text; null is the empty text."""
+    own = F.coalesce(text, F.lit(""))
+    return F.xxhash64(own), F.xxhash64(F.lit(1), own)
+
+
+def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of each text, with the text's index. A text of fewer than n words, but one at least, has
+    one gram of all its words."""
     data, offs = ta.as_bytes(column)
     prints = ta.Prints(data)
     start, end, doc = ta.words(data, offs)
@@ -63,9 +68,7 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.lexsort((g, d))
     g, d = g[order], d[order]
     keep = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]))) if len(g) else np.zeros(0, bool)
-    a = prints.of(offs[:-1], offs[1:])
-    b = ta.mix64((prints.sums[offs[1:]] - prints.sums[offs[:-1]]) * prints.inverse[offs[:-1]] ^ _U(0xA5A5A5A5A5A5A5A5))
-    return g[keep], d[keep], np.stack((a, b))
+    return g[keep], d[keep]
 
 
 def _sketches(n: int, bands: int, rows: int) -> Callable:
@@ -73,7 +76,7 @@ def _sketches(n: int, bands: int, rows: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ta.chunks(batches, limit=1 << 20):
-            g, d, text = shingles(batch.column(1), n)
+            g, d = shingles(batch.column(3), n)
             with_any, at = np.unique(d, return_index=True)
             least = np.empty((len(factor), len(with_any)), _U)
             if len(at):
@@ -93,11 +96,20 @@ def _sketches(n: int, bands: int, rows: int) -> Callable:
             whole = [b""] * batch.num_rows
             for i, row in zip(with_any.tolist(), np.ascontiguousarray(sketch.T)):
                 whole[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text[0].view(np.int64)), pa.array(text[1].view(np.int64)), keys, pa.array(whole, pa.binary())], ["doc_id", "t0", "t1", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], keys, pa.array(whole, pa.binary())], ["doc_id", "t0", "t1", "bands", "sketch"])
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each text and id in a batch, so that repeated rows of one text don't meet in one task."""
+    for batch in batches:
+        first: dict[tuple, int] = {}
+        for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+            first.setdefault(key, i)
+        yield batch if len(first) == batch.num_rows else batch.take(pa.array(first.values(), pa.int64()))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of equal keys of a sorted partition, each as one table."""
     held: list[pa.RecordBatch] = []
@@ -180,7 +192,7 @@ def _cluster_links(n: int, similarity: float) -> Callable:
         for t in groups(batches, ["cluster", "lo", "hi"]):
             node, at = np.unique(np.asarray(t.column("node")), return_index=True)
             rows = t.take(pa.array(at)).combine_chunks()
-            g, d, _ = shingles(rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text"), n)
+            g, d = shingles(rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text"), n)
             size = np.bincount(d, minlength=len(node))
             both = overlaps(g, d, len(node))
             # both / (a + b - both) >= similarity, in whole numbers
@@ -209,19 +221,16 @@ def tiles(rows: DataFrame, count: str, tile: int) -> DataFrame:
     return rows.withColumn("lo", F.least("chunk", "_other")).withColumn("hi", F.greatest("chunk", "_other")).drop("_c", "_other")
 
 
-def join_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every row of docs (doc_id, text).
-
-    class_id: the least doc_id of those that links connect to it; n_links: the other texts whose n-gram sets have at
-    least that Jaccard similarity with its own; n_copies: the rows with the very same text, itself included. A null text
-    is an empty one. Texts without words are linked to nothing but their copies. Rows that share a doc_id share a class;
-    a null doc_id gets the class of its text, and gives class_id null only if all texts of the class lack one.
-    """
+def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
+    """join_similar's columns and the print of the text (t0, t1). Nodes are texts, whatever ids their rows have; only at
+    the end are classes named by an id."""
     bands, rows = banding(similarity, recall)
     n_out = partitions(docs)
-    own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    t0, t1 = text_print("text")
+    own = docs.select("doc_id", t0.alias("t0"), t1.alias("t1"), "text")
     marked = cut(own.mapInArrow(_sketches(n, bands, rows), "doc_id long, t0 long, t1 long, bands array<long>, sketch binary"))
-    texts = cut(marked.groupBy("t0", "t1").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    texts = marked.groupBy("t0", "t1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     keyed = texts.select("node", F.explode("bands").alias("band"))
     full = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = tiles(keyed.join(full, "band"), "size", BUCKET_TILE).select("node", "band", "lo", "hi")
@@ -231,21 +240,38 @@ def join_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     near = components(edges)
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     clusters = tiles(near.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size"), "size", CLUSTER_TILE).select("node", "cluster", "size", "chunk", "lo", "hi")
-    clusters = cut(clusters)
-    read = own.join(clusters.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    tiled = read.join(clusters, "node").repartition(n_out, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    # a text is read from a row with its least id
+    of = ["t0", "t1", "id"]
+    clusters = cut(clusters.join(texts.select("node", "t0", "t1", F.coalesce("least", F.lit(0)).alias("id")), "node"))
+    read = own.select("t0", "t1", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").mapInArrow(_once, "t0 long, t1 long, id long, text string")
+    read = read.join(clusters.select(of).distinct(), of, "left_semi").dropDuplicates(of)
+    tiled = read.join(clusters, of).select("node", "cluster", "chunk", "lo", "hi", "text").repartition(n_out, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     linked = cut(tiled.mapInArrow(_cluster_links(n, similarity), "node long, root long, links long"))
     links = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "class_id")
-    known = texts.select("t0", "t1", "node", "n_copies").join(links, "node", "left").join(roots, "node", "left")
-    known = known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "node").alias("class_id"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return marked.select("doc_id", "t0", "t1").join(known, ["t0", "t1"]).select(null("doc_id"), null("class_id"), "n_links", "n_copies")
+    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    names = roots.join(texts.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("class_id"))
+    named = roots.join(names, "root").select("node", "class_id")
+    known = texts.select("t0", "t1", "node", "least", "n_copies").join(links, "node", "left").join(named, "node", "left")
+    known = known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
+    return marked.select("doc_id", "t0", "t1").join(known, ["t0", "t1"])
+
+
+def join_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every row of docs (doc_id, text).
+
+    class_id: the least doc_id of those that links connect to it; n_links: the other texts whose n-gram sets have at
+    least that Jaccard similarity with its own; n_copies: the rows with the very same text, itself included. A null text
+    is an empty one. Texts without words are linked to nothing but their copies. A row gets the class of its text, so
+    that rows that share a doc_id, or have none, may be of different classes; class_id is null only if all texts of the
+    class lack a doc_id.
+    """
+    return _classes(docs, n, similarity, recall).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose class has a lesser doc_id. Rows without doc_id stay; rows that share one stay or go
-    together. All columns of docs stay as they are."""
-    (other,) = free(docs, "_id")
-    gone = join_similar(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
+    """docs without the rows whose class has a lesser doc_id. Rows without doc_id stay; rows that share one and the text
+    stay or go together. All columns of docs stay as they are."""
+    other, a, b = free(docs, "_id", "_t0", "_t1")
+    gone = _classes(docs, 5, 0.8, 0.999).filter("doc_id <> class_id").select(F.col("doc_id").alias(other), F.col("t0").alias(a), F.col("t1").alias(b)).distinct()
+    t0, t1 = text_print("text")
+    return docs.join(gone, (F.col("doc_id") == F.col(other)) & (t0 == F.col(a)) & (t1 == F.col(b)), "left_anti")

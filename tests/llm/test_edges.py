@@ -1,5 +1,6 @@
 """Every operator and stage on nulls in all columns, repeated rows, extra columns of clashing names, and no rows at all."""
 
+import random
 import re
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from formspark.llm import bpe, chat, media, mixing, near, pii, quality, sharding, suffixes, toxicity
 
-from .edge import documents, edge_texts
+from .edge import documents, edge_texts, prose
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 OPERATORS = {
@@ -85,3 +86,20 @@ def test_repeated_rows_add_no_links(spark):
     docs = documents(spark, [base, base + " end", "other words of no such kind at all"])
     rows = near.join_similar(docs.unionByName(docs)).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in rows) == [(0, 0, 1, 2)] * 2 + [(1, 0, 1, 2)] * 2 + [(2, 2, 0, 2)] * 2
+
+
+def test_classes_with_null_and_shared_ids(spark):
+    rng = random.Random(12)
+    bases = [prose(rng, 60) for _ in range(6)]
+    texts = [b + tail for b in bases for tail in ("", " one", " two")]
+    own = [(rng.choice([None, None, 3, 3, *range(40)]), rng.choice(texts)) for _ in range(90)]
+    own += [(None, t) for t in (texts[0], texts[0], texts[1])] + [(50, "alone one"), (50, "alone two"), (None, "alone two"), (None, "no id at all")]
+    kind = lambda t: bases.index(t.rsplit(" ", 1)[0] if t.endswith((" one", " two")) else t) if t in texts else t
+    least = {k: min((i for i, t in own if i is not None and kind(t) == k), default=None) for k in {kind(t) for _, t in own}}
+    links = {k: len({t for _, t in own if kind(t) == k}) - 1 for k in least}
+    want = [(i, least[kind(t)], links[kind(t)], sum(u == t for _, u in own)) for i, t in own]
+    docs = documents(spark, [t for _, t in own], ids=[i for i, _ in own])
+    assert sorted(map(str, map(tuple, near.join_similar(docs).collect()))) == sorted(map(str, want))
+    left = [(i, t) for i, t in own if i is None or i == least[kind(t)]]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in near.one_of_each(docs).collect()))) == sorted(map(str, left))
+    assert {kind(t) for _, t in left} == set(least)
