@@ -7,6 +7,7 @@ estimate falls below zero, the step is taken against it, which keeps the classif
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
+from .common import cut
 
 DIMS = 1 << 18
 #: Bounds of the samples that reach the driver: confirmed toxic, labelled harmless (for calibration), unlabelled texts.
 MAX_TOXIC, MAX_HARMLESS, MAX_UNLABELLED = 4000, 6000, 8000
-#: Distinct words of one text that count in training (the first by hash value); scoring uses all.
-MAX_TRAIN_WORDS = 5000
+#: Tasks that count the samples' features.
+COUNTERS = 8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -74,11 +76,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def lifted(toxic: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, least: float = 4.0) -> np.ndarray:
     """Features whose share of the toxic texts exceeds that of the unlabelled by so many standard errors."""
-    n = [max(len(x), 1) for x in (toxic, unlabelled)]
-    df = [np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), minlength=dims) for x in (toxic, unlabelled)]
+    return standing_out([np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), minlength=dims) for x in (toxic, unlabelled)], [len(toxic), len(unlabelled)], least)
+
+
+def standing_out(df: list[np.ndarray], texts: list[int], least: float = 4.0) -> np.ndarray:
+    """lifted() from the texts that have each feature, and all texts."""
+    n = [max(x, 1) for x in texts]
     both = (df[0] + df[1] + 0.5) / (n[0] + n[1] + 1)
     z = (df[0] / n[0] - df[1] / n[1]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    return (z > least) & (df[0] >= min(2, len(toxic)))
+    return (z > least) & (df[0] >= min(2, texts[0]))
 
 
 def fit_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.1, shrink: float = 1e-4, dims: int = DIMS) -> tuple[np.ndarray, float]:
@@ -160,15 +166,47 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
         for batch in ta.chunks(batches):
             doc, f = features(batch.column(2))
             rows = np.split(f.astype("<i4"), np.searchsorted(doc, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[:MAX_TRAIN_WORDS].tobytes() for r in rows], pa.binary())], ["doc_id", "part", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "part", "f"])
+
+    fold = lambda i: (i * 2654435761 >> 8) % folds
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of this task with each feature, by part and fold."""
+        df: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for i, part, f in zip(*(c.to_pylist() for c in batch.columns)):
+                own = df.setdefault((part, fold(i)), [0, np.zeros(DIMS, "<i4")])
+                own[0] += 1
+                own[1][np.frombuffer(f, "<i4")] += 1
+        rows = [(part, k, n, zlib.compress(x.tobytes(), 1)) for (part, k), (n, x) in df.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "fold", "n", "df"])
 
     # wanted has a bounded number of rows (the three sample sizes)
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part int, f binary").collect()
+    whole = cut(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part int, f binary"))
+    # few tasks, since each sends counts for every feature
+    df, texts = np.zeros((2, folds, DIMS), np.int64), np.zeros((2, folds), int)
+    for r in whole.filter("part <> 1").coalesce(COUNTERS).mapInArrow(count, "part int, fold int, n long, df binary").collect():
+        df[r.part // 2, r.fold] += np.frombuffer(zlib.decompress(r.df), "<i4")
+        texts[r.part // 2, r.fold] += r.n
+    if not texts[0].sum():
+        return Model(np.zeros(DIMS, np.float32), -60.0)
+    # other features get no weight in any fold, so that only these are sent
+    known = np.zeros(DIMS, bool)
+    for k in range(folds):
+        rest = [np.arange(folds) != k if p or texts[0].sum() > texts[0, k] else np.full(folds, True) for p in range(2)]
+        known |= standing_out([df[p][rest[p]].sum(axis=0) for p in range(2)], [int(texts[p][rest[p]].sum()) for p in range(2)])
+    del df
+    shipped = docs.sparkSession.sparkContext.broadcast(known)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(f, "<i4") for f in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[shipped.value[f]].tobytes() for f in rows], pa.binary())], ["doc_id", "part", "f"])
+
+    found = whole.mapInArrow(keep, "doc_id long, part int, f binary").collect()
     found.sort(key=lambda r: (r.part, r.doc_id, r.f))
     parts = [[(int(r.doc_id), np.frombuffer(r.f, "<i4").astype(np.int64)) for r in found if r.part == k] for k in range(3)]
-    if not parts[0]:
-        return Model(np.zeros(DIMS, np.float32), -60.0)
-    fold = lambda i: (i * 2654435761 >> 8) % folds
     fits, z, y = [], [], []
     for k in range(folds):
         toxic = [f for i, f in parts[0] if fold(i) != k] or [f for _, f in parts[0]]

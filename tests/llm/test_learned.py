@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from formspark.llm import near, pii, suffixes, toxicity
 from formspark.llm.graph import components
@@ -82,6 +83,18 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() < 520
 
 
+def test_toxicity_of_long_texts(spark):
+    """Words of any hash count in texts of more features than a prefix would hold."""
+    rng = random.Random(8)
+    feature = lambda w: toxicity.features(pa.array([w]))[1]
+    bad = next(w for w in (prose(rng, 1)[:4].upper() + str(i) for i in range(10**6)) if len(f := feature(w)) and f.min() > 0.95 * toxicity.DIMS)
+    texts = [" ".join(f"{rng.randrange(36**3):03x}" for _ in range(7000)) + (f" {bad}" if i % 3 == 0 else "") for i in range(120)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.rate_documents(docs, labels).collect() if r.held_out]
+    assert len(held) > 20 and all(r.predicted == int(r.doc_id % 3 == 0) for r in held)
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(6)
     passage, other = prose(rng, 150), prose(rng, 90)
