@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .common import cut
+from .near import text_print
 
 DIMS = 1 << 18
 #: Bounds of the samples that reach the driver: confirmed toxic, labelled harmless (for calibration), unlabelled texts.
@@ -132,6 +134,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def sampled_texts(docs: DataFrame, wanted: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """doc_id, t0, t1 (the print of a text) and part: at most sizes[part] different texts of the ids wanted for each part,
+    one of each id before any id's second."""
+    keys = ["part", "doc_id", "t0", "t1"]
+    t0, t1 = text_print("text")
+    own = cut(docs.select("doc_id", t0.alias("t0"), t1.alias("t1")).join(F.broadcast(wanted), "doc_id").select(keys).distinct())
+    first = own.groupBy("part", "doc_id").agg(F.min(F.struct("t0", "t1")).alias("first"))
+    own = own.join(F.broadcast(first), ["part", "doc_id"]).select(*keys, (F.struct("t0", "t1") != F.col("first")).alias("further"))
+    out = [own.filter(F.col("part") == k).orderBy("further", F.xxhash64("doc_id", "t0", "t1"), "doc_id", "t0", "t1").limit(n).select(keys) for k, n in enumerate(sizes)]
+    return reduce(DataFrame.unionByName, out)
+
+
 def sampled(ids: DataFrame, n: int) -> DataFrame:
     """At most n rows, the first by a hash of their id."""
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -157,16 +171,25 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
     if not known.get(1):
         return Model(np.zeros(DIMS, np.float32), -60.0)
     prior = min(max(known[1] / sum(known.values()), 1e-4), 0.9)
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out())
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).distinct()
     wanted = sampled(own.filter("toxic = 1").select("doc_id"), MAX_TOXIC).select("doc_id", F.lit(0).alias("part"))
     wanted = wanted.unionByName(sampled(own.filter("toxic = 0").select("doc_id"), MAX_HARMLESS).select("doc_id", F.lit(1).alias("part")))
     wanted = wanted.unionByName(sampled(ids, MAX_UNLABELLED).select("doc_id", F.lit(2).alias("part")))
 
+    wanted = sampled_texts(docs, wanted, (MAX_TOXIC, MAX_HARMLESS, MAX_UNLABELLED))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.chunks(batches):
-            doc, f = features(batch.column(2))
-            rows = np.split(f.astype("<i4"), np.searchsorted(doc, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "part", "f"])
+        seen = set()  # of the bounded sample
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            for own in ta.chunks([batch.take(pa.array(new, pa.int64()))]):
+                doc, f = features(own.column(4))
+                rows = np.split(f.astype("<i4"), np.searchsorted(doc, np.arange(1, own.num_rows)))
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array([r.tobytes() for r in rows], pa.binary())], [*keys, "f"])
 
     fold = lambda i: (i * 2654435761 >> 8) % folds
 
@@ -182,8 +205,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "fold", "n", "df"])
 
-    # wanted has a bounded number of rows (the three sample sizes)
-    whole = cut(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part int, f binary"))
+    # wanted has a bounded number of rows (the three sample sizes); repeated rows of a text count once
+    keys = ["doc_id", "part", "t0", "t1"]
+    t0, t1 = text_print("text")
+    whole = docs.select("doc_id", t0.alias("t0"), t1.alias("t1"), "text").join(F.broadcast(wanted), ["doc_id", "t0", "t1"]).select(*keys, "text")
+    whole = whole.mapInArrow(run, "doc_id long, part int, t0 long, t1 long, f binary")
+    whole = cut(whole.groupBy(keys).agg(F.any_value("f").alias("f")).select("doc_id", "part", "f"))
     # few tasks, since each sends counts for every feature
     df, texts = np.zeros((2, folds, DIMS), np.int64), np.zeros((2, folds), int)
     for r in whole.filter("part <> 1").coalesce(COUNTERS).mapInArrow(count, "part int, fold int, n long, df binary").collect():

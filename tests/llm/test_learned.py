@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from formspark.llm import near, pii, suffixes, toxicity
 from formspark.llm.graph import components
@@ -95,6 +96,27 @@ def test_toxicity_of_long_texts(spark):
     assert len(held) > 20 and all(r.predicted == int(r.doc_id % 3 == 0) for r in held)
 
 
+def test_toxicity_with_repeated_ids(spark, monkeypatch):
+    """Repeated rows change no score, and the samples stay bounded when one id has many texts."""
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 150)
+    rng = random.Random(6)
+    texts = [prose(rng, 40) + (" foulword nastyword" if i % 4 == 0 else "") for i in range(300)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    plain = toxicity.learn(docs, labels)
+    again = docs
+    for i in range(9):
+        again = again.unionByName(docs.filter(F.col("doc_id").isin([r.doc_id for r in toxicity.sampled(docs, 5).collect()]) | (F.col("doc_id") % 4 == i % 4)))
+    other = toxicity.learn(again, labels)
+    assert np.array_equal(plain.weights, other.weights) and plain.bias == other.bias
+    many = documents(spark, [prose(rng, 20) for _ in range(500)], ids=[2] * 500).unionByName(docs)
+    wanted = spark.createDataFrame([(i, p) for i in range(100) for p in range(3)], "doc_id long, part int")
+    got = toxicity.sampled_texts(many.unionByName(many), wanted, (120, 50, 700)).collect()
+    by = Counter(r.part for r in got)
+    assert (by[0], by[1], by[2]) == (120, 50, 600) and len(set(got)) == len(got)
+    assert len({r.doc_id for r in got if r.part == 0}) == 100
+
+
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(6)
     passage, other = prose(rng, 150), prose(rng, 90)
