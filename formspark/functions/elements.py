@@ -32,35 +32,53 @@ def marks(text: str | None, patterns: tuple[re.Pattern[str], ...], on: frozenset
                     yield m[1].lower() in on, label, i + 1, m.start()
 
 
-def marked(df: DataFrame, kind: str, patterns: tuple[str, ...], on: frozenset[str], context_lines: int) -> DataFrame:
-    """Marks of every line, with their places. Rows: doc_id and text; the work is per line, in Arrow batches."""
-    compiled = tuple(re.compile(p) for p in patterns)
+_COMPILED = {"checkbox": (tuple(map(re.compile, CHECKBOXES)), CHECKED), "radio": (tuple(map(re.compile, RADIOS)), SELECTED)}
+_DROPDOWN = tuple(map(re.compile, DROPDOWN))
+
+
+def choices(text: str | None) -> Iterator[tuple[str, str, int, int]]:
+    """label, value, line from 1 and position of each dropdown."""
+    for i, line in enumerate((text or "").split("\n")):
+        for p in _DROPDOWN:
+            for m in p.finditer(line):
+                if any(k in m[1].strip().lower() for k in KEYWORDS):
+                    yield m[1].strip(), m[2].strip(), i + 1, m.start()
+
+
+def elements_of(text: str | None, kinds: tuple[str, ...], context_lines: int = 2) -> Iterator[tuple]:
+    """type, checked, label, value, line, position of the elements of these kinds."""
+    for kind in kinds:
+        if kind == "dropdown":
+            yield from ((kind, None, label, value, line, at) for label, value, line, at in choices(text))
+        else:
+            yield from ((kind, on, label, None, line, at) for on, label, line, at in marks(text, *_COMPILED[kind], context_lines))
+
+
+def marked(df: DataFrame, kinds: tuple[str, ...], context_lines: int) -> DataFrame:
+    """Elements of every line, with their places, in one pass over the texts. Rows: doc_id and text; in Arrow batches."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(doc, kind, set_, label, None, line, at) for doc, text in zip(part["doc_id"], part["text"]) for set_, label, line, at in marks(text, compiled, on, context_lines)]
+            rows = [(doc, *e) for doc, text in zip(part["doc_id"], part["text"]) for e in elements_of(text, kinds, context_lines)]
             yield pd.DataFrame(rows, columns=["doc_id", "type", "checked", "label", "value", "line", "position"])
 
     return df.select("doc_id", "text").mapInPandas(run, SCHEMA)
 
 
 def detect_checkboxes(df: DataFrame, context_lines: int = 2) -> DataFrame:
-    return marked(df, "checkbox", CHECKBOXES, CHECKED, context_lines)
+    return marked(df, ("checkbox",), context_lines)
 
 
 def detect_radios(df: DataFrame, context_lines: int = 2) -> DataFrame:
-    return marked(df, "radio", RADIOS, SELECTED, context_lines)
+    return marked(df, ("radio",), context_lines)
 
 
 def detect_dropdowns(df: DataFrame) -> DataFrame:
-    lines = df.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    found = [lines.select("doc_id", "i", F.explode(F.arrays_zip(F.regexp_extract_all("line", F.lit(p), F.lit(1)).alias("label"), F.regexp_extract_all("line", F.lit(p), F.lit(2)).alias("value"))).alias("m")) for p in DROPDOWN]
-    both = found[0].unionByName(found[1]).select("doc_id", F.lit("dropdown").alias("type"), F.lit(None).cast("boolean").alias("checked"), F.trim("m.label").alias("label"), F.trim("m.value").alias("value"), (F.col("i") + 1).alias("line"), F.lit(None).cast("int").alias("position"))
-    return both.filter(F.lower("label").rlike("|".join(KEYWORDS)))
+    return marked(df, ("dropdown",), 0)
 
 
-def detect_elements(df: DataFrame) -> DataFrame:
-    return detect_checkboxes(df).unionByName(detect_radios(df)).unionByName(detect_dropdowns(df))
+def detect_elements(df: DataFrame, context_lines: int = 2) -> DataFrame:
+    return marked(df, ("checkbox", "radio", "dropdown"), context_lines)
 
 
 def element_counts(elements: DataFrame) -> DataFrame:
@@ -68,11 +86,9 @@ def element_counts(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id").agg(kind("checkbox"), kind("radio"), kind("dropdown"), F.count("*").alias("total_elements"))
 
 
-@F.udtf(returnType=T.StructType().add("type", "string").add("checked", "boolean").add("label", "string").add("line", "integer"))
+@F.udtf(returnType=T.StructType().add("type", "string").add("checked", "boolean").add("label", "string").add("value", "string").add("line", "integer").add("position", "integer"))
 class FormElements:
-    """The marks of one text, for LATERAL use in SQL after spark.udtf.register."""
+    """The elements of one text, for LATERAL use in SQL after spark.udtf.register."""
 
     def eval(self, text: str):
-        for kind, patterns, on in (("checkbox", CHECKBOXES, CHECKED), ("radio", RADIOS, SELECTED)):
-            for checked, label, line, _ in marks(text, tuple(map(re.compile, patterns)), on, 2):
-                yield kind, checked, label, line
+        yield from elements_of(text, ("checkbox", "radio", "dropdown"))

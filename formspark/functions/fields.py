@@ -19,11 +19,6 @@ class FieldSpec:
     patterns: tuple[str, ...]
 
 
-_PHONE = r"[:\s]+([+\d\s\-()]{10,15})"
-_NAME = r"[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
-_LETTERS = r"[:\s]+([A-Za-z\s]+)"
-_DATE = r"(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})"
-
 # Field, cleaner, check, patterns. Matching ignores case; ^ and $ match at lines.
 SPECS = (
     FieldSpec("student_name", "name", "name", (
@@ -32,38 +27,38 @@ SPECS = (
         r"(?:name|student\s+name)[:\s]+([^\n]{3,50}?)(?:\s+[Dd][Oo][Bb]|\n|phone|email|gender|$)",
         r"^([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*$",
     )),
-    FieldSpec("date_of_birth", "date", "date", (r"(?:dob|date\s+of\s+birth|birth\s+date|born|date\s+of\s+birth)[:\s]+" + _DATE, r"(?:dob|date\s+of\s+birth)[:\s]+(\d{2}[\/\-]\d{2}[\/\-]\d{4})", _DATE)),
+    FieldSpec("date_of_birth", "date", "date", (r"(?:dob|date\s+of\s+birth|birth\s+date|born|date\s+of\s+birth)[:\s]+(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})", r"(?:dob|date\s+of\s+birth)[:\s]+(\d{2}[\/\-]\d{2}[\/\-]\d{4})", r"(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})")),
     FieldSpec("gender", "upper", "any", (r"(?:gender|sex)[:\s]+(male|female|other|m|f)", r"(?:gender|sex)[:\s]+([MF])")),
     FieldSpec("category", "upper", "any", (r"(?:category|caste)[:\s]+(general|obc|sc|st|other|gen|scheduled\s+caste|scheduled\s+tribe)", r"(?:category|caste)[:\s]+([A-Z]{3,})")),
-    FieldSpec("nationality", "name", "any", (r"(?:nationality|country)" + _LETTERS, r"(?:nationality)[:\s]+([A-Z][a-z]+)")),
-    FieldSpec("religion", "name", "any", (r"(?:religion)" + _LETTERS,)),
+    FieldSpec("nationality", "name", "any", (r"(?:nationality|country)[:\s]+([A-Za-z\s]+)", r"(?:nationality)[:\s]+([A-Z][a-z]+)")),
+    FieldSpec("religion", "name", "any", (r"(?:religion)[:\s]+([A-Za-z\s]+)",)),
     FieldSpec("aadhar_number", "id", "digits12", (r"(?:aadhar|aadhaar|uid|aadhar\s+no|aadhaar\s+no|aadhar\s+number)[:\s]+(\d{4}[\s\-]?\d{4}[\s\-]?\d{4})", r"(\d{4}[\s\-]?\d{4}[\s\-]?\d{4})")),
     FieldSpec("blood_group", "upper", "any", (r"(?:blood\s+group|blood\s+type)[:\s]+([ABO][\+\-]?|AB[\+\-]?)", r"(?:blood\s+group)[:\s]+([A-Z]{1,3})")),
     FieldSpec("permanent_address", "address", "address", (r"(?:permanent\s+address|permanent\s+addr)[:\s]+([^\n]+(?:\n[^\n]+){0,4})", r"(?:permanent\s+address)[:\s]+([A-Za-z0-9\s,.-]+(?:\n[A-Za-z0-9\s,.-]+){0,3})")),
     FieldSpec("correspondence_address", "address", "address", (r"(?:correspondence\s+address|correspondence\s+addr|mailing\s+address)[:\s]+([^\n]+(?:\n[^\n]+){0,4})", r"(?:correspondence\s+address)[:\s]+([A-Za-z0-9\s,.-]+(?:\n[A-Za-z0-9\s,.-]+){0,3})")),
     FieldSpec("pincode", "id", "digits6", (r"(?:pincode|pin\s+code|pin)[:\s]+(\d{6})", r"(\d{6})")),
-    FieldSpec("city", "name", "name", (r"(?:city)" + _LETTERS,)),
-    FieldSpec("state", "name", "name", (r"(?:state)" + _LETTERS,)),
-    FieldSpec("phone_number", "phone", "phone", (r"(?:phone|mobile|contact|tel|phone\s+no|mobile\s+no|student\s+phone)" + _PHONE, r"(?:phone|mobile)[:\s]+(\d{10,15})", r"(\+?\d{1,3}[-.\s]?)?\(?\d{3,4}\)?[-.\s]?\d{3}[-.\s]?\d{4}")),
-    FieldSpec("alternate_phone", "phone", "phone", (r"(?:alternate\s+phone|alt\s+phone|alternate\s+mobile|secondary\s+phone)" + _PHONE, r"(?:alternate|alt)[:\s]+(\d{10,15})")),
+    FieldSpec("city", "name", "name", (r"(?:city)[:\s]+([A-Za-z\s]+)",)),
+    FieldSpec("state", "name", "name", (r"(?:state)[:\s]+([A-Za-z\s]+)",)),
+    FieldSpec("phone_number", "phone", "phone", (r"(?:phone|mobile|contact|tel|phone\s+no|mobile\s+no|student\s+phone)[:\s]+([+\d\s\-()]{10,15})", r"(?:phone|mobile)[:\s]+(\d{10,15})", r"(\+?\d{1,3}[-.\s]?)?\(?\d{3,4}\)?[-.\s]?\d{3}[-.\s]?\d{4}")),
+    FieldSpec("alternate_phone", "phone", "phone", (r"(?:alternate\s+phone|alt\s+phone|alternate\s+mobile|secondary\s+phone)[:\s]+([+\d\s\-()]{10,15})", r"(?:alternate|alt)[:\s]+(\d{10,15})")),
     FieldSpec("email", "lower", "email", (r"(?:email|e-mail|email\s+id|email\s+address)[:\s]+([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})")),
-    FieldSpec("emergency_contact_name", "name", "name", (r"(?:emergency\s+contact|emergency\s+contact\s+name)" + _NAME,)),
-    FieldSpec("emergency_contact_phone", "phone", "phone", (r"(?:emergency\s+contact\s+phone|emergency\s+phone)" + _PHONE,)),
-    FieldSpec("father_name", "name", "name", (r"(?:father|father'?s\s+name|father\s+name)" + _NAME, r"(?:father)[:\s]+([^\n]{3,50})")),
-    FieldSpec("father_occupation", "base", "any", (r"(?:father'?s\s+occupation|father\s+occupation)" + _LETTERS,)),
-    FieldSpec("father_phone", "phone", "phone", (r"(?:father'?s\s+phone|father\s+phone|father\s+contact)" + _PHONE,)),
-    FieldSpec("mother_name", "name", "name", (r"(?:mother|mother'?s\s+name|mother\s+name)" + _NAME, r"(?:mother)[:\s]+([^\n]{3,50})")),
-    FieldSpec("mother_occupation", "base", "any", (r"(?:mother'?s\s+occupation|mother\s+occupation)" + _LETTERS,)),
-    FieldSpec("mother_phone", "phone", "phone", (r"(?:mother'?s\s+phone|mother\s+phone|mother\s+contact)" + _PHONE,)),
-    FieldSpec("guardian_name", "name", "name", (r"(?:guardian|guardian'?s\s+name|guardian\s+name)" + _NAME, r"(?:guardian)[:\s]+([^\n]{3,50})")),
-    FieldSpec("guardian_relation", "base", "any", (r"(?:guardian\s+relation|guardian\s+relationship|relation)" + _LETTERS,)),
-    FieldSpec("guardian_phone", "phone", "phone", (r"(?:guardian'?s\s+phone|guardian\s+phone|guardian\s+contact)" + _PHONE,)),
+    FieldSpec("emergency_contact_name", "name", "name", (r"(?:emergency\s+contact|emergency\s+contact\s+name)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)",)),
+    FieldSpec("emergency_contact_phone", "phone", "phone", (r"(?:emergency\s+contact\s+phone|emergency\s+phone)[:\s]+([+\d\s\-()]{10,15})",)),
+    FieldSpec("father_name", "name", "name", (r"(?:father|father'?s\s+name|father\s+name)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"(?:father)[:\s]+([^\n]{3,50})")),
+    FieldSpec("father_occupation", "base", "any", (r"(?:father'?s\s+occupation|father\s+occupation)[:\s]+([A-Za-z\s]+)",)),
+    FieldSpec("father_phone", "phone", "phone", (r"(?:father'?s\s+phone|father\s+phone|father\s+contact)[:\s]+([+\d\s\-()]{10,15})",)),
+    FieldSpec("mother_name", "name", "name", (r"(?:mother|mother'?s\s+name|mother\s+name)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"(?:mother)[:\s]+([^\n]{3,50})")),
+    FieldSpec("mother_occupation", "base", "any", (r"(?:mother'?s\s+occupation|mother\s+occupation)[:\s]+([A-Za-z\s]+)",)),
+    FieldSpec("mother_phone", "phone", "phone", (r"(?:mother'?s\s+phone|mother\s+phone|mother\s+contact)[:\s]+([+\d\s\-()]{10,15})",)),
+    FieldSpec("guardian_name", "name", "name", (r"(?:guardian|guardian'?s\s+name|guardian\s+name)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"(?:guardian)[:\s]+([^\n]{3,50})")),
+    FieldSpec("guardian_relation", "base", "any", (r"(?:guardian\s+relation|guardian\s+relationship|relation)[:\s]+([A-Za-z\s]+)",)),
+    FieldSpec("guardian_phone", "phone", "phone", (r"(?:guardian'?s\s+phone|guardian\s+phone|guardian\s+contact)[:\s]+([+\d\s\-()]{10,15})",)),
     FieldSpec("annual_income", "number", "any", (r"(?:annual\s+income|income|family\s+income)[:\s]+([\d,\.]+)", r"(?:annual\s+income)[:\s]+([\d]+)")),
-    FieldSpec("tenth_board", "base", "any", (r"(?:10th\s+board|10\s+board|tenth\s+board|ssc\s+board)" + _LETTERS,)),
+    FieldSpec("tenth_board", "base", "any", (r"(?:10th\s+board|10\s+board|tenth\s+board|ssc\s+board)[:\s]+([A-Za-z\s]+)",)),
     FieldSpec("tenth_year", "base", "any", (r"(?:10th\s+year|10\s+year|tenth\s+year|ssc\s+year)[:\s]+(\d{4})",)),
     FieldSpec("tenth_percentage", "number", "percent", (r"(?:10th\s+percentage|10\s+percentage|tenth\s+percentage|ssc\s+percentage|10th\s+%)[:\s]+([\d\.]+)",)),
     FieldSpec("tenth_school", "address", "short", (r"(?:10th\s+school|10\s+school|tenth\s+school|ssc\s+school)[:\s]+([^\n]{3,100})",)),
-    FieldSpec("twelfth_board", "base", "any", (r"(?:12th\s+board|12\s+board|twelfth\s+board|hsc\s+board|intermediate\s+board)" + _LETTERS,)),
+    FieldSpec("twelfth_board", "base", "any", (r"(?:12th\s+board|12\s+board|twelfth\s+board|hsc\s+board|intermediate\s+board)[:\s]+([A-Za-z\s]+)",)),
     FieldSpec("twelfth_year", "base", "any", (r"(?:12th\s+year|12\s+year|twelfth\s+year|hsc\s+year|intermediate\s+year)[:\s]+(\d{4})",)),
     FieldSpec("twelfth_percentage", "number", "percent", (r"(?:12th\s+percentage|12\s+percentage|twelfth\s+percentage|hsc\s+percentage|12th\s+%)[:\s]+([\d\.]+)",)),
     FieldSpec("twelfth_school", "address", "short", (r"(?:12th\s+school|12\s+school|twelfth\s+school|hsc\s+school|intermediate\s+school)[:\s]+([^\n]{3,100})",)),
@@ -72,7 +67,7 @@ SPECS = (
     FieldSpec("course_applied", "base", "short", (r"(?:course|program|subject|stream|course\s+applied|program\s+applied|course\s+of\s+study)[:\s]+([^\n]{3,100})", r"(?:course|program)[:\s]+([A-Za-z\s&]+)")),
     FieldSpec("application_number", "id", "any", (r"(?:application\s+no|application\s+number|app\s+no|app\s+number)[:\s]+([A-Z0-9\-]+)",)),
     FieldSpec("enrollment_number", "base", "any", (r"(?:enrollment\s+no|enrollment\s+number|enrol\s+no|enrolment\s+number|roll\s+no|roll\s+number)[:\s]+([A-Z0-9\-\/]+)", r"(?:enrollment|enrolment|roll)[:\s]+([A-Z0-9\-\/]+)")),
-    FieldSpec("admission_date", "date", "date", (r"(?:admission\s+date|date\s+of\s+admission)[:\s]+" + _DATE,)),
+    FieldSpec("admission_date", "date", "date", (r"(?:admission\s+date|date\s+of\s+admission)[:\s]+(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})",)),
 )
 
 
@@ -155,27 +150,40 @@ def to_structured(names: list[str]) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names])), lambda k, v: v.isNotNull())
 
 
+# The patterns of the nine-field profile; group 1 is taken, or the whole where it is empty.
+LITE = {
+    "student_name": (r"(?i)(?:name|student\s+name|applicant\s+name|full\s+name)[:\s]+([a-z\s]+?)(?:\n|phone|dob|email|address|$)", r"(?m)^([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*$"),
+    "name_check": (r"(?i)^[a-z\s'-]+$",),
+    "email": (r"(?i)([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})",),
+    "phone_number": (r"(?i)(?:phone|mobile|contact|tel)[:\s]+([+\d\s\-()]{10,15})", r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", r"\d{10,15}"),
+    "date_of_birth": (r"(?i)(?:dob|date\s+of\s+birth|birth\s+date|born)[:\s]+(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})", r"(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})"),
+    "address": (r"(?i)(?:address|residence|location)[:\s]+([^\n]+(?:\n[^\n]+){0,3})",),
+    "guardian_name": (r"(?i)(?:guardian|parent|father|mother)[:\s]+([a-z\s]+?)(?:\n|phone|email|$)",),
+    "guardian_phone": (r"(?i)(?:guardian|parent)[\s\w]*phone[:\s]+([+\d\s\-()]{10,15})",),
+    "course_applied": (r"(?i)(?:course|program|subject|stream)[:\s]+([^\n]+)",),
+    "previous_qualification": (r"(?i)(?:qualification|education|degree|diploma)[:\s]+([^\n]+)",),
+}
+
+
 def extract_fields_lite(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Nine fields by line-aware patterns."""
     t = F.coalesce(F.col(text), F.lit(""))
-    get = lambda p, flags="(?i)": F.trim(F.regexp_extract(t, flags + p, 1))
+    get = lambda p, group=1: F.trim(F.regexp_extract(t, p, group))
     digits = lambda c: F.regexp_replace(c, r"[^\d+]", "")
     between = lambda c, lo, hi: F.when((F.char_length(c) > lo) & (F.char_length(c) < hi), c)
-    names = [get(r"(?:name|student\s+name|applicant\s+name|full\s+name)[:\s]+([a-z\s]+?)(?:\n|phone|dob|email|address|$)"), get(r"^([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*$", "(?m)")]
-    phones = [digits(get(r"(?:phone|mobile|contact|tel)[:\s]+([+\d\s\-()]{10,15})")), digits(F.regexp_extract(t, r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", 0)), F.regexp_extract(t, r"\d{10,15}", 0)]
-    dates = [get(r"(?:dob|date\s+of\s+birth|birth\s+date|born)[:\s]+" + _DATE), get(_DATE)]
-    lines = F.filter(F.transform(F.split(get(r"(?:address|residence|location)[:\s]+([^\n]+(?:\n[^\n]+){0,3})"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    address = F.array_join(lines, ", ")
-    guardian_phone = digits(get(r"(?:guardian|parent)[\s\w]*phone[:\s]+([+\d\s\-()]{10,15})"))
     tidy = lambda c: F.initcap(F.regexp_replace(c, r"\s+", " "))
+    labelled, plain, bare = LITE["phone_number"]
+    phones = [digits(get(labelled)), digits(F.coalesce(F.nullif(get(plain), F.lit("")), get(plain, 0))), get(bare, 0)]
+    lines = F.filter(F.transform(F.split(get(LITE["address"][0]), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    address, guardian_phone = F.array_join(lines, ", "), digits(get(LITE["guardian_phone"][0]))
     return df.withColumns({
-        "student_name": F.coalesce(*[F.when(n.rlike(r"(?i)^[a-z\s'-]+$"), tidy(between(n, 2, 50))) for n in names]),
-        "email": F.nullif(F.lower(get(r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})")), F.lit("")),
+        "student_name": F.coalesce(*[F.when(get(p).rlike(LITE["name_check"][0]), tidy(between(get(p), 2, 50))) for p in LITE["student_name"]]),
+        "email": F.nullif(F.lower(get(LITE["email"][0])), F.lit("")),
         "phone_number": F.coalesce(*[between(p, 9, 16) for p in phones]),
-        "date_of_birth": F.coalesce(*[between(d, 7, 13) for d in dates]),
+        "date_of_birth": F.coalesce(*[between(get(p), 7, 13) for p in LITE["date_of_birth"]]),
         "address": F.when(F.char_length(address) > 10, address),
-        "guardian_name": tidy(between(get(r"(?:guardian|parent|father|mother)[:\s]+([a-z\s]+?)(?:\n|phone|email|$)"), 2, 50)),
+        "guardian_name": tidy(between(get(LITE["guardian_name"][0]), 2, 50)),
         "guardian_phone": F.when(F.char_length(guardian_phone) >= 10, guardian_phone),
-        "course_applied": between(get(r"(?:course|program|subject|stream)[:\s]+([^\n]+)"), 3, 100),
-        "previous_qualification": between(get(r"(?:qualification|education|degree|diploma)[:\s]+([^\n]+)"), 3, 100),
+        "course_applied": between(get(LITE["course_applied"][0]), 3, 100),
+        "previous_qualification": between(get(LITE["previous_qualification"][0]), 3, 100),
     })

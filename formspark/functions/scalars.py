@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .. import schemas
 from ..sources.tables import ALIASES, BEST, PROVIDERS
 
 _LABELS = {p[0]: p[1] for p in PROVIDERS}
@@ -49,7 +50,9 @@ def mode_score(confidence: Column, words: Column) -> Column:
 
 
 def provider_label(c: Column) -> Column:
-    free = F.initcap(F.regexp_replace(c, "[-_]", " "))
+    """Known labels, or the name with spaces for - and _ and the first letter of each word raised."""
+    words = F.split(F.regexp_replace(c, "[-_]", " "), r"\b(?=[A-Za-z0-9])")
+    free = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
     return F.when(F.coalesce(c, F.lit("")) == "", "Not specified").otherwise(F.coalesce(_lookup(PROVIDER_LABELS, F.lower(c)), free))
 
 
@@ -65,7 +68,9 @@ def format_size(c: Column) -> Column:
 
 
 def iso(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text, with microseconds where there are any."""
+    micros = F.date_format(c, ".SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != ".000000", micros).otherwise(""))
 
 
 def format_date(c: Column) -> Column:
@@ -101,6 +106,11 @@ def merge_info(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
 
+def parse_extraction(c: Column) -> Column:
+    """The JSON of an extraction as a struct; parts it lacks, and texts that aren't JSON, are NULL."""
+    return F.from_json(c, schemas.EXTRACTED)
+
+
 @F.pandas_udf(DoubleType())
 def field_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts; 0 where the second is empty."""

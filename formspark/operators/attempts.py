@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,14 @@ def all_attempts(attempts: DataFrame) -> DataFrame:
     return maps.join(best_attempt(attempts).select("form_id", "page", F.col("provider").alias("best_provider")), ["form_id", "page"])
 
 
-def assemble_pages(pages: DataFrame, mode: str = "upload") -> DataFrame:
-    """One row a form: raw_text with page markers, confidence, pages_processed, provider of the first page, page_results."""
+def assemble_pages(pages: DataFrame, mode: str = "upload", keys: tuple[str | Column, ...] = ("form_id",)) -> DataFrame:
+    """One row a form (or other keys): raw_text with page markers, confidence, pages_processed, provider of the first page,
+    page_results. One form is one row: its pages must fit into a task."""
     worded = F.trim(F.coalesce("raw_text", F.lit(""))) != ""
     c = F.when(worded & (F.col("confidence") != 0), F.col("confidence")) if mode == "upload" else F.col("confidence")
     n = F.count("*") if mode == "upload" else F.count_if(F.col("raw_text").isNotNull() | F.col("confidence").isNotNull())
     row = F.struct("page", "raw_text", "confidence", "provider")
-    out = pages.groupBy("form_id").agg(F.array_sort(F.collect_list(row)).alias("page_results"), round_at(F.coalesce(F.avg(c), F.lit(0.0)), 2).alias("confidence"), n.alias("pages_processed"), F.min_by("provider", "page").alias("provider"))
+    out = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("page_results"), round_at(F.coalesce(F.avg(c), F.lit(0.0)), 2).alias("confidence"), n.alias("pages_processed"), F.min_by("provider", "page").alias("provider"))
     said = F.transform(F.filter("page_results", lambda p: F.trim(F.coalesce(p["raw_text"], F.lit(""))) != ""), lambda p: F.concat(F.lit("\n--- Page "), p["page"].cast("string"), F.lit(" ---\n"), p["raw_text"]))
     return out.withColumn("raw_text", F.array_join(said, "\n"))
 
@@ -58,10 +61,17 @@ def split_pages(forms: DataFrame) -> DataFrame:
     return forms.select("form_id", F.explode(F.slice(parts, 2, 1 << 30)).alias("p")).select("form_id", F.regexp_extract("p", r"^(\d+) ---\n", 1).try_cast("int").alias("page"), F.regexp_replace("p", r"^\d+ ---\n", "").alias("raw_text"))
 
 
-def shown_pages(forms: DataFrame) -> Column:
+def shown_pages() -> Column:
+    """The number of pages to show: those counted, or else those held, or else one."""
     return F.coalesce(F.nullif("pages_processed", F.lit(0)), F.nullif(F.size("page_results"), F.lit(0)), F.lit(1))
 
 
+def union_pages(lists: list[DataFrame]) -> DataFrame:
+    """The page lists of several files (form_id, page, ...), numbered through in the order of the files."""
+    own = [p.withColumnRenamed("page", "page_in_file").withColumn("file_ord", F.lit(k)) for k, p in enumerate(lists)]
+    return number_pages(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own))
+
+
 def number_pages(pages: DataFrame) -> DataFrame:
     """Pages of several files of one form, numbered through."""
     return pages.withColumn("page", F.row_number().over(Window.partitionBy("form_id").orderBy("file_ord", "page_in_file")))

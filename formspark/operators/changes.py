@@ -22,15 +22,24 @@ def _met(forms: DataFrame, changes: DataFrame) -> tuple[DataFrame, list[str]]:
     return forms.join(new, F.col("id") == F.col("_id"), "left"), [c for c in own if c in changes.columns]
 
 
-def apply_verifications(forms: DataFrame, changes: DataFrame, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The forms with all fields overwritten by the last verification of each, and the rejects (blank names)."""
+def apply_verifications(forms: DataFrame, changes: DataFrame, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The forms with all fields overwritten by the last verification of each (fields it lacks become NULL), the rejects
+    (blank names), and the next profiles, where profiles are given: a verified form is linked to the profile of its name
+    and Aadhar number, which is created if there is none. Other forms keep their links."""
     last = latest(changes)
     blank = F.trim(F.coalesce("student_name", F.lit(""))) == ""
     met, own = _met(forms, last.filter(~blank))
     hit = F.col("_id").isNotNull()
-    out = met.withColumns({c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in own} | {"status": F.when(hit, "verified").otherwise(F.col("status")), "verified_date": F.when(hit, F.col("_at")).otherwise(F.col("verified_date"))})
-    out = out.select(*forms.columns)
-    return (link_profiles(out, profiles) if profiles is not None else out), last.filter(blank)
+    every = [c for c in (*schemas.FIELDS, "additional_info") if c in forms.columns]
+    new = {c: F.when(~hit, F.col(c)).otherwise(F.col(f"_{c}") if c in own else F.lit(None)) for c in every}
+    out = met.withColumns(new | {"status": F.when(hit, "verified").otherwise(F.col("status")), "verified_date": F.when(hit, F.col("_at")).otherwise(F.col("verified_date"))})
+    if profiles is None:
+        return out.select(*forms.columns), last.filter(blank), None
+    out = cut(out.select(*forms.columns, hit.alias("_hit")))
+    done, rest = out.filter("_hit").drop("_hit"), out.filter("NOT _hit").drop("_hit")
+    keyed = done if "aadhar_number" in done.columns else done.withColumn("aadhar_number", F.lit(None).cast("string"))
+    known = cut(upsert_profiles(profiles, keyed.select("student_name", "aadhar_number", F.col("verified_date").alias("at"))))
+    return link_profiles(keyed, known).select(*forms.columns).unionByName(rest), last.filter(blank), known
 
 
 def apply_patches(forms: DataFrame, patches: DataFrame) -> DataFrame:
@@ -119,8 +128,14 @@ def delete_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def apply_reextraction(forms: DataFrame, assembled: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Forms with a new extraction (form_id, provider; provider NULL: it failed) get its fields, provider and status."""
-    new = assembled.select(F.col("form_id").alias("_id"), F.col("provider").alias("_provider"))
+    """Forms with a new extraction (form_id, provider; provider NULL: it failed) get its fields, provider and status, and
+    extracted_data, where forms have it, of those of its parts that assembled holds. A failed one changes the status only."""
+    new = assembled.select(F.col("form_id").alias("_id"), F.struct(*assembled.columns).alias("_new"))
     out = autofill(forms, parsed).join(new, F.col("id") == F.col("_id"), "left")
-    hit = F.col("_id").isNotNull()
-    return out.withColumns({"status": F.when(hit & F.col("_provider").isNull(), "error").when(hit, "extracted").otherwise(F.col("status")), "ocr_provider": F.coalesce("_provider", "ocr_provider")}).select(*forms.columns)
+    hit, done = F.col("_id").isNotNull(), F.col("_new.provider").isNotNull()
+    got = {"status": F.when(hit & ~done, "error").when(hit, "extracted").otherwise(F.col("status")), "ocr_provider": F.coalesce("_new.provider", "ocr_provider")}
+    if "extracted_data" in forms.columns:
+        parts = forms.schema["extracted_data"].dataType
+        whole = F.struct(*[(F.col(f"_new.{p.name}") if p.name in assembled.columns else F.lit(None)).cast(p.dataType).alias(p.name) for p in parts.fields])
+        got["extracted_data"] = F.when(done, whole).otherwise(F.col("extracted_data"))
+    return out.withColumns(got).select(*forms.columns)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import SPECS, FieldSpec, extract_fields
 from ..functions.scalars import edit_similarity, field_similarity, norm_text, normalize_confidence, round_at
 
 
@@ -23,6 +26,21 @@ def evaluate_fields(labels: DataFrame, parsed: DataFrame, raw: DataFrame | None
     return met.select("sample_id", "field", "expected", "actual", round_at(F.col("_r"), 3).alias("similarity"), (F.col("_r") >= 0.999).alias("exact_match"), "found_in_raw")
 
 
+def structured_or_parsed(extractions: DataFrame, specs: tuple[FieldSpec, ...] = SPECS) -> DataFrame:
+    """sample_id, field, actual from extractions (sample_id, raw_text, structured_data, form_type): the structured data
+    where there are any, or else what the raw text of a sample of known form type gives."""
+    has = F.coalesce(F.size("structured_data") > 0, F.lit(False))
+    given = extractions.filter(has).select("sample_id", F.explode("structured_data").alias("field", "actual"))
+    names = [s.name for s in specs]
+    parsed = extract_fields(extractions.filter(~has & (F.nullif("form_type", F.lit("")).isNotNull())).select("sample_id", "raw_text"), specs=specs)
+    return given.unionByName(parsed.unpivot(["sample_id"], names, "field", "actual").filter("actual IS NOT NULL"))
+
+
+def union_reports(reports: list[DataFrame]) -> DataFrame:
+    """The reports of several providers one after the other; columns that one lacks are NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)
+
+
 def score_samples(scores: DataFrame, by: tuple[str, ...] = ("sample_id",)) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("similarity").alias("similarity"), F.avg(F.col("exact_match").cast("double")).alias("exact_rate"), F.count("*").alias("n_fields"))
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .. import schemas
 
 
 def _newest(docs: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
@@ -13,12 +16,18 @@ def _newest(docs: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
 
 
 def with_documents(forms: DataFrame, docs: DataFrame, names: tuple[str, ...] = ("filename", "document_category", "file_size")) -> DataFrame:
+    """forms with their documents, newest first, as an array. The documents of one form are one row: they must fit into a
+    task (form_documents reads those of a form of any number)."""
     nested = _newest(docs, "form_id", names)
     out = forms.join(nested, F.col("id") == F.col("_key"), "left")
     return out.withColumn("documents", F.coalesce("_rows", F.array().cast(nested.schema["_rows"].dataType))).drop("_key", "_rows")
 
 
-form_detail = with_documents
+def form_detail(forms: DataFrame, docs: DataFrame) -> DataFrame:
+    """All parts of a form, in one order: its summary, what was extracted, every field, and its documents. Columns that
+    forms lacks are NULL."""
+    out, own = with_documents(forms, docs, schemas.DOCUMENT_VIEW), StructType.fromDDL(schemas.FORMS)
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(own[c].dataType).alias(c) for c in schemas.DETAIL])
 
 
 def profile_counts(profiles: DataFrame, forms: DataFrame, docs: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ SQL = {
     "forms": """
 SELECT o_orderkey AS id, concat('form_', cast(o_orderkey AS string), CASE o_orderkey % 5 WHEN 0 THEN '_SRCC.pdf' WHEN 1 THEN ' Data Form.PNG' WHEN 2 THEN '.exe' ELSE '.jpg' END) AS filename,
   concat('uploads/', cast(o_orderkey AS string)) AS file_path, o_orderdate AS upload_date,
-  CASE o_orderkey % 4 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'google' WHEN 2 THEN 'azure-vision' ELSE 'my_own-ocr' END AS ocr_provider,
+  CASE o_orderkey % 4 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'google' WHEN 2 THEN 'azure-vision' ELSE 'myOCR_own-ocr' END AS ocr_provider,
   CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'P' THEN 'extracted' ELSE 'uploaded' END AS status,
   o_custkey AS student_profile_id, c_name AS student_name, c_mktsegment AS course_applied, concat('ENR', cast(o_orderkey AS string)) AS enrollment_number, concat('APP-', cast(o_custkey AS string)) AS application_number,
   concat('+91', lpad(cast(c_custkey AS string), 10, '9')) AS phone_number, lower(concat(replace(c_name, '#', '.'), '@mail.example')) AS email,

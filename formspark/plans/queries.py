@@ -55,11 +55,12 @@ query("list_documents", "SELECT id, upload_date FROM docs ORDER BY upload_date D
 query("recent_forms", "SELECT id FROM forms ORDER BY upload_date DESC, id DESC LIMIT 10", "forms")(lambda f: search.list_forms(f, 0, 10).select("id"))
 query("sort_by_name", "SELECT id, student_name FROM forms ORDER BY student_name DESC, id DESC LIMIT 25", "forms")(lambda f: search.list_forms(f, 0, 25, sort_by="student_name").select("id", "student_name"))
 query("count_results", "SELECT count(*) AS n FROM forms WHERE course_applied ILIKE '%house%'", "forms")(lambda f: search.search_forms(f, course_applied="house").agg(F.count("*").alias("n")))
-_iso = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
+_iso = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', {c}) % 1000000 <> 0 THEN strftime({c}, '.%f') ELSE '' END"
 _have = ("id", "filename", "status", "ocr_provider", "student_profile_id", "student_name", "aadhar_number", "phone_number", "email", "course_applied", "application_number", "enrollment_number")
-_EXPORT_SQL = "SELECT " + ", ".join((f"{c}" if c in _have else f"{_iso(c)}" if c in ("upload_date", "verified_date") else "NULL::VARCHAR") + f' AS "{schemas.export_label(c)}"' for c in schemas.EXPORT) + " FROM forms WHERE status = 'verified'"
-query("export_csv_view", _EXPORT_SQL, "forms")(lambda f: sinks.csv_view(search.export_forms(f)))
-query("export_json_view", _EXPORT_SQL, "forms")(lambda f: sinks.json_view(search.export_forms(f)))
+_EXPORT_SQL = "SELECT " + ", ".join((f"{c}" if c in _have else f"{_iso(c)}" if c in ("upload_date", "verified_date") else "NULL::VARCHAR") + f' AS "{schemas.export_label(c)}"' for c in schemas.EXPORT) + " FROM (SELECT * REPLACE (upload_date + to_microseconds(id % 3 * 125000) AS upload_date) FROM forms ) f WHERE status = 'verified'"
+_timed = lambda f: f.withColumn("upload_date", F.col("upload_date") + F.expr("make_dt_interval(0, 0, 0, cast(id % 3 * 0.125 AS decimal(18,6)))"))
+query("export_csv_view", _EXPORT_SQL, "forms")(lambda f: sinks.csv_view(search.export_forms(_timed(f))))
+query("export_json_view", _EXPORT_SQL, "forms")(lambda f: sinks.json_view(search.export_forms(_timed(f))))
 
 # Intake and dimensions
 query("validate_intake", "SELECT id, CASE WHEN filename ILIKE '%.exe' THEN 'extension' WHEN size > 10485760 THEN 'size' END AS reason, NOT filename ILIKE '%.exe' AND size <= 10485760 AS accepted FROM (SELECT id, filename, cast(o_totalprice * 50 AS bigint) AS size FROM forms) x", "forms")(lambda f: tables.validate_intake(f.select("id", "filename", (F.col("o_totalprice") * 50).cast("decimal(20,0)").cast("long").alias("size"))).select("id", "reason", "accepted"))
@@ -75,8 +76,8 @@ query("profile_forms", "SELECT id FROM forms WHERE student_profile_id = 10", "fo
 query("form_documents", "SELECT id FROM docs WHERE form_id = 3", "docs")(lambda d: relations.form_documents(d, 3).select("id"))
 query("profile_documents", "SELECT id FROM docs WHERE student_profile_id = 4", "docs")(lambda d: relations.profile_documents(d, 4).select("id"))
 query("orphan_documents", "SELECT id, 'form' AS missing FROM docs WHERE form_id IS NOT NULL AND form_id NOT IN (SELECT id FROM forms) UNION ALL SELECT id, 'profile' FROM docs WHERE student_profile_id IS NOT NULL AND student_profile_id NOT IN (SELECT id FROM profiles)", "docs", "forms", "profiles")(relations.orphan_documents)
-query("existing_profiles", "SELECT f.id FROM forms f WHERE EXISTS (SELECT 1 FROM profiles p WHERE p.id % 2 = 0 AND p.student_name = f.student_name AND p.aadhar_number IS NOT DISTINCT FROM f.aadhar_number)", "forms", "profiles")(lambda f, p: relations.existing_profiles(f, p.filter("id % 2 = 0")).select("id"))
-query("link_profiles", "SELECT f.id, p.id AS student_profile_id FROM forms f LEFT JOIN profiles p ON p.id % 2 = 0 AND p.student_name = f.student_name AND p.aadhar_number IS NOT DISTINCT FROM f.aadhar_number", "forms", "profiles")(lambda f, p: relations.link_profiles(f.drop("student_profile_id"), p.filter("id % 2 = 0")).select("id", "student_profile_id"))
+query("existing_profiles", "SELECT f.id FROM forms f WHERE EXISTS (SELECT 1 FROM profiles p WHERE p.student_name = f.student_name AND p.aadhar_number IS NOT DISTINCT FROM f.aadhar_number)", "forms", "profiles")(lambda f, p: relations.existing_profiles(f, p).select("id"))
+query("link_profiles", "SELECT f.id, p.id AS student_profile_id FROM forms f LEFT JOIN profiles p ON p.student_name = f.student_name AND p.aadhar_number IS NOT DISTINCT FROM f.aadhar_number", "forms", "profiles")(lambda f, p: relations.link_profiles(f.drop("student_profile_id"), p).select("id", "student_profile_id"))
 query("dashboard", "SELECT count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'extracted') AS pending, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM profiles) AS profiles FROM forms", "forms", "docs", "profiles")(attempts.dashboard)
 
 # Attempts and pages
@@ -97,7 +98,7 @@ query("form_status", "SELECT form_id, CASE WHEN count(*) FILTER (error IS NULL)
 query("page_confidence", "SELECT form_id AS page_id, coalesce(avg(confidence) FILTER (confidence > 0), 0) AS confidence, count(*) FILTER (trim(raw_text) <> '') AS word_count FROM attempts GROUP BY form_id", "attempts")(lambda a: layout.page_confidence(a.select(F.col("form_id").alias("page_id"), F.col("raw_text").alias("text"), "confidence")))
 query("assemble_lines", "SELECT form_id AS page_id, trim(string_agg(raw_text, chr(10) ORDER BY attempt_ord)) AS raw_text FROM attempts GROUP BY form_id", "attempts")(lambda a: layout.assemble_lines(a.select(F.col("form_id").alias("page_id"), F.col("attempt_ord").alias("line_no"), F.col("raw_text").alias("text"))))
 query("kv_map", "SELECT form_id AS page_id, provider AS key, arg_max(raw_text, attempt_ord) AS value FROM attempts GROUP BY form_id, provider", "attempts")(lambda a: layout.kv_map(a.select(F.col("form_id").alias("page_id"), F.col("provider").alias("key"), F.col("raw_text").alias("value"), F.col("attempt_ord").alias("ord"))).select("page_id", F.explode("structured_data")))
-query("tables_from_cells", "SELECT form_id AS page_id, max(page) + 1 AS row_count, max(attempt_ord) + 1 AS column_count, count(*) AS cells FROM attempts GROUP BY form_id", "attempts")(lambda a: layout.tables_from_cells(a.select(F.col("form_id").alias("page_id"), F.lit(0).alias("table_no"), F.col("page").alias("row_index"), F.col("attempt_ord").alias("column_index"), F.col("raw_text").alias("content"))).select("page_id", "row_count", "column_count", F.size(F.flatten("rows")).alias("cells")))
+query("tables_from_cells", "SELECT form_id AS page_id, max(page) + 1 AS row_count, max(attempt_ord) + 1 AS column_count, string_agg(raw_text, '|' ORDER BY page, attempt_ord) AS cells FROM attempts GROUP BY form_id", "attempts")(lambda a: layout.tables_from_cells(a.select(F.col("form_id").alias("page_id"), F.lit(0).alias("table_no"), F.col("page").alias("row_index"), F.col("attempt_ord").alias("column_index"), F.col("raw_text").alias("content"))).select("page_id", "row_count", "column_count", F.array_join(F.flatten("rows"), "|").alias("cells")))
 query("selection_counts", "SELECT form_id AS page_id, count(*) FILTER (page = 1) AS n_selected, count(*) AS n_marks FROM attempts WHERE attempt_ord % 3 <> 0 GROUP BY form_id", "attempts")(lambda a: layout.selection_counts(layout.selection_marks(a.select(F.col("form_id").alias("page_id"), F.col("attempt_ord").cast("string").alias("block_id"), F.when(F.col("attempt_ord") % 3 != 0, "SELECTION_ELEMENT").otherwise("WORD").alias("block_type"), F.when(F.col("page") == 1, "SELECTED").otherwise("NOT_SELECTED").alias("selection_status"), "confidence"))))
 
 
@@ -141,8 +142,25 @@ for _group, _names in schemas.GROUPS.items():
 _bare = tuple(s for s in fields.SPECS if s.name in ("email", "pincode", "date_of_birth"))
 query("extract_free_text", extraction_sql("(SELECT doc_id AS id, text AS raw_text FROM documents)", _bare), "documents")(lambda d: fields.extract_fields(d.select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text")), specs=_bare).select("id", *[s.name for s in _bare]))
 query("validation_report", "SELECT id, 'aadhar_number' AS field, substr(aadhar_number, 1, 11) AS value FROM forms WHERE aadhar_number IS NOT NULL AND id % 2 = 0", "forms")(lambda f: fields.validation_report(f.withColumn("aadhar_number", F.when(F.col("id") % 2 == 0, F.substring("aadhar_number", 1, 11)).otherwise(F.col("aadhar_number")))))
-query("extract_all_map", None, "rendered")(lambda r: fields.extract_fields(r).select("id", fields.to_structured(list(schemas.FIELDS)).alias("structured_data")))
-query("extract_lite", None, "rendered")(lambda r: fields.extract_fields_lite(r).drop("raw_text"))
+_ALL_SQL = "SELECT id, e.field AS field, e.value AS value FROM (SELECT id, unnest([" + ", ".join(f"{{'field': '{n}', 'value': {n}}}" for n in schemas.FIELDS) + f"]) AS e FROM ({extraction_sql('rendered', fields.SPECS)}) x) y WHERE e.value IS NOT NULL"
+query("extract_all_map", _ALL_SQL, "rendered")(lambda r: fields.extract_fields(r).select("id", F.explode(fields.to_structured(list(schemas.FIELDS))).alias("field", "value")))
+
+
+def _lite_sql(source: str) -> str:
+    get = lambda name, k=0, group=1: "trim(regexp_extract(t, '" + fields.LITE[name][k].replace("'", "''") + f"', {group}))"
+    digits = lambda v: f"regexp_replace({v}, '[^\\d+]', '', 'g')"
+    tidy = lambda v: f"array_to_string(list_transform(string_split(regexp_replace({v}, '\\s+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+    between = lambda v, lo, hi: f"CASE WHEN length({v}) > {lo} AND length({v}) < {hi} THEN {v} END"
+    check = fields.LITE["name_check"][0].replace("'", "''")
+    names = ", ".join(f"CASE WHEN regexp_matches(n{k}, '{check}') AND length(n{k}) > 2 AND length(n{k}) < 50 THEN {tidy(f'n{k}')} END" for k in range(2))
+    address = "array_to_string(list_filter(list_transform(string_split(ad, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ', ')"
+    return f"""SELECT id, coalesce({names}) AS student_name, nullif(lower(em), '') AS email, coalesce({", ".join(between(f"p{k}", 9, 16) for k in range(3))}) AS phone_number, coalesce({", ".join(between(f"d{k}", 7, 13) for k in range(2))}) AS date_of_birth,
+  CASE WHEN length({address}) > 10 THEN {address} END AS address, CASE WHEN length(gn) > 2 AND length(gn) < 50 THEN {tidy("gn")} END AS guardian_name, CASE WHEN length(gp) >= 10 THEN gp END AS guardian_phone, {between("co", 3, 100)} AS course_applied, {between("qu", 3, 100)} AS previous_qualification
+FROM (SELECT id, {get("student_name")} AS n0, {get("student_name", 1)} AS n1, {get("email")} AS em, {digits(get("phone_number"))} AS p0, {digits(f"coalesce(nullif({get('phone_number', 1)}, ''), {get('phone_number', 1, 0)})")} AS p1, {get("phone_number", 2, 0)} AS p2,
+  {get("date_of_birth")} AS d0, {get("date_of_birth", 1)} AS d1, {get("address")} AS ad, {get("guardian_name")} AS gn, {digits(get("guardian_phone"))} AS gp, {get("course_applied")} AS co, {get("previous_qualification")} AS qu FROM (SELECT id, raw_text AS t FROM {source} ) a) b"""
+
+
+query("extract_lite", _lite_sql("rendered"), "rendered")(lambda r: fields.extract_fields_lite(r).drop("raw_text"))
 
 # Elements
 _marks = lambda c: c.select(F.col("conv_id").alias("doc_id"), F.concat(F.when(F.col("turn") % 2 == 0, "[x] yes\n( ) no\n☐\n\nlater\n● on\nGender: Male\nGrade - A\n").otherwise("[ ] off ☑ on\n"), "text").alias("text"))
@@ -159,22 +177,30 @@ _DROP_SQL = " + ".join(f"len(list_filter(regexp_extract_all(l[i], '{p}', 1), lam
 _COUNTS_SQL = f"""SELECT doc_id, sum(cb)::bigint AS checkbox_count, sum(ra)::bigint AS radio_count, sum(dd)::bigint AS dropdown_count, sum(cb + ra + dd)::bigint AS total_elements
 FROM (SELECT doc_id, {_marks_sql(elements.CHECKBOXES)} AS cb, {_marks_sql(elements.RADIOS)} AS ra, {_DROP_SQL} AS dd FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ({_MARKS_SQL}) a) b) c GROUP BY doc_id HAVING sum(cb + ra + dd) > 0"""
 query("element_counts", _COUNTS_SQL, "conversations")(lambda c: elements.element_counts(elements.detect_elements(_marks(c))))
-query("dropdowns", "SELECT doc_id, label, value, line FROM (SELECT conv_id AS doc_id, unnest([{'label': 'Gender', 'value': 'Male', 'line': 7}, {'label': 'Grade', 'value': 'A', 'line': 8}], recursive := true) FROM conversations WHERE turn % 2 = 0)", "conversations")(lambda c: elements.detect_dropdowns(_marks(c)).filter("line <= 8 AND (line > 2 OR label = 'Gender')").select("doc_id", "label", "value", "line"))
+_TRIMMED = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_DROPDOWNS_SQL = " UNION ALL ".join(f"SELECT doc_id, i AS line, unnest(list_zip(regexp_extract_all(l[i], '{p}', 1), regexp_extract_all(l[i], '{p}', 2))) AS m FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ({_MARKS_SQL}) a) b{k}" for k, p in enumerate(elements.DROPDOWN))
+query("dropdowns", f"SELECT doc_id, {_TRIMMED('m[1]')} AS label, {_TRIMMED('m[2]')} AS value, line::int AS line FROM ({_DROPDOWNS_SQL}) c WHERE regexp_matches(lower(m[1]), '{'|'.join(elements.KEYWORDS)}')", "conversations")(lambda c: elements.detect_dropdowns(_marks(c)).select("doc_id", "label", "value", "line"))
 
 # Scalars
 query("confidence", f"SELECT form_id, attempt_ord, CASE WHEN c <= 1 THEN c * 100 ELSE c END AS normal, CASE WHEN c IS NULL THEN 'neutral' WHEN CASE WHEN c <= 1 THEN c * 100 ELSE c END >= 90 THEN 'high' WHEN CASE WHEN c <= 1 THEN c * 100 ELSE c END >= 75 THEN 'medium' ELSE 'low' END AS band, CASE WHEN c IS NULL THEN 'n/a' ELSE cast(cast(round(cast(CASE WHEN c <= 1 THEN c * 100 ELSE c END AS decimal(20,10)), 1) AS decimal(18,1)) AS string) || '%' END AS text FROM (SELECT *, CASE WHEN attempt_ord % 2 = 0 THEN confidence / 100 ELSE confidence END AS c FROM attempts)", "attempts")(lambda a: a.withColumn("c", F.when(F.col("attempt_ord") % 2 == 0, F.col("confidence") / 100).otherwise(F.col("confidence"))).select("form_id", "attempt_ord", scalars.normalize_confidence(F.col("c")).alias("normal"), scalars.confidence_band(F.col("c")).alias("band"), scalars.format_confidence(F.col("c")).alias("text")))
-query("labels", "SELECT id, CASE ocr_provider WHEN 'tesseract' THEN 'Tesseract (Local)' WHEN 'google' THEN 'Google Vision' WHEN 'azure-vision' THEN 'Azure Vision' ELSE 'My Own Ocr' END AS provider, CASE status WHEN 'verified' THEN 'Verified' WHEN 'extracted' THEN 'Pending Verification' ELSE 'Uploaded' END AS status FROM forms", "forms")(lambda f: f.select("id", scalars.provider_label(F.col("ocr_provider")).alias("provider"), scalars.status_label(F.col("status")).alias("status")))
+query("labels", "SELECT id, CASE ocr_provider WHEN 'tesseract' THEN 'Tesseract (Local)' WHEN 'google' THEN 'Google Vision' WHEN 'azure-vision' THEN 'Azure Vision' ELSE 'MyOCR Own Ocr' END AS provider, CASE status WHEN 'verified' THEN 'Verified' WHEN 'extracted' THEN 'Pending Verification' ELSE 'Uploaded' END AS status FROM forms", "forms")(lambda f: f.select("id", scalars.provider_label(F.col("ocr_provider")).alias("provider"), scalars.status_label(F.col("status")).alias("status")))
 query("file_sizes", "SELECT id, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN cast(cast(round(cast(file_size / 1024 AS decimal(30,10)), 2) AS decimal(28,2)) AS string) || ' KB' ELSE cast(cast(round(cast(file_size / 1048576 AS decimal(30,10)), 2) AS decimal(28,2)) AS string) || ' MB' END AS size FROM docs", "docs")(lambda d: d.select("id", scalars.format_size(F.col("file_size")).alias("size")))
-query("resolve_provider", "SELECT id, CASE WHEN id % 2 = 0 THEN 'best' ELSE ocr_provider END AS provider FROM forms", "forms")(lambda f: f.select("id", scalars.resolve_provider(F.when(F.col("id") % 2 == 0, "MULTI").otherwise(""), F.col("ocr_provider"), "tesseract").alias("provider")))
-query("error_category", "SELECT form_id, attempt_ord, CASE WHEN error IS NOT NULL THEN 'corrupt_image' END AS category FROM attempts", "attempts")(lambda a: a.select("form_id", "attempt_ord", scalars.error_category(F.col("error")).alias("category")))
+query("resolve_provider", "SELECT id, CASE WHEN id % 2 = 0 THEN 'best' ELSE lower(ocr_provider) END AS provider FROM forms", "forms")(lambda f: f.select("id", scalars.resolve_provider(F.when(F.col("id") % 2 == 0, "MULTI").otherwise(""), F.col("ocr_provider"), "tesseract").alias("provider")))
+query("error_category", "SELECT form_id, attempt_ord, CASE WHEN attempt_ord % 4 = 1 THEN 'tool_missing' WHEN attempt_ord % 4 = 2 THEN 'other' WHEN attempt_ord % 4 = 3 OR error IS NOT NULL THEN 'corrupt_image' END AS category FROM attempts", "attempts")(lambda a: a.withColumn("error", F.when(F.col("attempt_ord") % 4 == 1, "Tesseract is NOT FOUND here").when(F.col("attempt_ord") % 4 == 2, "out of memory").when(F.col("attempt_ord") % 4 == 3, "broken data stream when reading").otherwise(F.col("error"))).select("form_id", "attempt_ord", scalars.error_category(F.col("error")).alias("category")))
 query("similarity", "SELECT id, CASE WHEN b = '' THEN 0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) END AS edits FROM (SELECT id, lower(student_name) AS a, email AS b FROM forms)", "forms")(lambda f: f.select("id", scalars.edit_similarity(scalars.norm_text(F.col("student_name")), F.col("email")).alias("edits")))
 query("block_similarity", None, "forms")(lambda f: f.select("id", scalars.field_similarity(scalars.norm_text(F.col("student_name")), F.col("email")).alias("blocks")))
-query("active_filters", "SELECT id, CASE WHEN aadhar_number IS NULL THEN 1 ELSE 2 END AS n FROM forms", "forms")(lambda f: f.select("id", F.size(scalars.active_filters(F.create_map(F.lit("status"), "status", F.lit("email"), F.lit(""), F.lit("aadhar"), "aadhar_number"))).alias("n")))
-query("merge_info", "SELECT id, status AS a, 'new' AS b FROM forms", "forms")(lambda f: f.withColumn("m", scalars.merge_info(F.create_map(F.lit("a"), "status", F.lit("b"), F.lit("old")), F.create_map(F.lit("b"), F.lit("new")))).select("id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b")))
+query("active_filters", "SELECT id, CASE WHEN aadhar_number IS NULL THEN 'status=' || status ELSE 'aadhar=' || aadhar_number || ',status=' || status END AS active FROM forms", "forms")(lambda f: f.select("id", F.array_join(F.transform(F.array_sort(F.map_entries(scalars.active_filters(F.create_map(F.lit("status"), "status", F.lit("email"), F.lit(""), F.lit("aadhar"), "aadhar_number")))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("active")))
+query("merge_info", "SELECT id, CASE WHEN id % 5 <> 0 THEN status END AS a, CASE id % 3 WHEN 0 THEN CASE WHEN id % 5 <> 0 THEN 'old' END ELSE 'new' END AS b, (CASE WHEN id % 5 <> 0 THEN 2 ELSE 0 END + CASE WHEN id % 5 = 0 AND id % 3 <> 0 THEN 1 ELSE 0 END)::int AS n FROM forms", "forms")(lambda f: f.withColumn("m", scalars.merge_info(F.when(F.col("id") % 5 != 0, F.create_map(F.lit("a"), "status", F.lit("b"), F.lit("old"))), F.when(F.col("id") % 3 != 0, F.create_map(F.lit("b"), F.lit("new"))))).select("id", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"), F.size("m").alias("n")))
+query("format_date", "SELECT id, CASE id % 3 WHEN 0 THEN '-' WHEN 1 THEN strftime(upload_date, '%Y-%m-%d') ELSE 'on ' || id END AS shown FROM forms", "forms")(lambda f: f.select("id", scalars.format_date(F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, scalars.iso(F.col("upload_date"))).otherwise(F.concat(F.lit("on "), F.col("id").cast("string")))).alias("shown")))
+query("parse_extraction", f"SELECT form_id, pages_processed, page, raw_text, confidence, provider FROM (SELECT *, count(*) OVER (PARTITION BY form_id) AS pages_processed FROM form_pages)", "form_pages")(lambda p: attempts.assemble_pages(p).select("form_id", scalars.parse_extraction(F.to_json(F.struct("raw_text", "confidence", "provider", "pages_processed", "page_results"))).alias("e")).select("form_id", F.col("e.pages_processed").cast("long").alias("pages_processed"), F.inline("e.page_results")))
 
 # Changes
 _patch = lambda f: f.filter("id % 3 = 0").select(F.col("id").alias("form_id"), F.when(F.col("id") % 2 == 0, " ").otherwise(F.concat(F.lit("New "), "student_name")).alias("student_name"), F.lit(None).cast("string").alias("email"), F.col("upload_date").alias("submitted_at"))
-query("apply_verifications", "SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 1 THEN 'New ' || student_name ELSE student_name END AS student_name, CASE WHEN NOT (id % 3 = 0 AND id % 2 = 1) THEN email END AS email, CASE WHEN id % 3 = 0 AND id % 2 = 1 THEN 'verified' ELSE status END AS status FROM forms", "forms")(lambda f: changes.apply_verifications(f, _patch(f))[0].select("id", "student_name", "email", "status"))
+_VERIFIED_SQL = """SELECT f.id, CASE WHEN hit THEN 'New ' || student_name ELSE student_name END AS student_name, CASE WHEN NOT hit THEN email END AS email, CASE WHEN NOT hit THEN phone_number END AS phone_number, CASE WHEN NOT hit THEN course_applied END AS course_applied,
+  CASE WHEN hit THEN 'verified' ELSE status END AS status, CASE WHEN hit THEN top + nth END AS student_profile_id
+FROM (SELECT *, id % 3 = 0 AND id % 2 = 1 AS hit FROM forms ) f LEFT JOIN (SELECT student_name AS n, row_number() OVER (ORDER BY student_name) AS nth FROM (SELECT DISTINCT student_name FROM forms WHERE id % 3 = 0 AND id % 2 = 1) y) z ON f.student_name = n, (SELECT max(id) AS top FROM profiles ) t"""
+query("apply_verifications", _VERIFIED_SQL, "forms", "profiles")(lambda f, p: changes.apply_verifications(f.withColumn("student_profile_id", F.lit(None).cast("long")), _patch(f), p)[0].select("id", "student_name", "email", "phone_number", "course_applied", "status", "student_profile_id"))
+query("verified_profiles", "SELECT id, student_name, aadhar_number FROM profiles UNION ALL SELECT (SELECT max(id) FROM profiles ) + row_number() OVER (ORDER BY n), n, NULL FROM (SELECT DISTINCT 'New ' || student_name AS n FROM forms WHERE id % 3 = 0 AND id % 2 = 1) x", "forms", "profiles")(lambda f, p: changes.apply_verifications(f, _patch(f), p.withColumn("created_date", F.col("updated_date")))[2].select("id", "student_name", "aadhar_number"))
 query("verification_rejects", "SELECT id AS form_id FROM forms WHERE id % 6 = 0", "forms")(lambda f: changes.apply_verifications(f, _patch(f))[1].select("form_id"))
 query("apply_patches", "SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN ' ' ELSE 'New ' || student_name END ELSE student_name END AS student_name, email, CASE WHEN id % 3 = 0 THEN 'verified' ELSE status END AS status, coalesce(verified_date, CASE WHEN id % 3 = 0 THEN upload_date END) AS verified_date FROM forms", "forms")(lambda f: changes.apply_patches(f, _patch(f)).select("id", "student_name", "email", "status", "verified_date"))
 query("autofill", "SELECT id, CASE WHEN id % 2 = 0 THEN 'x' ELSE student_name END AS student_name, coalesce(aadhar_number, CASE WHEN id % 2 = 0 THEN '1' END) AS aadhar_number FROM forms", "forms")(lambda f: changes.autofill(changes.autofill(f, f.filter("id % 2 = 0").select("id", F.lit("x").alias("student_name"), F.lit("").alias("email"))), f.filter("id % 2 = 0").select("id", F.lit("1").alias("aadhar_number")), overwrite=False).select("id", "student_name", "aadhar_number"))
@@ -196,6 +222,9 @@ def _eval(r: DataFrame, how: str) -> DataFrame:
     return evaluate.evaluate_fields(labels, long, r.select(F.col("id").alias("sample_id"), "raw_text"), how)
 
 
+_STRUCTURED_SQL = "SELECT sample_id, field, actual FROM (SELECT id AS sample_id, 'email' AS field, CASE WHEN id % 3 = 0 THEN 's@t.u' WHEN id % 3 = 1 THEN email END AS actual FROM ({}) x UNION ALL SELECT id, 'city', CASE WHEN id % 3 = 1 THEN city END FROM ({}) y) z WHERE actual IS NOT NULL"
+_PARSED = tuple(s for s in fields.SPECS if s.name in ("email", "city"))
+query("structured_or_parsed", _STRUCTURED_SQL.format(*[extraction_sql("rendered", _PARSED)] * 2), "rendered")(lambda r: evaluate.structured_or_parsed(r.select(F.col("id").alias("sample_id"), "raw_text", F.when(F.col("id") % 3 == 0, F.create_map(F.lit("email"), F.lit("s@t.u"))).alias("structured_data"), F.when(F.col("id") % 3 != 2, "srcc").alias("form_type")), _PARSED))
 query("evaluate_blocks", None, "rendered")(lambda r: _eval(r, "blocks"))
 _EVAL = tuple(s for s in fields.SPECS if s.name in ("email", "aadhar_number", "city"))
 _LABELED_SQL = " UNION ALL ".join(f"SELECT id, lower(trim({s.name})) AS a, lower(trim(CASE WHEN id % 4 = 0 THEN translate({s.name}, '1a', '7o') ELSE {s.name} END)) AS e FROM ({extraction_sql('rendered', _EVAL)}) x_{s.name}" for s in _EVAL)
@@ -210,7 +239,10 @@ query("needs_review", "SELECT form_id, page FROM form_pages WHERE CASE WHEN conf
 query("qc_sample", "SELECT id FROM forms WHERE status = 'verified' AND ('0x' || substr(md5(cast(id AS string)), 1, 6))::bigint % 100 < 7", "forms")(lambda f: evaluate.qc_sample(f, 7).select("id"))
 query("cost_report", "SELECT canonical, count(*) AS pages, cast(round(cast(sum(price) AS decimal(20,10)), 4) AS double) AS estimated_cost FROM (SELECT CASE provider WHEN 'google' THEN 'google-vision' ELSE provider END AS canonical, cast(CASE provider WHEN 'google' THEN 0.0015 WHEN 'aws-textract' THEN 0.0015 WHEN 'abbyy' THEN 0.01 ELSE 0 END AS double) AS price FROM attempts) x GROUP BY canonical", "attempts")(lambda a: evaluate.cost_report(a, tables.provider_dim(a.sparkSession)))
 query("impute_confidence", "SELECT form_id, attempt_ord, coalesce(confidence, CASE provider WHEN 'google' THEN 95.0 WHEN 'aws-textract' THEN 85.0 WHEN 'abbyy' THEN 90.0 END)::double AS confidence FROM attempts", "attempts")(lambda a: evaluate.impute_confidence(a, tables.provider_dim(a.sparkSession)).select("form_id", "attempt_ord", "confidence"))
-query("union_reports", "SELECT id, 'a' AS report FROM forms WHERE id % 2 = 0 UNION ALL SELECT id, 'b' FROM forms WHERE id % 2 = 1", "forms")(lambda f: f.filter("id % 2 = 0").select("id", F.lit("a").alias("report")).unionByName(f.filter("id % 2 = 1").select("id", F.lit("b").alias("report"))))
+query("union_reports", "SELECT id, 'a' AS report, NULL AS status FROM forms WHERE status = 'verified' UNION ALL SELECT id, 'b', status FROM forms WHERE status <> 'verified'", "forms")(lambda f: evaluate.union_reports([f.filter("status = 'verified'").select("id", F.lit("a").alias("report")), f.filter("status <> 'verified'").select("id", F.lit("b").alias("report"), "status")]))
+query("union_pages", "SELECT form_id, provider, row_number() OVER (PARTITION BY form_id ORDER BY provider <> 'user', page) AS page FROM form_pages", "form_pages")(lambda p: attempts.union_pages([p.filter("provider = 'user'"), p.filter("provider <> 'user'")]).select("form_id", "provider", "page"))
+query("shown_pages", "SELECT form_id, CASE WHEN form_id % 3 = 0 THEN 1 ELSE count(*) END AS pages FROM form_pages GROUP BY form_id", "form_pages")(lambda p: attempts.assemble_pages(p).withColumns({"pages_processed": F.when(F.col("form_id") % 3 == 1, F.col("pages_processed")), "page_results": F.when(F.col("form_id") % 3 != 0, F.col("page_results"))}).select("form_id", attempts.shown_pages().cast("long").alias("pages")))
+query("form_detail", "SELECT f.id, filename, f.status, student_name, email, NULL AS pincode, coalesce(ids, []) AS document_ids FROM forms f LEFT JOIN (SELECT form_id, list(id ORDER BY upload_date DESC, id DESC) AS ids FROM docs GROUP BY form_id) d ON form_id = f.id", "forms", "docs")(lambda f, d: relations.form_detail(f, d).select("id", "filename", "status", "student_name", "email", "pincode", F.col("documents.id").alias("document_ids")))
 
 _FLAG = tuple(s for s in fields.SPECS if s.name in ("email", "phone_number"))
 _FLAG_TEXT = f"(SELECT form_id AS id, coalesce({_PAGES}, '') AS raw_text FROM form_pages GROUP BY form_id)"

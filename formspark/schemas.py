@@ -29,6 +29,7 @@ PAGES = "form_id BIGINT, page INT, raw_text STRING, confidence DOUBLE, provider
 ANNOTATIONS = "file STRING, filename STRING, form_type STRING, fields MAP<STRING,STRING>, confidence MAP<STRING,DOUBLE>, notes STRING"
 
 SUMMARY = ("id", "filename", "upload_date", "status", "ocr_provider", "student_profile_id")
+DETAIL = (*SUMMARY, "extracted_data", *FIELDS, "additional_info", "verified_date", "documents")
 DOCUMENT_VIEW = ("id", "filename", "document_category", "description", "upload_date", "file_size", "form_id", "student_profile_id", "file_path")
 
 

@@ -36,10 +36,11 @@ def json_view(forms: DataFrame) -> DataFrame:
 
 
 def export_json(forms: DataFrame, filters: dict[str, str], path: str) -> None:
-    """The forms under path/forms, one row about the export under path/manifest."""
+    """The forms under path/forms, one row about the export under path/manifest: generated_at, count and the filters as
+    an object."""
     json_view(forms).write.json(f"{path}/forms", ignoreNullFields=False, mode="overwrite")
-    own = {k: str(v) for k, v in filters.items() if v not in (None, "")}
-    about = forms.agg(F.count("*").alias("count")).select(iso(F.current_timestamp()).alias("generated_at"), "count", F.lit(str(own)).alias("filters"))
+    own = F.create_map(*[F.lit(x) for k, v in filters.items() if v not in (None, "") for x in (k, str(v))]).cast("map<string,string>")
+    about = forms.agg(F.count("*").alias("count")).select(iso(F.current_timestamp()).alias("generated_at"), "count", own.alias("filters"))
     about.write.json(f"{path}/manifest", mode="overwrite")
 
 

@@ -76,16 +76,20 @@ def missing_providers(requested: DataFrame, dim: DataFrame) -> DataFrame:
     return requested.join(F.broadcast(dim), requested.provider == dim.name, "left_anti")
 
 
-def discover_samples(labels: DataFrame, files: DataFrame, only_ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Labels (label, file, filename, ...) with the path of their raw file: by name if one is given, else by stem.
+def discover_samples(labels: DataFrame, files: DataFrame, only_ids: list[str] | None = None, limit: int | None = None, missing: str = "null") -> DataFrame:
+    """Labels (label, file, filename, ...) with the path of their raw file: by name if one is given, else by stem. Of
+    several files of one name the least path is taken.
 
-    A label without a file has path NULL, so that a caller can refuse it.
+    missing: "null" gives a label without a file path NULL, "error" fails the query that reads it.
     """
     own = labels.withColumn("sample_id", file_stem(F.col("label"))).withColumn("_named", F.coalesce(F.nullif("file", F.lit("")), F.nullif("filename", F.lit(""))))
     if only_ids:
         own = own.filter(F.lower("sample_id").isin(*[i.lower() for i in only_ids]))
-    by_name = files.select(F.col("filename").alias("_f"), F.col("path").alias("_p1"))
+    by_name = files.groupBy(F.col("filename").alias("_f")).agg(F.min("path").alias("_p1"))
     by_stem = files.groupBy(file_stem(F.col("filename")).alias("_s")).agg(F.min("path").alias("_p2"))
     met = own.join(by_name, F.col("_named") == F.col("_f"), "left").join(by_stem, F.col("_named").isNull() & (F.col("sample_id") == F.col("_s")), "left")
-    met = met.withColumn("path", F.coalesce("_p1", "_p2")).drop("_named", "_f", "_s", "_p1", "_p2").orderBy("label")
+    found = F.coalesce("_p1", "_p2")
+    if missing == "error":
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("no raw file for sample "), "sample_id")).cast("string"))
+    met = met.withColumn("path", found).drop("_named", "_f", "_s", "_p1", "_p2").orderBy("label")
     return met.limit(limit) if limit is not None else met

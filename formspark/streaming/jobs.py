@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fields import extract_fields
 from ..operators.attempts import assemble_pages
 from ..operators.changes import apply_patches
+from ..sources.tables import validate_intake
 
 PAGES = "form_id BIGINT, page INT, raw_text STRING, confidence DOUBLE, provider STRING, ts TIMESTAMP"
 
@@ -26,18 +27,40 @@ def stream_extract(spark: SparkSession, path: str, out: str, checkpoint: str) ->
     return found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
+def stream_intake(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """New rows of a manifest (filename, size) -> out/accepted=true and out/accepted=false, the latter with a reason."""
+    return validate_intake(files).writeStream.format("parquet").partitionBy("accepted").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
 def stream_assemble(pages: DataFrame, late: str = "10 minutes", within: str = "1 hour") -> DataFrame:
-    """A form is complete when its window closes; pages later than the watermark are left out."""
-    row = F.struct("page", "raw_text", "confidence", "provider")
-    return pages.withWatermark("ts", late).groupBy("form_id", F.window("ts", within)).agg(F.array_sort(F.collect_list(row)).alias("page_results")).select("form_id", F.col("window.end").alias("closed_at"), "page_results")
+    """assemble_pages' columns, closed_at, and is_complete (pages 1 to the last are all there) of each form.
+
+    A form is told when its window closes; pages later than the watermark are left out.
+    """
+    out = assemble_pages(pages.withWatermark("ts", late), keys=("form_id", F.window("ts", within)))
+    numbers = F.array_distinct("page_results.page")
+    return out.select("form_id", F.col("window.end").alias("closed_at"), "raw_text", "confidence", "pages_processed", "provider", "page_results", (F.size(numbers) == F.array_max(numbers)).alias("is_complete"))
+
 
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
-def stream_upsert(changes: DataFrame, snapshot: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of patches gives the next snapshot under snapshot/<batch>."""
+
+def write_snapshot(forms: DataFrame, path: str, parts: int = 64) -> None:
+    """forms as a snapshot for stream_upsert: dealt into parts by id."""
+    forms.withColumn("part", _part("id", parts)).repartition("part").write.partitionBy("part").parquet(path)
+
+
+def stream_upsert(changes: DataFrame, snapshot: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Each micro-batch of patches rewrites the parts of the snapshot that hold its forms, and no others.
+
+    A batch that is applied again, after a failure, gives the same rows.
+    """
 
     def apply(batch: DataFrame, n: int) -> None:
-        forms = batch.sparkSession.read.parquet(f"{snapshot}/{n}")
-        apply_patches(forms, batch).write.mode("overwrite").parquet(f"{snapshot}/{n + 1}")
+        hit = [r[0] for r in batch.select(_part("form_id", parts)).distinct().collect()]  # parts at most
+        forms = batch.sparkSession.read.parquet(snapshot).filter(F.col("part").isin(hit))
+        apply_patches(forms, batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(snapshot)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -64,4 +87,4 @@ def with_extractor(df: DataFrame, extract: Callable[[pd.DataFrame], pd.DataFrame
     return df.select(key, "raw_text").mapInPandas(run, schema)
 
 
-__all__ = ["assemble_pages", "read_pages", "stream_assemble", "stream_extract", "stream_upsert", "with_extractor"]
+__all__ = ["assemble_pages", "read_pages", "stream_assemble", "stream_extract", "stream_intake", "stream_upsert", "with_extractor", "write_snapshot"]

@@ -3,9 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from formspark import schemas
+from formspark import schemas, ship
 from formspark.functions import elements, fields, scalars
-from formspark.operators import attempts, changes, search
+from formspark.operators import attempts, changes, lineage, relations, search
 from formspark.sources import sinks, tables
 
 
@@ -41,7 +41,9 @@ def test_exports(spark, forms, tmp_path):
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"', multiLine=True)
     assert len(back.columns) == 51 and back.filter("`Form ID` = 1").first()["Upload Date"] == "2025-04-10T09:30:00"
     sinks.export_json(full.drop("additional_info").withColumn("additional_info", F.lit(None).cast("map<string,string>")), {"status": "verified", "email": ""}, str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json/manifest")).first()["count"] == 4
+    about = spark.read.json(str(tmp_path / "json/manifest")).first()
+    assert about["count"] == 4 and about.filters.asDict() == {"status": "verified"} and len(about.generated_at) in (19, 26)
+    assert back.filter("`Form ID` = 3").first()["Upload Date"] == "2025-04-30T23:59:59.999999"
 
 
 def test_parser_text(spark):
@@ -74,3 +76,67 @@ def test_upserted_profiles_get_new_ids(spark):
     keys = spark.createDataFrame([("A", "", dt.datetime(2025, 1, 1)), ("C", None, dt.datetime(2025, 1, 2)), ("D", "2", dt.datetime(2025, 1, 2))], "student_name string, aadhar_number string, at timestamp")
     rows = changes.upsert_profiles(p, keys).collect()
     assert sorted((r.id, r.student_name) for r in rows) == [(5, "A"), (9, "B"), (10, "C"), (11, "D")]
+
+
+def test_a_new_extraction_replaces_the_old(spark):
+    forms = spark.createDataFrame([], schemas.FORMS).select("id", "status", "ocr_provider", "email", "extracted_data")
+    old = ("old", 1.0, None, "a", 1, None, 1, [])
+    forms = spark.createDataFrame([(i, "uploaded", "a", None, old) for i in (1, 2, 3)], forms.schema)
+    new = spark.createDataFrame([(1, "new", 80.0, "b", 2), (2, None, None, None, None)], "form_id long, raw_text string, confidence double, provider string, pages_processed int")
+    got = {r.id: r for r in changes.apply_reextraction(forms, new, spark.createDataFrame([(1, "x@y.z")], "id long, email string")).collect()}
+    assert {i: (r.status, r.ocr_provider, r.email, r.extracted_data.raw_text, r.extracted_data.pages_processed, r.extracted_data.word_count) for i, r in got.items()} == {1: ("extracted", "b", "x@y.z", "new", 2, None), 2: ("error", "a", None, "old", 1, 1), 3: ("uploaded", "a", None, "old", 1, 1)}
+
+
+def test_extractions_from_json(spark):
+    text = '{"raw_text": "t", "confidence": 9.5, "structured_data": {"a": "b"}, "page_results": [{"page": 1, "raw_text": "t"}], "other": 1}'
+    rows = spark.createDataFrame([(1, text), (2, "no json"), (3, None)], "id long, x string").select("id", scalars.parse_extraction(F.col("x")).alias("e")).orderBy("id").collect()
+    assert (rows[0].e.raw_text, rows[0].e.confidence, rows[0].e.structured_data, rows[0].e.page_results[0].page, rows[0].e.provider) == ("t", 9.5, {"a": "b"}, 1, None)
+    assert rows[1].e is None or rows[1].e.raw_text is None
+    assert rows[2].e is None
+
+
+def test_forms_of_unknown_profiles_stay_without_one(spark, forms):
+    profiles = spark.createDataFrame([(7, "Alice Johnson", None)], "id long, student_name string, aadhar_number string")
+    got = {r.id: r.student_profile_id for r in relations.link_profiles(forms.withColumn("aadhar_number", F.lit("")), profiles).collect()}
+    assert got == {1: 7, 2: None, 3: None, 4: None}
+    assert ids(relations.existing_profiles(forms.withColumn("aadhar_number", F.lit(None).cast("string")), profiles)) == [1]
+
+
+def test_labels_raise_first_letters_only(spark):
+    rows = spark.createDataFrame([("myOCR-x_two",), ("google",), ("",), (None,), ("GOOGLE-VISION",)], "p string").select(scalars.provider_label(F.col("p")).alias("l")).collect()
+    assert [r.l for r in rows] == ["MyOCR X Two", "Google Vision", "Not specified", "Not specified", "Google Vision"]
+
+
+def test_detail_has_every_part(spark, forms):
+    docs = spark.createDataFrame([], schemas.DOCUMENTS)
+    out = relations.form_detail(forms.withColumn("file_path", F.lit("x")), docs)
+    assert out.columns == list(schemas.DETAIL) and out.count() == 4 and out.first().documents == []
+
+
+def test_folders_are_refused_where_tasks_run_elsewhere():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Session())
+
+
+def test_the_package_is_sent_to_other_machines(tmp_path):
+    import zipfile
+
+    class Context:
+        master, environment, listFiles = "local-cluster[1,1,512]", {}, []
+
+        def addPyFile(self, path):
+            self.listFiles = [*self.listFiles, path]
+
+    session = type("Session", (), {"sparkContext": Context()})()
+    ship.ship(session)
+    ship.ship(session)
+    assert len(session.sparkContext.listFiles) == 1
+    assert "formspark/operators/attempts.py" in zipfile.ZipFile(session.sparkContext.listFiles[0]).namelist()

@@ -33,7 +33,9 @@ def test_forms_close_with_their_window_and_late_pages_stay_out(spark, tmp_path):
         spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(where)
         closed = jobs.stream_assemble(jobs.read_pages(spark, where))
         closed.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
-        return {r.form_id: [p.page for p in r.page_results] for r in spark.read.parquet(out).collect()}
+        done = spark.read.parquet(out).collect()
+        assert all(r.is_complete == (r.pages_processed == max(p.page for p in r.page_results)) and r.raw_text.count("--- Page") == r.pages_processed and r.confidence == 9.0 for r in done)
+        return {r.form_id: [p.page for p in r.page_results] for r in done}
 
     assert batch([(1, 2, "b", 9.0, "x", at(5)), (1, 1, "a", 9.0, "x", at(8))]) == {}
     assert batch([(2, 1, "c", 9.0, "x", at(130))]) == {1: [1, 2]}
@@ -43,13 +45,26 @@ def test_forms_close_with_their_window_and_late_pages_stay_out(spark, tmp_path):
 def test_changes_from_a_stream_give_snapshots(spark, tmp_path):
     snap, where, mark = (str(tmp_path / x) for x in ("snap", "in", "mark"))
     cols = "student_name string, email string, status string, verified_date timestamp"
-    spark.createDataFrame([(1, "A", "a@b.co", "extracted", None), (2, "B", None, "extracted", None)], f"id long, {cols}").write.parquet(f"{snap}/0")
+    jobs.write_snapshot(spark.createDataFrame([(i, "ABC"[i % 3], "a@b.co" if i == 1 else None, "extracted", None) for i in range(40)], f"id long, {cols}"), snap, parts=8)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "snap").rglob("*.parquet")}
+    before = files()
     change = "form_id long, student_name string, email string, submitted_at timestamp"
     for n, rows in enumerate(([(1, "Ann", None, at(1)), (1, "An", None, at(0))], [(2, None, "b@c.co", at(2))])):
         spark.createDataFrame(rows, change).write.mode("append").parquet(where)
-        jobs.stream_upsert(spark.readStream.schema(change).parquet(where), snap, mark).awaitTermination()
-    got = {r.id: (r.student_name, r.email, r.status) for r in spark.read.parquet(f"{snap}/2").collect()}
-    assert got == {1: ("Ann", "a@b.co", "verified"), 2: ("B", "b@c.co", "extracted")}
+        jobs.stream_upsert(spark.readStream.schema(change).parquet(where), snap, mark, parts=8).awaitTermination()
+    got = {r.id: (r.student_name, r.email, r.status) for r in spark.read.parquet(snap).collect()}
+    assert got == {i: ("ABC"[i % 3], None, "extracted") for i in range(40)} | {1: ("Ann", "a@b.co", "verified"), 2: ("C", "b@c.co", "extracted")}
+    kept = {p.parent.name for p, t in before.items() if files().get(p) == t}
+    assert 0 < len(kept) < len({p.parent.name for p in before})  # other parts aren't written again
+
+
+def test_manifests_are_split(spark, tmp_path):
+    where, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    own = "filename string, size long"
+    for rows in ([("a.pdf", 5), ("b.exe", 5)], [("c.png", 11 << 20)]):
+        spark.createDataFrame(rows, own).write.mode("append").parquet(where)
+        jobs.stream_intake(spark.readStream.schema(own).parquet(where), out, mark).awaitTermination()
+    assert sorted((r.filename, r.accepted, r.reason) for r in spark.read.parquet(out).collect()) == [("a.pdf", "true", None), ("b.exe", "false", "extension"), ("c.png", "false", "size")]
 
 
 def test_a_row_that_fails_spoils_no_other(spark):
@@ -68,6 +83,10 @@ def test_samples_meet_their_files(spark):
     files = spark.createDataFrame([("in/x.png", "x.png"), ("in/b.pdf", "b.pdf")], "path string, filename string")
     assert [(r.sample_id, r.path) for r in tables.discover_samples(labels, files).collect()] == [("a", "in/x.png"), ("b", "in/b.pdf"), ("c", None)]
     assert [r.sample_id for r in tables.discover_samples(labels, files, only_ids=["B", "A"], limit=1).collect()] == ["a"]
+    twice = files.union(spark.createDataFrame([("in2/x.png", "x.png"), ("in2/b.tif", "b.tif")], files.schema))
+    assert [(r.sample_id, r.path) for r in tables.discover_samples(labels, twice, missing="error").filter("sample_id <> 'c'").collect()] == [("a", "in/x.png"), ("b", "in/b.pdf")]
+    with pytest.raises(PySparkException, match="no raw file for sample c"):
+        tables.discover_samples(labels, files, missing="error").collect()
 
 
 def test_readers_keep_their_schemas(spark, tmp_path):
@@ -94,7 +113,9 @@ def test_reports_are_written(spark, tmp_path):
 
 def test_the_miner_is_a_table_function(spark):
     spark.udtf.register("form_elements", elements.FormElements)
-    rows = spark.sql("SELECT t.id, e.* FROM VALUES (1, '[x] yes\\n☐\\nlater'), (2, '( ) no'), (3, NULL) AS t(id, text), LATERAL form_elements(t.text) e").collect()
+    rows = spark.sql("SELECT t.id, e.* FROM VALUES (1, '[x] yes\\n☐\\nlater'), (2, '( ) no'), (3, NULL), (4, 'My Gender: Male') AS t(id, text), LATERAL form_elements(t.text) e").collect()
+    assert {(r.type, r.label, r.value, r.line, r.position) for r in rows if r.id == 4} == {("dropdown", "My Gender", "Male", 1, 0)} and {r.position for r in rows} == {0}
+    rows = [r for r in rows if r.id < 4]
     assert {(r.id, r.type, r.checked, r.label, r.line) for r in rows} == {(1, "checkbox", True, "yes", 1), (1, "checkbox", False, "later", 2), (2, "checkbox", False, "no", 1), (2, "radio", False, "no", 1)}
 
 
