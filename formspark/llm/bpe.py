@@ -1,4 +1,8 @@
-"""Byte-level BPE with a rank queue: a hierarchical bitmap of merge ranks over buckets of linked-list positions."""
+"""Byte-level BPE with a rank queue: a hierarchical bitmap of merge ranks over buckets of linked-list positions.
+
+All new short pre-tokens of a batch share one queue, whose buckets are arrays: the next rank merges in all of them at once,
+the leftmost place of each. A long pre-token has a queue of its own, which merges place by place.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,8 @@ from . import text_arrays as ta
 
 #: Pre-tokens whose ids a worker remembers (some 250 bytes each); when full, it starts anew.
 REMEMBERED = 800_000
+#: Pre-tokens of more bytes have a queue of their own and aren't remembered.
+LONG = 48
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -79,6 +85,101 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """The rank of each pair of ids that merges; an open hash table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        left, right, rank = np.array(splits, np.int64).reshape(-1, 3).T
+        key, bits = left << 32 | right, (len(splits) * 4).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ranks = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, -1, np.int64)
+        at, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            if at.max() + 2 > len(self.keys):
+                self.keys, self.ranks = (np.append(x, np.full(64, -1)) for x in (self.keys, self.ranks))
+            new = todo[self.keys[at[todo]] < 0]
+            self.keys[at[new]] = key[new]
+            todo = todo[self.keys[at[todo]] != key[todo]]
+            at[todo] += 1
+        self.ranks[at] = rank
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Their ranks; -1 for pairs that don't merge."""
+        key = left << 32 | right
+        at = self._slot(key)
+        found = self.keys[at]
+        while len(on := np.flatnonzero((found != key) & (found >= 0))):
+            at[on] += 1
+            found[on] = self.keys[at[on]]
+        return np.where(found == key, self.ranks[at], -1)
+
+
+def merge_together(pieces: list[bytes], pairs: Pairs, of_byte: np.ndarray) -> list[bytes]:
+    """merge of each of many pieces, as little-endian 32-bit integers, by one queue: the positions of a rank merge together,
+    the leftmost of each piece; the others of a piece wait in the bucket, since a lower rank may come up before them."""
+    size = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    n, stop = len(data), np.cumsum(size)
+    piece = np.repeat(np.arange(len(pieces)), size)
+    ids = np.append(of_byte[data], 0)
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    after[stop - 1], before[stop - size] = n, -1
+    alive, pair = np.ones(n, bool), np.full(n + 1, -1, np.int64)
+    buckets: dict[int, list[np.ndarray]] = {}
+    top, low = 0, {}
+
+    def put(at: np.ndarray, ranks: np.ndarray) -> None:
+        nonlocal top
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(ranks), 1), bool), ranks[1:] != ranks[:-1])))
+        for r, lo, hi in zip(ranks[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+            if r in buckets:
+                buckets[r].append(at[lo:hi])
+            else:
+                buckets[r] = [at[lo:hi]]
+                low[r >> 6] = low.get(r >> 6, 0) | 1 << (r & 63)
+                top |= 1 << (r >> 6)
+
+    inner = np.flatnonzero(after < n)
+    pair[inner] = pairs.of(ids[inner], ids[inner + 1])
+    put(inner, pair[inner])
+    while top:
+        a = (top & -top).bit_length() - 1
+        x = low[a]
+        r = a << 6 | (x & -x).bit_length() - 1
+        low[a] = x = x & x - 1
+        if not x:
+            top &= top - 1
+        own = buckets.pop(r)
+        i = own[0] if len(own) == 1 else np.sort(np.concatenate(own))
+        i = i[pair[i] == r]  # the others have changed since
+        if not len(i):
+            continue
+        leftmost = np.concatenate(([True], piece[i[1:]] != piece[i[:-1]]))
+        if not leftmost.all():
+            put(i[~leftmost], np.full(len(i) - int(leftmost.sum()), r))
+            i = i[leftmost]
+        j = after[i]
+        k = after[j]
+        ids[i], after[i], before[k] = r, k, i
+        alive[j], pair[j] = False, -1
+        h = before[i]
+        h, to = h[h >= 0], i[h >= 0]
+        at = np.concatenate((i, h))
+        pair[at] = pairs.of(ids[at], np.concatenate((ids[k], ids[to])))
+        pair[i[k == n]] = -1
+        put(at, pair[at])
+    end = np.cumsum(alive)[stop - 1] * 4
+    whole = ids[:n][alive].astype("<u4").tobytes()
+    return [whole[lo:hi] for lo, hi in zip([0, *end.tolist()], end.tolist())]
+
+
 class Codec(dict):
     """Pre-token -> its ids as little-endian 32-bit integers."""
 
@@ -88,17 +189,27 @@ class Codec(dict):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.bytes = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.pairs = Pairs(self.ranks)
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.remembered:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(t) for t in texts]
+        if len(self) > self.remembered:
             self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 32:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        long, short, coded = {}, [], []
+        for piece in {p for own in found for p in own if p not in self}:
+            raw = piece.encode()
+            if (known := self.ranks.get(raw)) is not None:
+                self[piece] = known.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                long[piece] = np.array(merge(raw, self.ranks), "<u4").tobytes()
+            else:
+                short.append(piece)
+                coded.append(raw)
+        if short:
+            self.update(zip(short, merge_together(coded, self.pairs, self.of_byte)))
+        of = self.__getitem__ if not long else lambda p: long.get(p) or self[p]
+        return [b"".join(map(of, own)) for own in found]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -113,22 +224,21 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
     """n_tokens, ids_sha256 and decoded_sha256 of each text, with the ids themselves on request.
 
     rank_path: a rank file of a few MB at most, read by the driver and broadcast. Null and empty texts have no tokens.
-    All other columns of docs than doc_id and text are left out.
+    Repeated rows are rows of the result each; equal texts of a batch are encoded once. All other columns of docs than
+    doc_id and text are left out; no rows give no rows.
     """
     with open(rank_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shipped.value, pattern, remembered)
-        for batch in ta.chunks(batches):
-            n, coded, ids_sha, text_sha, texts = [], [], [], [], batch.column(1)
-            for i in range(batch.num_rows):
-                ids = c.encode(texts[i].as_py() or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                if keep_ids:
-                    coded.append(ids)
+        for batch in ta.chunks(batches, limit=4 << 20):
+            texts = [x.as_py() or "" for x in batch.column(1)]
+            done = dict.fromkeys(texts)  # of the equal texts of a batch, one is encoded
+            for text, ids in zip(done, c.encode(list(done))):
+                done[text] = ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+            coded, ids_sha, text_sha = zip(*(done[t] for t in texts))
+            n = [len(ids) // 4 for ids in coded]
             cols, names = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(coded, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
