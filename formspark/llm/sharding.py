@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Cells of the ring: bounds what reaches the driver and what is broadcast.
 RING_CELLS = 1 << 14
+#: A cell of more than 1 / HOT of all rows, and of more than LARGE, is ranked in HOT parts.
+HOT, LARGE = 256, 10_000
 
 
 def ring_nodes(n_shards: int, vnodes: int = 128, cells: int = RING_CELLS) -> list[tuple[int, int]]:
@@ -68,16 +70,30 @@ def shard_rows(df: DataFrame, key: Column, n_shards: int, tie: list[Column] = ()
     """Adds home_shard, shard and slot (gapless from 0 in each shard) to the rows of df.
 
     Nulls share one key. Rows that agree in key and tie share a cell and are told apart by their rank alone, so equal
-    rows are interchangeable. An empty table gives an empty table. The added columns replace columns of the same name.
+    rows are interchangeable. A key of very many rows is ranked in parts by its ties (rows equal in both share a task). An
+    empty table gives an empty table. The added columns replace columns of the same name.
     """
     spark = df.sparkSession
     h = F.xxhash64(F.lit("ring"), key.cast("string"))
     df = df.withColumns({"_ring_hash": h, "_ring_cell": F.pmod(h, F.lit(RING_CELLS)).cast("int")})
     counts = {r[0]: r[1] for r in df.groupBy("_ring_cell").count().collect()}  # RING_CELLS rows at most
-    parts = spark.createDataFrame(place(counts, n_shards, vnodes, slack=slack), "_cell int, home_shard int, _lo long, _hi long, shard int, _slot long")
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("_ring_cell").orderBy("_ring_hash", key, *tie)))
-    met = ranked.drop("home_shard", "shard", "slot").join(F.broadcast(parts), (F.col("_ring_cell") == F.col("_cell")) & (F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
-    return met.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo") - 1).drop("_ring_hash", "_ring_cell", "_rank", "_cell", "_lo", "_hi", "_slot")
+    hot = [c for c, n in counts.items() if n > max(sum(counts.values()) // HOT, LARGE)]  # fewer than HOT
+    part = F.when(F.col("_ring_cell").isin(hot), F.pmod(F.xxhash64(F.lit("part"), key.cast("string"), *tie), F.lit(HOT)).cast("int")).otherwise(0) if hot else F.lit(0)
+    df = df.withColumn("_ring_part", part)
+    finer: dict[int, list[tuple[int, int, int]]] = {}  # part, rows before it, its rows; HOT * HOT in all at most
+    for cell, p, n in sorted(df.filter(F.col("_ring_cell").isin(hot)).groupBy("_ring_cell", "_ring_part").count().collect()) if hot else []:
+        own = finer.setdefault(cell, [])
+        own.append((p, sum(own[-1][1:]) if own else 0, n))
+    rows = []
+    for cell, home, lo, hi, shard, slot in place(counts, n_shards, vnodes, slack=slack):
+        for p, before, n in finer.get(cell, [(0, 0, counts[cell])]):
+            a, b = max(lo, before), min(hi, before + n)
+            if a < b:
+                rows.append((cell, p, home, a - before, b - before, shard, slot + a - lo))
+    parts = spark.createDataFrame(rows, "_cell int, _part int, home_shard int, _lo long, _hi long, shard int, _slot long")
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("_ring_cell", "_ring_part").orderBy("_ring_hash", key, *tie)))
+    met = ranked.drop("home_shard", "shard", "slot").join(F.broadcast(parts), (F.col("_ring_cell") == F.col("_cell")) & (F.col("_ring_part") == F.col("_part")) & (F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
+    return met.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo") - 1).drop("_ring_hash", "_ring_cell", "_ring_part", "_rank", "_cell", "_part", "_lo", "_hi", "_slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
