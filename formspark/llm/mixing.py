@@ -27,7 +27,7 @@ def exponent(shares: DataFrame, max_repeats: float | None = None, min_entropy: f
     is seen once, and, or else, the entropy of the weights reaches min_entropy (a fraction of its maximum).
 
     shares: one row a source, with its token share. Each round measures 15 exponents at once and keeps the step that
-    holds the limit, so the bracket shrinks 16-fold.
+    holds the limit, so the bracket shrinks 16-fold. Fails if no exponent holds all limits.
     """
     ends = shares.filter("share > 0").agg(F.max("share"), F.min("share"), F.count("*")).first()
     if not ends[2] or ends[2] == 1:
@@ -55,7 +55,7 @@ def exponent(shares: DataFrame, max_repeats: float | None = None, min_entropy: f
         ok = held(at)
         good = [i for i, x in enumerate(ok) if x]
         if not good:
-            return 1.0
+            raise ValueError(f"no exponent repeats sources {max_repeats} times at most and reaches {min_entropy} of the greatest entropy")
         if rising:
             lo, hi = at[max(good[0] - 1, 0)], at[good[0]]
         else:
@@ -86,36 +86,39 @@ def mix(docs: DataFrame, tokens: Column | None = None, max_repeats: float | None
     Rows of the mix: doc_id, source, n_tokens, epoch, place, block, slot. Each pass over a source is a permutation of
     its own; whole passes take every document, the last one takes documents until the source's budget is met. A block
     draws from each source in proportion to its weight and is shuffled within. Null sources form one source; sources
-    without tokens are seen once; rows with equal doc_id stay separate rows. Empty tables give no rows.
+    without tokens are seen once, spread over all blocks; rows of equal doc_id and text stay separate rows, of which a pass
+    takes all or none. Empty tables give no rows.
     """
-    rows = cut(docs.select("doc_id", "source", (words() if tokens is None else tokens).alias("n_tokens")))
-    sources = cut(weigh(rows.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")), max_repeats, min_entropy, budget))
+    rows = cut(docs.select("doc_id", "source", (words() if tokens is None else tokens).alias("n_tokens"), F.xxhash64("text").alias("print")))
+    sources = cut(weigh(rows.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), max_repeats, min_entropy, budget))
     plan = sources.select(F.col("source").alias("_source"), F.col("n_tokens").alias("_all"), "weight", "passes", "rest")
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("epoch", F.explode(F.expr("CASE WHEN passes + CAST(rest > 0 AS INT) > 0 THEN sequence(0, CAST(passes AS INT) + CAST(rest > 0 AS INT) - 1) END")))
-    dealt = dealt.withColumn("place", permuted(seed, F.col("epoch"), F.col("doc_id"))).withColumn("cell", F.shiftright("place", 63 - CELL_BITS))
+    dealt = dealt.withColumn("place", permuted(seed, F.col("epoch"), F.col("doc_id"), F.col("print"))).withColumn("cell", F.shiftright("place", 63 - CELL_BITS))
     keys = ["source", "epoch", "cell"]
     before = dealt.groupBy(*keys).agg(F.sum("n_tokens").alias("_sum"))
     before = before.withColumn("_before", F.sum("_sum").over(Window.partitionBy("source", "epoch").orderBy("cell")) - F.col("_sum")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_before")
-    inside = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    placed = dealt.withColumn("_inside", inside)
+    inside = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
+    placed = dealt.withColumn("_inside", F.coalesce(inside, F.lit(0)))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("epoch") == F.col("_epoch")) & (F.col("cell") == F.col("_cell"))).withColumn("_start", F.col("_before") + F.col("_inside"))
     kept = placed.filter((F.col("epoch") < F.col("passes")) | (F.col("_start") < F.col("rest")))
     at = F.col("epoch") * F.col("_all") + F.col("_start")
-    kept = kept.withColumn("block", F.coalesce(F.floor(F.try_divide(at, F.col("weight") * block_tokens)), F.lit(0)).cast("long"))
-    slot = F.row_number().over(Window.partitionBy("block").orderBy(permuted(seed + 1, F.col("doc_id"), F.col("epoch")), "doc_id", "epoch")).cast("long") - 1
+    size = sources.agg(F.sum(F.when(F.col("n_tokens") > 0, F.col("target")).otherwise(F.col("n_rows")))).first()[0] or 0
+    empty = F.pmod(F.col("place"), F.lit(max(1, math.ceil(size / block_tokens))))
+    kept = kept.withColumn("block", F.coalesce(F.floor(F.try_divide(at, F.col("weight") * block_tokens)), empty).cast("long"))
+    slot = F.row_number().over(Window.partitionBy("block").orderBy(permuted(seed + 1, F.col("doc_id"), F.col("print"), F.col("epoch")), "doc_id", "print", "epoch")).cast("long") - 1
     return kept.select("doc_id", "source", "n_tokens", "epoch", "place", "block", slot.alias("slot")), sources
 
 
 def mix_rows(docs: DataFrame, max_repeats: float | None = 2.0, seed: int = 42) -> DataFrame:
     """docs with each row as often as the mix has it; only a table of one row a source is joined to the texts.
 
-    Rows that share a doc_id (or have none) and a source are repeated alike. All columns of docs stay as they are.
+    Rows that share doc_id, text and source are repeated alike. All columns of docs stay as they are.
     """
     own, count, stop, copy = free(docs, "_source", "_passes", "_end", "_n")
     mixed, sources = mix(docs, max_repeats=max_repeats, seed=seed)
     last = mixed.groupBy("source").agg(F.max(F.struct("epoch", "place")).alias("last"))
     end = F.when((F.col("rest") > 0) & (F.col("last.epoch") == F.col("passes")), F.col("last.place"))
     ends = cut(sources.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias(own), F.col("passes").cast("int").alias(count), end.alias(stop)))
-    n = F.col(count) + F.coalesce((permuted(seed, F.col(count), F.col("doc_id")) <= F.col(stop)).cast("int"), F.lit(0))
+    n = F.col(count) + F.coalesce((permuted(seed, F.col(count), F.col("doc_id"), F.xxhash64("text")) <= F.col(stop)).cast("int"), F.lit(0))
     return docs.join(ends, F.col("source").eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).drop(own, count, stop, copy)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 
 
+import pytest
 from pyspark.sql import functions as F
 
 from formspark.llm import chat, mixing, sharding
@@ -31,6 +32,20 @@ def test_shards_of_few_repeated_and_no_rows(spark):
     assert sorted(Counter(r.shard for r in rows).values()) == [2] * 8 + [3] * 8
 
 
+def test_shards_of_one_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    docs = documents(spark, [f"text {i % 90}" for i in range(500)], ids=[None if i % 2 else i for i in range(500)])
+    rows = sharding.shard_documents(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 500 and sorted(map(len, by.values())) == [31] * 12 + [32] * 4
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    h = F.xxhash64(F.lit("ring"), F.col("doc_id").cast("string"))
+    own = docs.filter("doc_id IS NOT NULL").select(F.pmod(h, F.lit(sharding.RING_CELLS)).alias("cell"), "doc_id").collect()
+    assert {r.doc_id for r in rows if r.doc_id is not None} == {r.doc_id for r in own}
+
+
 def test_most_rows_stay_home_and_a_new_shard_moves_few():
     rng = random.Random(3)
     counts = Counter(rng.randrange(sharding.RING_CELLS) for _ in range(200_000))
@@ -44,6 +59,74 @@ def test_most_rows_stay_home_and_a_new_shard_moves_few():
     assert set(sharding.ring_nodes(16)) - set(sharding.ring_nodes(17)) == set() or all(s == 16 or (c, s) in sharding.ring_nodes(16) for c, s in sharding.ring_nodes(17))
 
 
+def ring_walk(rows, n_shards):
+    """Each key in ring order to the first node clockwise, one by one; those that find no room go on in a second round."""
+    nodes = sharding.ring_nodes(n_shards)
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    found, late = {}, []
+    for cell, key in sorted(rows):
+        k = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        if room[nodes[k][1]]:
+            room[nodes[k][1]] -= 1
+            found[key] = nodes[k][1]
+        else:
+            late.append((k, key))
+    for k, key in late:
+        s = next(nodes[(k + step) % len(nodes)][1] for step in range(1, len(nodes)) if room[nodes[(k + step) % len(nodes)][1]])
+        room[s] -= 1
+        found[key] = s
+    return found
+
+
+def test_shards_equal_a_plain_walk(spark):
+    docs = documents(spark, [f"text {i}" for i in range(700)])
+    h = F.xxhash64(F.lit("ring"), F.col("doc_id").cast("string"))
+    own = docs.select(F.pmod(h, F.lit(sharding.RING_CELLS)).alias("cell"), h.alias("h"), "doc_id").collect()
+    found = ring_walk([(r.cell, (r.h, r.doc_id)) for r in own], 16)
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()} == {i: s for (_, i), s in found.items()}
+
+
+def test_mix_equals_a_plain_mix(spark):
+    """Sources taken one by one: permutations in the order of their places, until the budget is met."""
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(0, 30)) for _ in range(300)]
+    docs = documents(spark, texts + texts[:40], ids=[None if i % 9 == 0 else i % 250 for i in range(340)], source=lambda i: ("a", "a", "a", "b", None)[i % 5])
+    mixed, sources = mixing.mix(docs, max_repeats=1.7, block_tokens=400)
+    plan = {r.source: r for r in sources.collect()}
+    own = docs.select("doc_id", "source", mixing.words().alias("n"), F.array(*[mixing.permuted(42, F.lit(e), F.col("doc_id"), F.xxhash64("text")) for e in range(3)]).alias("at")).collect()
+    tokens = {s: sum(r.n for r in own if r.source == s) for s in plan}
+    top = max(tokens.values())
+    lo, hi = 0.0, 1.0  # the least exponent under which no source is repeated more than 1.7 times
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if max((top / n) ** (1 - mid) for n in tokens.values()) <= 1.7 else (mid, hi)
+    want = Counter()
+    for s, n in tokens.items():
+        target = round(n * (top / n) ** (1 - hi))
+        assert abs(plan[s].target - target) <= 1
+        for e in range(3):
+            rest, seen = plan[s].target - e * n, 0
+            for place in sorted({r.at[e] for r in own if r.source == s}):
+                same = [r for r in own if r.source == s and r.at[e] == place]
+                if seen < rest or rest >= n:
+                    want.update((r.doc_id, s, r.n, e) for r in same)
+                seen += sum(r.n for r in same)
+    assert Counter((r.doc_id, r.source, r.n_tokens, r.epoch) for r in mixed.collect()) == want
+    assert Counter((r.doc_id, r.source) for r in mixing.mix_rows(docs, max_repeats=1.7).collect()) == sum((Counter({k[:2]: n}) for k, n in want.items()), Counter())
+
+
+def test_mix_refuses_limits_that_exclude_each_other(spark):
+    shares = spark.createDataFrame([("a", 0.98), ("b", 0.02)], "source string, share double")
+    with pytest.raises(ValueError):
+        mixing.exponent(shares, max_repeats=1.1, min_entropy=0.99)
+
+
+def test_empty_sources_spread_over_the_blocks(spark):
+    docs = documents(spark, ["one two three four"] * 300 + [""] * 300, source=lambda i: "full" if i < 300 else "empty")
+    rows = [r for r in mixing.mix(docs, block_tokens=100)[0].collect() if r.source == "empty"]
+    assert len(rows) == 300 and max(Counter(r.block for r in rows).values()) < 60
+
+
 def test_mix_budget_repeats_and_whole_passes(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(1, 40)) for _ in range(400)] + [None, ""]
