@@ -27,9 +27,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wider nets for candidates.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,63}(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z]{2,24}){1,4}")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,}+(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z]{2,}+)+")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{16,128})")
+_SECRET = re.compile(r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Kk]ey|KEY)\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{16,}+)")
 _NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Gazetteers.
