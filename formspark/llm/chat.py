@@ -90,7 +90,11 @@ def read_loss(formatted: Column, loss: Column) -> Column:
 
 
 def digest_conversations(turns: DataFrame) -> DataFrame:
-    """What a reader gets back from the formatted conversations, digested."""
+    """What a reader gets back from the formatted conversations, digested. turns: conv_id, turn, role, text.
+
+    Null roles and texts are empty; a null conv_id is one conversation; rows of equal turn follow by role, then text, and
+    repeated rows are turns of their own. Other columns are left out; no rows give no rows.
+    """
     out = format_trees(chain(turns)).withColumns({"_turns": read_turns(F.col("formatted")), "_loss": read_loss(F.col("formatted"), F.col("loss"))})
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))

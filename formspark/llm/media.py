@@ -192,7 +192,8 @@ def _decode_lines(table: bytes, width: int, parts: list[bytes]) -> np.ndarray:
 
 def shots(frames: list[np.ndarray], bins: int = 16, window: int = 8, factor: float = 3.0, least: float = 0.05) -> list[tuple[int, int]]:
     """(first, end) frames of each shot. A cut is where the histogram moves by more than the mean of the last window
-    movements plus factor times their deviation, and more than least."""
+    movements plus factor times their deviation, and more than least. The first movement has none before it to be compared
+    with, so no shot ends after the first frame. One frame, or none, is one shot."""
     hist = np.array([np.bincount(f.ravel() * bins // 256 if f.dtype != np.uint8 else f.ravel() >> 4, minlength=bins) / max(f.size, 1) for f in frames])
     moved = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2 if len(frames) > 1 else np.zeros(0)
     cuts = [0]
@@ -248,7 +249,8 @@ def through_avi(docs: DataFrame) -> DataFrame:
 
 
 def clip_rows(found: DataFrame) -> DataFrame:
-    """One row a clip: doc_id, clip, start_s, end_s, frames, mean."""
+    """One row a clip: doc_id, clip (from 0), start_s, end_s, frames, mean. Every row of found has a clip at least, and rows
+    that share a doc_id, or have none, keep their own; no rows give no rows."""
     return found.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.*")
 
 
