@@ -72,9 +72,13 @@ SPECS = (
 
 
 def gate(pattern: str) -> tuple[str, ...]:
-    """Words of which a text must hold one, in lower case, for the pattern to match; none for patterns without labels."""
+    """Words with one of which, in lower case, any match of the pattern begins; none for patterns without labels. ("@",): a
+    match holds an @ somewhere."""
     m = re.match(r"\(\?:([^)]*)\)", pattern)
-    return tuple(sorted({re.match(r"[a-z0-9-]+", a)[0] for a in m[1].split("|")})) if m else ("@",) if "@" in pattern else ()
+    if not m:
+        return ("@",) if "@" in pattern else ()
+    words = [re.match(r"([a-z0-9-]*)(?![?*{])", a) for a in m[1].split("|")]
+    return tuple(sorted({w[1] for w in words})) if all(w and w[1] for w in words) else ()
 
 
 def collapse(text: Column) -> Column:
@@ -118,23 +122,28 @@ def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec
     """Adds one column for each spec: the first pattern's value that is valid once cleaned, else NULL.
 
     mode: "collapsed" matches on the text with all white space made single spaces, "lines" on the text as it is.
-    form_type: a boolean column; rows where it isn't true get NULL. Each pattern runs only on texts with its label.
+    form_type: a boolean column; rows where it isn't true get NULL. Each pattern runs only on texts with its label, and from
+    the first of them on.
     """
     whole = collapse(F.col(text)) if mode == "collapsed" else F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_text": whole}).withColumns({"_low": F.lower("_text")})
+    # lowering a letter may give two; places are told from where it gives none
+    df = df.withColumns({"_even": F.char_length("_low") == F.char_length("_text")})
+    gates = {(s.name, k): gate(p) for s in specs for k, p in enumerate(s.patterns)}
+    first = {w: f"_at_{i}" for i, w in enumerate(sorted({w for need in gates.values() for w in need if w != "@"}))}
+    df = df.withColumns({at: F.nullif(F.locate(w, F.col("_low")), F.lit(0)) for w, at in first.items()})
     cleaned = {}
     for s in specs:
         for k, p in enumerate(s.patterns):
-            need = gate(p)
-            found = clean(F.regexp_extract("_text", "(?im)" + p, 1), s.clean)
-            wanted = [F.col("_low").contains(w) for w in need]
-            on = wanted[0] if wanted else F.col("_low").rlike(r"\d") if r"\d" in p else F.lit(True)
-            for w in wanted[1:]:
-                on = on | w
+            places = [F.col(first[w]) for w in gates[s.name, k] if w in first]
+            at = F.least(*places) if len(places) > 1 else places[0] if places else None
+            own = F.col("_text") if at is None else F.when(F.col("_even"), F.substring("_text", at, F.lit(1 << 30))).otherwise(F.col("_text"))
+            on = at.isNotNull() if at is not None else F.col("_low").contains("@") if "@" in p else F.col("_low").rlike(r"\d") if r"\d" in p else F.lit(True)
+            found = clean(F.regexp_extract(own, "(?im)" + p, 1), s.clean)
             cleaned[f"_{s.name}_{k}"] = F.when(on & form_type if form_type is not None else on, found)
     df = df.withColumns(cleaned)
     out = {s.name: F.coalesce(*[F.when(is_valid(F.col(f"_{s.name}_{k}"), s.check), F.col(f"_{s.name}_{k}")) for k in range(len(s.patterns))]) for s in specs}
-    return df.withColumns(out).drop("_text", "_low", *cleaned)
+    return df.withColumns(out).drop("_text", "_low", "_even", *first.values(), *cleaned)
 
 
 def validation_report(forms: DataFrame, key: str = "id", specs: tuple[FieldSpec, ...] = SPECS) -> DataFrame:

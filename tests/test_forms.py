@@ -140,3 +140,14 @@ def test_the_package_is_sent_to_other_machines(tmp_path):
     ship.ship(session)
     assert len(session.sparkContext.listFiles) == 1
     assert "formspark/operators/attempts.py" in zipfile.ZipFile(session.sparkContext.listFiles[0]).namelist()
+
+
+def test_gates_begin_every_match():
+    assert fields.gate(r"(?:e?mail|post)[:\s]+(x)") == () and fields.gate(r"(?:Room|hall)[:\s]+(x)") == () and fields.gate(r"(?:rooms?|hall\s+no)[:\s]+(x)") == ("hall", "room")
+    assert fields.gate(r"(x@y)") == ("@",) and fields.gate(r"(\d{6})") == ()
+    assert all(fields.gate(p) or not p.startswith("(?:") for s in fields.SPECS for p in s.patterns)
+
+
+def test_labels_after_letters_that_lower_to_two(spark):
+    df = spark.createDataFrame([(1, "İİİİİİ Email: a@b.co Religion: None at all"), (2, "religious EMAIL Email: c@d.co")], "id long, raw_text string")
+    assert {r.id: (r.email, r.religion) for r in fields.extract_fields(df).collect()} == {1: ("a@b.co", "None At All"), 2: ("c@d.co", None)}
