@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import text_arrays as ta
 from .common import cut, free, partitions
-from .graph import components
+from .graph import components, join_groups
 
 _U = np.uint64
 #: MinHash values whose low byte goes into the sketch.
@@ -233,13 +233,13 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataF
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     keyed = texts.select("node", F.explode("bands").alias("band"))
     full = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    members = tiles(keyed.join(full, "band"), "size", BUCKET_TILE).select("node", "band", "lo", "hi")
+    members = tiles(join_groups(keyed, full, "band", "size", bands * texts.count()), "size", BUCKET_TILE).select("node", "band", "lo", "hi")
     sketched = members.join(texts.select("node", "sketch"), "node")
     slack = 5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
     edges = sketched.repartition(n_out, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_bucket_edges(similarity - slack), "a long, b long")
-    near = components(edges)
+    near = cut(components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    clusters = tiles(near.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size"), "size", CLUSTER_TILE).select("node", "cluster", "size", "chunk", "lo", "hi")
+    clusters = tiles(join_groups(near, sizes, "root", "size", near.count()).select("node", F.col("root").alias("cluster"), "size"), "size", CLUSTER_TILE).select("node", "cluster", "size", "chunk", "lo", "hi")
     # a text is read from a row with its least id
     of = ["t0", "t1", "id"]
     clusters = cut(clusters.join(texts.select("node", "t0", "t1", F.coalesce("least", F.lit(0)).alias("id")), "node"))
@@ -248,12 +248,13 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataF
     tiled = read.join(clusters, of).select("node", "cluster", "chunk", "lo", "hi", "text").repartition(n_out, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     linked = cut(tiled.mapInArrow(_cluster_links(n, similarity), "node long, root long, links long"))
     links = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    names = roots.join(texts.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("class_id"))
-    named = roots.join(names, "root").select("node", "class_id")
+    roots = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(texts.select("node", "least"), "node"))
+    names = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
+    named = join_groups(roots.select("node", "root"), names, "root", "size", roots.count()).select("node", "class_id")
     known = texts.select("t0", "t1", "node", "least", "n_copies").join(links, "node", "left").join(named, "node", "left")
-    known = known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
-    return marked.select("doc_id", "t0", "t1").join(known, ["t0", "t1"])
+    known = cut(known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id")))
+    rows = known.agg(F.sum("n_copies")).first()[0] or 0
+    return join_groups(marked.select("doc_id", "t0", "t1"), known, ["t0", "t1"], "n_copies", rows)
 
 
 def join_similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
