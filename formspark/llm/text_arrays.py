@@ -13,12 +13,12 @@ CHUNK = 2 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240601)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=_U)
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
 _STEP = _U(0xD6E8FEB86659FD93 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 2**64))
-_powers = {"at": np.ones(1, _U), "inverse": np.ones(1, _U)}
+_PRIME = 2**31 - 1
+_rng = np.random.default_rng(20240601)
+_BYTE = _rng.integers(1, _PRIME, (2, 256), dtype=_U)
+_BASE = _rng.integers(1 << 20, _PRIME, 2).tolist()
+_factors = {x: np.ones(1, np.uint32) for base in _BASE for x in (base, pow(base, -1, _PRIME))}
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -49,25 +49,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["at"]) < n + 1:
-        for name, base in (("at", _BASE), ("inverse", _INVERSE)):
-            p = np.full(n + 1, base, _U)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["at"], _powers["inverse"]
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, but for at most a few more than that."""
+    x = (x & _U(_PRIME)) + (x >> _U(31))
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**31 - 1; at least n of them."""
+    p = _factors[base]
+    while len(p) < n:
+        p = np.concatenate((p, (p * _U(pow(base, len(p), _PRIME)) % _U(_PRIME)).astype(np.uint32)))
+    _factors[base] = p
+    return p
 
 
 class Prints:
-    """Fingerprints of any range of the bytes, from running sums of a polynomial modulo 2**64."""
+    """Fingerprints of any range of the bytes, or of a sequence of 64-bit prints, from running sums of two polynomials
+    modulo 2**31 - 1. (One modulo 2**64 would give some very regular texts equal prints, whatever its base.)"""
 
     def __init__(self, data: np.ndarray):
-        at, self.inverse = _power(len(data))
-        self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE[data] * at[: len(data)], out=self.sums[1:])
+        self.sums = []
+        for k, base in enumerate(_BASE):
+            own = _BYTE[k][data] if data.dtype == np.uint8 else data >> _U(33 * k) & _U(_PRIME)
+            s = np.zeros(len(data) + 1, _U)
+            own = own * _powers(base, len(data))[: len(data)]
+            np.cumsum((own & _U(_PRIME)) + (own >> _U(31)), out=s[1:])
+            self.sums.append(s)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U) * _U(0x2545F4914F6CDD1D))
+        out = (end - start).astype(_U) * _U(0x2545F4914F6CDD1D)
+        for s, base in zip(self.sums, _BASE):
+            h = _folded(_folded(s[end] - s[start]) * _powers(pow(base, -1, _PRIME), len(s))[start])
+            out = (out << _U(31)) + np.where(h >= _U(_PRIME), h - _U(_PRIME), h)
+        return mix64(out)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    out = np.empty(max(len(data) - 7, 0), _U)
+    for k in range(min(8, len(out))):
+        n = (len(data) - k) // 8
+        out[k::8] = data[k : k + 8 * n].view("<u8")
+    return out
 
 
 def counts(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
