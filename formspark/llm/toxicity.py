@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Linear classifiers over the presence of hashed words learn from confirmed toxic texts and unlabelled ones. The risk of
+Linear classifiers over the presence of hashed words and stems learn from confirmed toxic texts and unlabelled ones. The risk of
 the negative class is estimated from the unlabelled texts less the class prior's part of the toxic ones; where that
 estimate falls below zero, the step is taken against it, which keeps the classifier from memorising the positives.
 """
@@ -21,9 +21,12 @@ from . import text_arrays as ta
 from .common import cut
 from .near import text_print
 
-DIMS = 1 << 18
+BITS = 20
+DIMS = 1 << BITS
 #: Bounds of the samples that reach the driver: confirmed toxic, labelled harmless (for calibration), unlabelled texts.
 MAX_TOXIC, MAX_HARMLESS, MAX_UNLABELLED = 4000, 6000, 8000
+#: How many standard errors a feature must stand out by; the left-out folds tell which serves best.
+LIFTS = (4.0, 6.0, 10.0)
 #: Tasks that count the samples' features.
 COUNTERS = 8
 
@@ -33,19 +36,28 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Stems: so many first bytes of longer words; they count as a feature of their own when so many different words share one.
+STEMS, SHARED = (4, 6, 7), (1, 2, 3)
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the distinct lower-cased words of each text, and of their first four and six bytes."""
+    """(text, feature) of the distinct lower-cased words of each text, and of the stems of one, two and three of them."""
     data, offs = ta.as_bytes(column)
     data = _LOWER[data]
     start, end, doc = ta.runs(_LETTER[data], offs)
-    prints, found = ta.Prints(data), []
-    for n in (None, 4, 6):
-        at = slice(None) if n is None else end - start > n
-        stop = end if n is None else start[at] + n
-        f = ta.mix64(prints.of(start[at], stop) + np.uint64(n or 0)) >> np.uint64(64 - 18)
-        found.append(doc[at].astype(np.uint64) << np.uint64(18) | f)
-    both = np.unique(np.concatenate(found))
-    return (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(DIMS - 1)).astype(np.int64)
+    prints, own = ta.Prints(data), doc.astype(np.uint64) << np.uint64(40)
+    words, at = np.unique(own | prints.of(start, end) >> np.uint64(24), return_index=True)
+    keys, tags = [words], [0]
+    for n in STEMS:
+        k = at[end[at] - start[at] > n]
+        stem, count = np.unique(own[k] | prints.of(start[k], start[k] + n) >> np.uint64(24), return_counts=True)
+        for times in SHARED:
+            keys.append(stem[count >= times])
+            tags.append(10 * n + times)
+    low = np.uint64((1 << 40) - 1)
+    both = np.sort(np.concatenate([k >> np.uint64(40) << np.uint64(BITS) | ta.mix64((k & low) + (np.uint64(t) << np.uint64(40))) >> np.uint64(64 - BITS) for k, t in zip(keys, tags)]))
+    both = both[np.concatenate((np.ones(min(len(both), 1), bool), both[1:] != both[:-1]))]
+    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64(DIMS - 1)).astype(np.int64)
 
 
 def logits(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -89,12 +101,12 @@ def standing_out(df: list[np.ndarray], texts: list[int], least: float = 4.0) ->
     return (z > least) & (df[0] >= min(2, texts[0]))
 
 
-def fit_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.1, shrink: float = 1e-4, dims: int = DIMS) -> tuple[np.ndarray, float]:
+def fit_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.1, shrink: float = 1e-4, dims: int = DIMS, least: float = LIFTS[0]) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk  prior * Rp+ + max(0, Ru- - prior * Rp-)  of the logistic loss.
 
     Only features that are far more frequent among the toxic texts than among the unlabelled get a weight.
     """
-    known = lifted(toxic, unlabelled, dims)
+    known = lifted(toxic, unlabelled, dims, least)
     index = np.cumsum(known) - 1
     d = int(known.sum())
     x, u = (Sparse.of([index[r[known[r]]] for r in rows]) for rows in (toxic, unlabelled))
@@ -161,7 +173,8 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
-    """Fits one classifier for each fold on the rest, calibrates on the scores of the left-out fold, and averages.
+    """Fits one classifier for each fold on the rest, calibrates on the scores of the left-out fold, and averages; of LIFTS,
+    the one with the least loss on the left-out folds.
 
     docs: doc_id, text. labels: doc_id, toxic; ids with conflicting labels count as toxic. Held-out ids give neither
     labels nor texts. Without toxic labels every text scores 0.
@@ -186,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
                 if key not in seen:
                     seen.add(key)
                     new.append(i)
-            for own in ta.chunks([batch.take(pa.array(new, pa.int64()))]):
+            for own in ta.chunks([batch.take(pa.array(new, pa.int64()))], limit=1 << 18):
                 doc, f = features(own.column(4))
                 rows = np.split(f.astype("<i4"), np.searchsorted(doc, np.arange(1, own.num_rows)))
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array([r.tobytes() for r in rows], pa.binary())], [*keys, "f"])
@@ -234,29 +247,34 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
     found = whole.mapInArrow(keep, "doc_id long, part int, f binary").collect()
     found.sort(key=lambda r: (r.part, r.doc_id, r.f))
     parts = [[(int(r.doc_id), np.frombuffer(r.f, "<i4").astype(np.int64)) for r in found if r.part == k] for k in range(3)]
-    fits, z, y = [], [], []
-    for k in range(folds):
-        toxic = [f for i, f in parts[0] if fold(i) != k] or [f for _, f in parts[0]]
-        w, b = fit_nnpu(toxic, [f for i, f in parts[2] if fold(i) != k], prior)
-        fits.append((w, b))
-        for part, value in ((0, 1), (1, 0)):
-            for i, f in parts[part]:
-                if fold(i) == k:
-                    z.append(w[f].sum() + b)
-                    y.append(value)
-    y = np.array(y, float)
-    share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
-    a, c = platt(np.array(z), y, share)
-    w, b = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
-    return Model((a * w).astype(np.float32), a * b + c)
+    tried = []
+    for least in LIFTS:
+        fits, z, y = [], [], []
+        for k in range(folds):
+            toxic = [f for i, f in parts[0] if fold(i) != k] or [f for _, f in parts[0]]
+            w, b = fit_nnpu(toxic, [f for i, f in parts[2] if fold(i) != k], prior, least=least)
+            fits.append((w, b))
+            for part, value in ((0, 1), (1, 0)):
+                for i, f in parts[part]:
+                    if fold(i) == k:
+                        z.append(w[f].sum() + b)
+                        y.append(value)
+        z, y = np.array(z), np.array(y, float)
+        share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
+        a, c = platt(z, y, share)
+        loss = float((share * np.logaddexp(0, np.where(y == 1, -1, 1) * (a * z + c))).sum())
+        w, b = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
+        tried.append((loss, Model((a * w).astype(np.float32), a * b + c)))
+    return min(tried, key=lambda t: t[0])[1]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row. A null text counts as empty."""
+    """doc_id, score of every row. A null text counts as empty; repeated rows and null ids are scored like any other; no
+    rows give no rows."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.chunks(batches):
+        for batch in ta.chunks(batches, limit=1 << 18):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shipped.value.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -267,7 +285,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.chunks(batches):
+        for batch in ta.chunks(batches, limit=1 << 18):
             column = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(shipped.value.scores(column) < threshold))
 
@@ -275,4 +293,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
+
+    Null and empty texts get the score of a text without words; a null doc_id isn't held out, but is never learned from.
+    Equal texts get equal scores, whatever their ids. Other columns are left out; no rows give no rows.
+    """
     return score(docs, learn(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,10 +1,13 @@
+import base64
 import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import functions as F
 
 from formspark.llm import near, pii, suffixes, toxicity
@@ -62,6 +65,72 @@ def test_em_finds_the_bad_labeler():
     assert abs(share - 0.4) < 0.05 and table[1, 0, 2] > 0.9 and abs(table[1, 3, 2] - 0.5) < 0.06
 
 
+def test_em_equals_a_plain_loop():
+    rng = random.Random(4)
+    patterns = [("".join(rng.choice("+-0") for _ in range(5)), rng.randint(1, 50)) for _ in range(40)]
+    post = [1 / (1 + np.exp(-sum({"+": 1, "-": -1, "0": 0}[c] for c in p))) for p, _ in patterns]
+    for _ in range(60):
+        share = (sum(n * q for (_, n), q in zip(patterns, post)) + 1) / (sum(n for _, n in patterns) + 2)
+        chance = {}
+        for y in (0, 1):
+            mass = [n * (q if y else 1 - q) for (_, n), q in zip(patterns, post)]
+            for j in range(5):
+                for v in "-0+":
+                    chance[y, j, v] = (sum(m for m, (p, _) in zip(mass, patterns) if p[j] == v) + 0.5) / (sum(mass) + 1.5)
+        odds = [share / (1 - share) * np.prod([chance[1, j, c] / chance[0, j, c] for j, c in enumerate(p)]) for p, _ in patterns]
+        post = [o / (1 + o) for o in odds]
+    got, _, found = pii.reliabilities(patterns)
+    assert abs(got - share) < 1e-9 and np.allclose(found, post)
+
+
+def test_added_spans(spark):
+    """Long secrets and spelled-out addresses are found whole; what only looks like them stays out."""
+    key = lambda i, n: (hashlib.sha256(str(i).encode()).hexdigest() * 9)[:n]
+    texts = [f"w{i} token = {key(i, 40)} end" for i in range(60)] + [f"w{i} secret: {key(i, 300)}, end" for i in range(20)]
+    texts += [f"mail ann{i}.{'x' * 70}[at]mail.example[dot]com today" for i in range(40)] + [f"plain words number {i} only" for i in range(60)]
+    masked = {r.doc_id: r.text for r in pii.mask_private(documents(spark, texts)).collect()}
+    assert all(masked[i] == f"w{i} token = [SECRET] end" for i in range(60))
+    assert all(key(i, 300)[-40:] not in masked[60 + i] or masked[60 + i] == texts[60 + i] for i in range(20))
+    assert all(masked[80 + i] in ("mail [EMAIL] today", texts[80 + i]) for i in range(40))
+    assert all(masked[i] == texts[i] for i in range(120, 180))
+
+
+def test_nnpu_equals_a_plain_loop():
+    """The same steps with one text and one feature at a time."""
+    rng = np.random.default_rng(2)
+    toxic = [np.unique(np.append(rng.integers(0, 6, 2), rng.integers(0, 40, 3))) for _ in range(60)]
+    unlabelled = [np.unique(rng.integers(0, 40, 4)) for _ in range(150)] + toxic[:20]
+    prior, steps, dims = 0.2, 30, 40
+    known = [d for d in range(dims) if toxicity.lifted(toxic, unlabelled, dims)[d]]
+    assert 0 < len(known) < dims
+    w, b = {d: 0.0 for d in known}, float(np.log(prior / (1 - prior)))
+    m, v = {d: 0.0 for d in [*known, "b"]}, {d: 0.0 for d in [*known, "b"]}
+    p = lambda z: 1 / (1 + np.exp(-z))
+    for t in range(1, steps + 1):
+        z = lambda f: b + sum(w[d] for d in f.tolist() if d in w)
+        zp, zu = [z(f) for f in toxic], [z(f) for f in unlabelled]
+        negative = np.mean([np.log1p(np.exp(x)) for x in zu]) - prior * np.mean([np.log1p(np.exp(x)) for x in zp])
+        g = {d: 0.0 for d in m}
+        for rows, zs, weight in ((toxic, zp, -prior / len(toxic)), (unlabelled, zu, 1 / len(unlabelled))):
+            for f, x in zip(rows, zs):
+                for d in [*[d for d in f.tolist() if d in w], "b"]:
+                    g[d] += (weight if negative >= 0 else -weight) * p(x)
+        if negative >= 0:
+            for f, x in zip(toxic, zp):
+                for d in [*[d for d in f.tolist() if d in w], "b"]:
+                    g[d] -= prior * p(-x) / len(toxic)
+        for d in g:
+            full = g[d] + (1e-4 * w[d] if d != "b" else 0)
+            m[d], v[d] = 0.9 * m[d] + 0.1 * full, 0.99 * v[d] + 0.01 * full * full
+            step = 0.1 * (m[d] / (1 - 0.9**t)) / ((v[d] / (1 - 0.99**t)) ** 0.5 + 1e-8)
+            if d == "b":
+                b -= step
+            else:
+                w[d] -= step
+    got, bias = toxicity.fit_nnpu(toxic, unlabelled, prior, steps=steps, dims=dims)
+    assert abs(bias - b) < 1e-6 and all(abs(got[d] - w.get(d, 0.0)) < 1e-6 for d in range(dims))
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["foulword", "nastyword", "vileword"]
@@ -117,13 +186,19 @@ def test_toxicity_with_repeated_ids(spark, monkeypatch):
     assert len({r.doc_id for r in got if r.part == 0}) == 100
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     passage, other = prose(rng, 150), prose(rng, 90)
     texts = [*edge_texts(), passage, prose(rng, 20) + passage + prose(rng, 30), passage[:-60] + "é" + other, other + passage[100:] + other, "ab" * 700, "x" * 399, "y" * 400, "y" * 401, passage[:500] + passage[:500], None]
     texts += [prose(rng, 5) + passage[rng.randrange(40) :] + prose(rng, 5) for _ in range(60)]
+    short = ["a" * rng.randint(1, 3) + str(i) for i in range(61)]
+    texts += [prose(rng, 60) + " " + " ".join(short[rng.randrange(15) : rng.randrange(45, 62)]) + "\n" + prose(rng, 9) for _ in range(40)]
+    texts += [(prose(rng, 70) + " ") * 3, " ".join(short[:49]), "\t ".join(short[3:53]), prose(rng, 50)]
+    texts += [prose(rng, 3) + " " + " ".join([*short[:20], f"own{i}", *short[20:]]) for i in range(5)]
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[p : p + 400] for x in raw for p in range(len(x) - 399))
+    passages = [{tuple(w[k : k + 50]) for k in range(len(w) - 49)} for w in (re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts)]
+    said = Counter(x for own in passages for x in own)
     rows = {r.doc_id: r for r in suffixes.remove_repeats(documents(spark, texts)).collect()}
     for i, x in enumerate(raw):
         gone = np.zeros(len(x) + 1, bool)
@@ -133,6 +208,14 @@ def test_repeats_equal_brute_force(spark):
         kept = bytes(c for c, g in zip(x, gone) if not g)
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans) == (len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0])), i
         assert rows[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+        assert rows[i].shares_passage == int(any(said[x] > 1 for x in passages[i])), i
+    assert 0 < sum(r.shares_passage and not r.n_removed for r in rows.values()) < len(rows)
+    monkeypatch.setattr(suffixes, "SAMPLED", 0.5)
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert {r.doc_id: r for r in suffixes.remove_repeats(documents(spark, texts)).collect()} == rows
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     ids = suffixes.remove_repeats(documents(spark, ["y" * 400, "y" * 400, "z" * 10], ids=[None, None, 5])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in ids) == [(0, 400), (0, 400), (5, 0)]
 
@@ -144,6 +227,17 @@ def test_multikey_quicksort():
     assert (np.diff(keys[0][order] * 100 + keys[1][order]) >= 0).all() and len(set(order.tolist())) == 50_000
 
 
+def test_splitters_cut_hot_keys():
+    rng = np.random.default_rng(3)
+    rows = np.array([np.where(rng.random(20_000) < 0.4, 7, rng.integers(0, 50, 20_000)), *(rng.integers(0, 3, 20_000) for _ in range(3)), rng.integers(-(2**60), 2**60, 20_000), rng.integers(0, 9, 20_000)])
+    split = suffixes.splitters(rows[:, ::10], np.ones(2000), 16)
+    bucket = suffixes.bucket_of(list(rows), list(split))
+    assert max(Counter(bucket.tolist()).values()) < 2 * 20_000 / 16 and set(bucket.tolist()) == set(range(16))
+    order = np.lexsort(rows[::-1])
+    assert (np.diff(bucket[order]) >= 0).all()
+    assert suffixes.bucket_of(list(rows), list(suffixes.splitters(rows[:, :0], np.ones(0), 16))).max() == 0
+
+
 def test_similar_equal_brute_force(spark):
     rng = random.Random(8)
     texts = list(edge_texts())
@@ -191,12 +285,61 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and {got[100], got[101], got[102]} == {100}
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_equals_its_stages_in_plain_python(spark):
     import corpus_pipeline as p
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, d)
-        assert out.columns == docs.columns, name
-    assert p.run(spark, d).count() > 100
+    rows = {r.doc_id: r for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.rate_documents(docs, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    want = {i: r.text for i, r in rows.items() if scores[i] < 0.7}
+    out = dict(p.STAGES)["toxicity"](spark, docs, d)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == want
+
+    grams = {}
+    for i, t in want.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in want}
+    near_ = {i: [j for j in want if j != i and ((want[i] or "") == (want[j] or "") or grams[i] & grams[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]))] for i in want}
+    for _ in want:
+        new = {i: min([root[i], *(root[j] for j in near_[i])]) for i in want}
+        if new == root:
+            break
+        root = new
+    out = dict(p.STAGES)["near_duplicates"](spark, out, d)
+    want = {i: t for i, t in want.items() if root[i] == i}
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == want
+
+    taken = frozenset(pii.accepted(out.select("doc_id", "text").mapInArrow(pii.scan, pii.FOUND).select("base", "more")))
+    out = dict(p.STAGES)["personal_data"](spark, out, d)
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    for i, t in want.items():
+        spans = brute_base(t or "")
+        spans = sorted([*spans, *(s for s in pii.candidates(t or "", spans) if (s[1], pii.votes(t, *s)) in taken)])
+        masked, end = "", 0
+        for s, k, e in spans:
+            masked += (t[end:s] + f"[{pii.KINDS[k].upper()}]") if s >= end else ""
+            end = max(end, e)
+        want[i] = None if t is None else masked + t[end:]
+    assert out.columns == docs.columns and got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+    out = dict(p.STAGES)["source_mix"](spark, out, d)
+    mixed = Counter(r.doc_id for r in out.collect())
+    assert out.columns == docs.columns and set(mixed) == set(want) and max(mixed.values()) <= 3
+    tokens = Counter()
+    for i, t in want.items():
+        tokens[rows[i].source] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    seen = Counter()
+    for i, n in mixed.items():
+        seen[rows[i].source] += n * len(re.findall(r"[^\x20\x09-\x0D]+", want[i] or ""))
+    top = max(tokens, key=tokens.get)
+    assert seen[top] == tokens[top] and all(tokens[s] <= seen[s] < 3 * tokens[s] for s in tokens if tokens[s])
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    final = p.run(spark, d).collect()
+    assert Counter(r.doc_id for r in final) == mixed
+    for r in final:
+        assert r.ids == np.array(plain.encode_ordinary(want[r.doc_id] or ""), "<u4").tobytes() and r.n_tokens * 4 == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256((want[r.doc_id] or "").encode()).hexdigest()
