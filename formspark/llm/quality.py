@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects texts whose metric exceeds a cutoff. Cutoffs come from texts labelled good: along a fixed grid, from
-lenient to strict, a cutoff is taken as long as an exact binomial test shows that it rejects at most a given share of
-the good texts of its stratum. Testing along a fixed sequence needs no correction within a rule; across rules and
-strata the error is split evenly (Bonferroni), and so is the allowed share across the rules of a stratum.
+Each rule rejects texts whose metric exceeds a cutoff. All rules of a stratum are tightened together along one fixed
+sequence of moves, from lenient to strict: each move sets the next cutoff of one rule. A move is taken as long as an exact
+binomial test on texts labelled good shows that all rules together, so set, reject at most a given share of the good texts
+of the stratum. The first move without proof ends the sequence, so that its tests need no correction among each other;
+between strata the error is split evenly (Bonferroni).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
@@ -68,27 +69,48 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
 
 
+def moves() -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order in which they are tested: one step of every rule, then the next of every rule."""
+    return [(rule, xs[i]) for i in range(max(len(xs) for _, xs in GRID.values())) for rule, (_, xs) in GRID.items() if i < len(xs)]
+
+
+def first_move() -> Column:
+    """The number of the first move that rejects a text; null if none does."""
+    at = {rule: [k for k, (r, _) in enumerate(moves()) if r == rule] for rule in GRID}
+    return F.least(*[F.coalesce(*[F.when(F.expr(m) > x, F.lit(k)) for k, x in zip(at[rule], xs)]) for rule, (m, xs) in GRID.items()])
+
+
+def proven(rejected: list[int], n: int, share: float, level: float) -> int:
+    """The moves that are proven: rejected[k] of n good texts are rejected by move k first."""
+    total = 0
+    for k, more in enumerate(rejected):
+        total += more
+        if binomial_tail(total, n, share) > level:
+            return k
+    return len(rejected)
+
+
 def cutoffs(good: DataFrame, max_rejected: float = 0.05, error: float = 0.05) -> DataFrame:
     """stratum, rule, cutoff from the metrics of texts labelled good; a rule without a proven cutoff has no row.
 
     Together the rules of a stratum reject at most max_rejected of its good texts, for all strata at once with
-    probability 1 - error.
+    probability 1 - error. Strata of so few labelled texts that nothing could be proven take no part of the error.
     """
-    names = [(rule, i, x) for rule, (_, xs) in GRID.items() for i, x in enumerate(xs)]
-    counted = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(GRID[r][0]) > x).alias(f"{r}_{i}") for r, i, x in names])
-    tests = counted.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(x).alias("cutoff"), F.col(f"{r}_{i}").alias("rejected")) for r, i, x in names])).alias("t")).select("stratum", "n", "t.*")
-    tests = cut(tests)
-    strata = tests.select("stratum").distinct().count()
-    share, level = max_rejected / len(GRID), error / max(1, strata * len(GRID))
-
-    def proven(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    steps = moves()
+    counted = good.select("stratum", F.coalesce(first_move(), F.lit(len(steps))).alias("move")).groupBy("stratum", "move").count()
+    held = cut(counted.groupBy("stratum").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("move", "count"))).alias("rejected")))
+    needed = math.ceil(math.log(error) / math.log1p(-max_rejected))
+    level = error / max(1, held.filter(F.col("n") >= needed).count())
+
+    def test(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(ok=[binomial_tail(int(k), int(n), share) <= level for k, n in zip(p.rejected, p.n)])[["stratum", "rule", "step", "cutoff", "ok"]]
+            found = [proven([dict(r).get(k, 0) for k in range(len(steps))], int(n), max_rejected, level) for r, n in zip(p.rejected, p.n)]
+            yield pd.DataFrame({"stratum": p.stratum, "taken": found})
 
-    tested = tests.mapInPandas(proven, "stratum string, rule string, step int, cutoff double, ok boolean")
-    w = Window.partitionBy("stratum", "rule").orderBy("step")
-    passed = tested.withColumn("ok", F.min("ok").over(w)).filter("ok")
-    return passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
+    taken = held.mapInPandas(test, "stratum string, taken int")
+    table = F.array(*[F.struct(F.lit(k).alias("move"), F.lit(rule).alias("rule"), F.lit(x).alias("cutoff")) for k, (rule, x) in enumerate(steps)])
+    passed = taken.select("stratum", "taken", F.explode(table).alias("t")).filter(F.col("t.move") < F.col("taken"))
+    return passed.groupBy("stratum", "t.rule").agg(F.max_by("t.cutoff", "t.move").alias("cutoff"))
 
 
 def base_failed() -> Column:

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -46,6 +48,48 @@ def test_cutoffs_hold_the_limit(spark):
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_few_labels_prove_the_union(spark):
+    good = ["a b c d e f g h i j k l m n o p q r s t u v w x y z %d" % i for i in range(130)]
+    docs = documents(spark, good + ["a| b# c| d| e| f| g| h| i| j| k| l| m| n| o| p| q| r| s| t| 9"])
+    labels = spark.createDataFrame([(i, 1) for i in range(130)], "doc_id long, quality int")
+    assert [r.doc_id for r in quality.judge(docs, labels).collect() if not r.kept] == [130]
+
+
+def test_cutoffs_equal_a_plain_search(spark):
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["de", "en", None]), rng.randint(20, 200), 0, 0, rng.randint(1, 20), 0, 0, 0) for i in range(900)]
+    rows = [(i, s, n, rng.randint(3 * n, 7 * n if rng.random() < 0.98 else 30 * n), rng.choice([0] * 60 + [n]), ln, rng.choice([0] * 90 + [ln]), rng.choice([0] * 90 + [n // 4]), rng.randint(n // 3, n)) for i, s, n, _, _, ln, *_ in rows]
+    good = spark.createDataFrame(rows, quality.METRICS)
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(good).collect()}
+    value = {"symbols": lambda r: r[4] / max(r[3], 1), "dup_lines": lambda r: r[6] / max(r[5], 1), "repeat_words": lambda r: r[7] / max(r[2], 1), "few_distinct": lambda r: 1 - r[8] / max(r[2], 1), "long_words": lambda r: r[3] / max(r[2], 1)}
+    want = {}
+    for s in ("de", "en", None):
+        own, limits = [r for r in rows if r[1] == s], {}
+        for rule, cutoff in quality.moves():
+            tried = {**limits, rule: cutoff}
+            k, n = sum(any(value[x](r) > c for x, c in tried.items()) for r in own), len(own)
+            if sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) > 0.05 / 3:
+                break
+            limits = tried
+        want |= {(s, rule): c for rule, c in limits.items()}
+    assert got == want and 3 < len(want)
+
+
+def test_proofs_hold_their_error():
+    """Of many samples, few prove a setting that rejects more of the good texts than is allowed."""
+    rng, first_bad = np.random.default_rng(5), 4
+    shares = np.array([0.0, 0.01, 0.01, 0.02, 0.02, 0.1])  # of the texts that each move rejects first: 0.06 after the fifth
+    wrong = 0
+    for _ in range(2000):
+        n = int(rng.integers(60, 1500))
+        counts = rng.multinomial(n, [*shares, 1 - shares.sum()])[:-1]
+        wrong += quality.proven(counts.tolist(), n, 0.05, 0.05) > first_bad
+    assert 0 < wrong <= 0.05 * 2000 + 3 * (2000 * 0.05 * 0.95) ** 0.5
+    assert quality.proven([0] * 6, 10, 0.05, 0.05) == 0 and quality.proven([0] * 6, 59, 0.05, 0.05) == 6
+    names = [r for r, _ in quality.moves()]
+    assert set(names) == set(quality.GRID) and len(names) == sum(len(x) for _, x in quality.GRID.values())
+
+
 def test_binomial_tail():
     from math import comb
 
@@ -60,7 +104,8 @@ def own():
 
 
 def test_bpe_equals_the_library(spark, own):
-    texts = [*edge_texts(), "x" * 5000, "<|endoftext|> it's  we'll\n\n  \tend  ", "ab" * 3000 + "🙂" * 50, "aaaa" * 999 + "!" * 777]
+    rng = random.Random(7)
+    texts = [*edge_texts(), *("".join(rng.choice(["ab", "aab", "é", "🙂a", " th"]) for _ in range(rng.randint(1, 60))) for _ in range(300)), "x" * 5000, "<|endoftext|> it's  we'll\n\n  \tend  ", "ab" * 3000 + "🙂" * 50, "aaaa" * 999 + "!" * 777]
     rows = {r.doc_id: r for r in bpe.encode_documents(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
     for i, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
@@ -83,6 +128,15 @@ def test_media_reads_back(spark):
     assert (rows[6].media_sha256, rows[6].clips) == (rows[7].media_sha256, rows[7].clips)
 
 
+def test_clip_rows(spark):
+    texts = ["a" * 4096 * 3 + "\x7f" * 4096 * 4, None, "a" * 4096 * 3 + "\x7f" * 4096 * 4]
+    rows = media.clip_rows(media.through_avi(documents(spark, texts, ids=[4, None, 4]))).collect()
+    own = sorted((r.clip, r.start_s, r.end_s, r.frames, r.mean) for r in rows if r.doc_id == 4)
+    assert own == sorted([(0, 0.0, 3 / 25, 3, 97.0), (1, 3 / 25, 7 / 25, 4, 127.0)] * 2)
+    assert [(r.clip, r.frames, r.mean) for r in rows if r.doc_id is None] == [(0, 1, 0.0)]
+    assert media.clip_rows(media.through_avi(documents(spark, ["a"]).limit(0))).count() == 0
+
+
 def test_media_random_samples_and_files_without_index():
     rng = np.random.default_rng(0)
     for n in (64, 4096, 4160, 40960):
