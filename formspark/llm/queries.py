@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, manifest, media, mixing, near, pii, quality, sharding, suffixes, toxicity, word_bpe
+from . import align, bpe, chat, manifest, media, mixing, near, pii, quality, sharding, suffixes, toxicity, word_bpe
 from .common import table
 
 
@@ -56,10 +56,15 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_words(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned, _ = align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered, changed = manifest.letters_lowered()
     return manifest.manifest(table(spark, sf_dir, "documents"), tampered=tampered, changed=changed)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op9_ngram_join, op10_media_clips, op11_word_bpe, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op9_ngram_join, op10_media_clips, op11_word_bpe, op12_align_tokenizers, op13_merkle_manifest)}
 ORACLE = {"op8_chat_format": chat.DIGEST_SQL}
