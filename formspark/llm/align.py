@@ -27,13 +27,15 @@ from . import text_arrays as ta
 from .common import stored
 
 #: Bytes of text of a block of documents (a longer text makes one of its own).
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Bytes of text that are cut and aligned at once.
+PIECE = 3 << 20
 #: Stretches that a worker remembers (some 350 bytes each), and characters of them; when full, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters that the tokenizers get at once.
 PORTION = 1 << 16
-#: Texts whose white space can't be cut at each space: runs of spaces, spaces between other white space, or at an end.
-RUNS = re.compile(r"  |\s \s| \s+ |^ | $")
+#: A space beside other white space: with it, tokens may reach over spaces.
+RUNS = re.compile(r" (?:(?=\s)|(?<=\s ))")
 #: The sign for a space in pieces.
 SPACE = "▁"
 
@@ -121,9 +123,13 @@ class Aligner:
         self.links = np.zeros(0, np.int64)
         self.text = pa.array([], pa.large_string())
 
+    def make_room(self) -> None:
+        if len(self.place) > self.remembered or self.chars > 16 * self.remembered:
+            self.forget()
+
     def stretches(self, text: str) -> list[str]:
         """The text cut at its spaces, or whole where that would change its tokens; a stretch's own space comes before it."""
-        return [text] if not self.cuts or RUNS.search(text) else text.split(" ")
+        return text.split(" ") if self.cuts and text[0] != " " != text[-1] and not RUNS.search(text) else [text]
 
     def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of a space and the text; None where the tokens are other bytes."""
@@ -132,7 +138,7 @@ class Aligner:
         return (a, b) if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]) else None
 
     def learn(self, stretches: list[str]) -> None:
-        """Stretches without white space are tokenized together, many at once; the others each by itself."""
+        """Stretches without white space at their ends are tokenized together, many at once; the others each by itself."""
         order, good, sizes, a_ids, b_ids = [], [], [], [], []
         portion: list[str] = []
 
@@ -153,7 +159,7 @@ class Aligner:
 
         n = 0
         for s in stretches:
-            if len(s) > PORTION or len(s.split()) != 1 or s.split()[0] != s:
+            if len(s) > PORTION or " " in s or s[0].isspace() or s[-1].isspace():
                 put([s])
                 continue
             portion.append(s)
@@ -183,8 +189,6 @@ class Aligner:
         found = [self.stretches(t) if t else [] for t in texts]
         d = pa.array([s for own in found for s in own], pa.large_string()).dictionary_encode()
         different = d.dictionary.to_pylist()
-        if len(self.place) > self.remembered or self.chars > 16 * self.remembered:
-            self.forget()
         self.learn([s for s in different if s not in self.place])
         at = np.array([self.place[s] for s in different], np.int64)[d.indices.to_numpy()]
         n = np.array([len(own) for own in found], np.int64)
@@ -210,8 +214,8 @@ def _first_pass(a_file, b_file, remembered: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = aligner(a_file.value, b_file.value, remembered), TaskContext.get().partitionId() << 32
         for docs in _blocks(batches):
-            texts = [x.as_py() or "" for x in docs.column("text")]
-            at, n = own.align(texts)
+            own.make_room()
+            at, n = (np.concatenate(x) for x in zip(*(own.align([x.as_py() or "" for x in part.column("text")]) for part in docs)))
             stop = np.cumsum(n)
             used, local = np.unique(at, return_inverse=True)
             start = (np.cumsum(own.n_links) - own.n_links)[used]
@@ -225,7 +229,7 @@ def _first_pass(a_file, b_file, remembered: int, keep: bool):
                 doc["groups_sha256"].append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
                 doc["groups"].append(groups if keep else None)
                 doc["stretches"].append(packed[4 * lo : 4 * hi])
-            yield batch_of(len(n), block=np.full(len(n), block), doc_id=docs.column("doc_id").combine_chunks(), n_a=sums(own.n_a[at], n), n_b=sums(own.n_b[at], n), n_groups=sums(own.n_links[at], n), **doc)
+            yield batch_of(len(n), block=np.full(len(n), block), doc_id=pa.concat_arrays([part.column("doc_id") for part in docs]), n_a=sums(own.n_a[at], n), n_b=sums(own.n_b[at], n), n_groups=sums(own.n_links[at], n), **doc)
             yield batch_of(1, block=[block], first=[m.astype("<u4").tobytes()], pairs=[place.astype("<u4").tobytes()])
             for lo in range(0, len(pairs), 1 << 16):
                 some = slice(lo, lo + (1 << 16))
@@ -236,18 +240,18 @@ def _first_pass(a_file, b_file, remembered: int, keep: bool):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches gathered until they hold BLOCK bytes of text."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of batches gathered until they hold BLOCK bytes of text."""
     held, size = [], 0
-    for part in ta.chunks(batches, limit=BLOCK):
+    for part in ta.chunks(batches, limit=PIECE):
         own = part.column(part.schema.get_field_index("text")).nbytes
         if held and size + own > BLOCK:
-            yield pa.Table.from_batches(held)
+            yield held
             held, size = [], 0
         held.append(part)
         size += own
     if held:
-        yield pa.Table.from_batches(held)
+        yield held
 
 
 def pair_totals(counted: DataFrame) -> DataFrame:
