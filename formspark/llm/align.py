@@ -204,7 +204,7 @@ def aligner(a_file: bytes, b_file: bytes, remembered: int = REMEMBERED) -> Align
 PASS1 = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, stretches binary, first binary, pairs binary, pair long, place int, n long"
 
 
-def _first_pass(a_file, b_file, remembered: int, keep: bool):
+def _first_pass(a_file, b_file, remembered: int, block_bytes: int, keep: bool):
     """Rows of three kinds: documents with their stretches; of each block the pairs of its stretches; and its pairs, counted."""
     schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in PASS1.split(", "))])
 
@@ -213,7 +213,7 @@ def _first_pass(a_file, b_file, remembered: int, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = aligner(a_file.value, b_file.value, remembered), TaskContext.get().partitionId() << 32
-        for docs in _blocks(batches):
+        for docs in _blocks(batches, block_bytes):
             own.make_room()
             at, n = (np.concatenate(x) for x in zip(*(own.align([x.as_py() or "" for x in part.column("text")]) for part in docs)))
             stop = np.cumsum(n)
@@ -240,12 +240,12 @@ def _first_pass(a_file, b_file, remembered: int, keep: bool):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Pieces of batches gathered until they hold BLOCK bytes of text."""
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of batches gathered until they hold limit bytes of text."""
     held, size = [], 0
-    for part in ta.chunks(batches, limit=PIECE):
+    for part in ta.chunks(batches, limit=min(PIECE, limit)):
         own = part.column(part.schema.get_field_index("text")).nbytes
-        if held and size + own > BLOCK:
+        if held and size + own > limit:
             yield held
             held, size = [], 0
         held.append(part)
@@ -283,7 +283,7 @@ def _second_pass(keep: bool):
     return run
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, keep: bool = False, remembered: int = REMEMBERED) -> tuple[DataFrame, DataFrame]:
+def align_documents(docs: DataFrame, a_path: str, b_path: str, keep: bool = False, remembered: int = REMEMBERED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Each document's alignment, and the corpus's pairs (a, b, total, best).
 
     a_path: a byte-level BPE as JSON; b_path: a piece model with byte fallback, which adds a space; a few MB each, read by
@@ -299,7 +299,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, keep: bool = Fals
     for path in (a_path, b_path):
         with open(path, "rb") as f:
             files.append(sc.broadcast(f.read()))
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_first_pass(*files, remembered, keep), PASS1))
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_first_pass(*files, remembered, block, keep), PASS1))
     counted = rows.filter("pair IS NOT NULL").select("block", "pair", "place", "n")
     totals = pair_totals(counted)
     back = counted.drop("n").join(totals, "pair").select(F.col("block").alias("of"), "place", "total", "best")

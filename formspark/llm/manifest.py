@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Children of a node, levels and leaves of a block.
+#: Children of a node, and levels of a block, which so has up to 8^4 leaves.
 FANOUT, HEIGHT = 8, 4
-BLOCK = FANOUT**HEIGHT
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -38,10 +37,10 @@ def H(digests: list[str]) -> str:
     return hashlib.sha256("".join(digests).encode()).hexdigest()
 
 
-def levels(n: int) -> int:
+def levels(n: int, height: int) -> int:
     """Levels that a block of a group of n nodes has above its own."""
     k = 0
-    while k < HEIGHT and n > 1:
+    while k < height and n > 1:
         n, k = -(-n // FANOUT), k + 1
     return k
 
@@ -108,9 +107,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return dealt.join(sums, [*group, "_range"]).withColumn("i", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
-def blocks(nodes: DataFrame, *kept: str) -> DataFrame:
+def blocks(nodes: DataFrame, height: int, *kept: str) -> DataFrame:
     """nodes (g, i, n, d, and what is kept of each) by aligned blocks, one row each: g, b, n and an array of nodes."""
-    return nodes.groupBy("g", F.floor(F.col("i") / BLOCK).alias("b")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "d", *kept))).alias("nodes"))
+    return nodes.groupBy("g", F.shiftright("i", 3 * height).alias("b")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "d", *kept))).alias("nodes"))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -119,45 +118,52 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _parents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """g, i, n, d of the blocks' roots as nodes of the next stage."""
-    for part in parts:
-        out = []
-        for r in _rows(part):
-            height = levels(r["n"])
-            out.append((r["g"], r["b"], -(-r["n"] // FANOUT**height), bytes.fromhex(Tree([x["d"].hex() for x in r["nodes"]], height).root)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["g", "i", "n", "d"])
+def parents(own: DataFrame, height: int) -> DataFrame:
+    """The blocks' roots as nodes (g, i, n, d) of the next stage."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for r in _rows(part):
+                k = levels(r["n"], height)
+                out.append((r["g"], r["b"], -(-r["n"] // FANOUT**k), bytes.fromhex(Tree([x["d"].hex() for x in r["nodes"]], k).root)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["g", "i", "n", "d"])
+
+    return stored(own.mapInArrow(run, "g string, i long, n long, d binary"))
 
 
-def _paths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node of a block its path to the block's root."""
-    for part in parts:
-        for r in _rows(part):
-            t = Tree([x["d"].hex() for x in r["nodes"]], levels(r["n"]))
-            k = len(r["nodes"])
-            cols = [[r["g"]] * k, [x["i"] for x in r["nodes"]], [r["b"]] * k, [packed(t.path(j)) for j in range(k)]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["g", "i", "b", "path"])
+def paths(own: DataFrame, height: int) -> DataFrame:
+    """Of each node (g, i) of a block b its path to the block's root."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in _rows(part):
+                t = Tree([x["d"].hex() for x in r["nodes"]], levels(r["n"], height))
+                k = len(r["nodes"])
+                cols = [[r["g"]] * k, [x["i"] for x in r["nodes"]], [r["b"]] * k, [packed(t.path(j)) for j in range(k)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["g", "i", "b", "path"])
+
+    return own.mapInArrow(run, "g string, i long, b long, path binary")
 
 
-def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def climb(nodes: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
     """The root (g, d) of each group of nodes (g, i, n, d), and each node's path to it (g, i, path)."""
     if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
         return nodes.select("g", "d"), nodes.select("g", "i", F.lit(b"").alias("path"))
-    own = stored(blocks(nodes))
-    roots, above = climb(stored(own.mapInArrow(_parents, "g string, i long, n long, d binary")))
+    own = stored(blocks(nodes, height))
+    roots, above = climb(parents(own, height), height)
     up = above.select("g", F.col("i").alias("b"), F.col("path").alias("rest"))
-    paths = own.mapInArrow(_paths, "g string, i long, b long, path binary").join(up, ["g", "b"])
-    return roots, paths.select("g", "i", F.concat("path", "rest").alias("path"))
+    return roots, paths(own, height).join(up, ["g", "b"]).select("g", "i", F.concat("path", "rest").alias("path"))
 
 
-def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "lang", order: str = "doc_id", tampered: Column | None = None, changed: dict[str, Column] | None = None, keep: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "lang", order: str = "doc_id", tampered: Column | None = None, changed: dict[str, Column] | None = None, keep: bool = False, height: int = HEIGHT) -> DataFrame:
     """Of each row: order's column, leaf, subroot (of its group), root (of all), proof_sha256 (of all siblings up to root),
     folded_root (recomputed from the leaf, or of a tampered row from that of its changed columns) and verified.
 
     tampered: which rows are; changed: what their columns hold then. keep adds siblings (array of arrays, a level each) and
     copied (the ancestors that the row's version copies; empty where it isn't tampered). Rows of one order and group go by
-    their leaves. Null columns are a hyphen in the leaf, a null order comes first, null groups are one group and come first.
+    their leaves. height: levels of a block. Null columns are a hyphen in the leaf, a null order comes first, null groups are one group and come first.
     Repeated rows are leaves each. Other columns of docs are left out. No rows give no rows.
     """
     tampered = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
@@ -165,11 +171,11 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     g = F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit(""))  # never null, in the order of the groups
     own = docs.select(F.col(order).alias("o"), g.alias("g"), leaf_digest([F.col(c) for c in columns]).alias("d"), F.when(tampered, leaf_digest(other)).alias("t"))
     leaves = stored(own.withColumn("_row", F.monotonically_increasing_id()))  # tells equal rows apart, so that ranges can cut them
-    whole = stored(blocks(numbered(leaves, ["g"], ["o", "d", "_row"]).drop("_row"), "o", "t"))
-    subroots, up = climb(stored(whole.mapInArrow(_parents, "g string, i long, n long, d binary")))
+    whole = stored(blocks(numbered(leaves, ["g"], ["o", "d", "_row"]).drop("_row"), height, "o", "t"))
+    subroots, up = climb(parents(whole, height), height)
     subroots = stored(subroots)
     seq = stored(numbered(subroots.withColumn("all", F.lit("")), ["all"], ["g"]))
-    top, over = climb(seq.select(F.col("all").alias("g"), "i", "n", "d"))
+    top, over = climb(seq.select(F.col("all").alias("g"), "i", "n", "d"), height)
     over = seq.select("g", "i").join(over.select("i", F.col("path").alias("rest")), "i").drop("i")
     top = top.select(F.col("d").alias("root"))
     ends = subroots.join(over, "g").crossJoin(F.broadcast(top)).select("g", F.col("d").alias("sub"), "rest", "root")
@@ -182,7 +188,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
             for k in range(part.num_rows):
                 block = part.slice(k, 1)
                 r = block.to_pylist()[0]
-                tree = Tree([x["d"].hex() for x in r["nodes"]], levels(r["n"]))
+                tree = Tree([x["d"].hex() for x in r["nodes"]], levels(r["n"], height))
                 rest, sub, root = unpacked(r["up"]) + unpacked(r["rest"]), r["sub"].hex(), r["root"].hex()
                 rest_text = "".join(x for _, others in rest for x in others)
                 cols: list[list] = [[] for _ in range(6)]
