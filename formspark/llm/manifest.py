@@ -10,6 +10,7 @@ block's path in the same task, so that no upper node ever meets all versions.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -214,4 +215,48 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
 
 def letters_lowered(order: str = "doc_id") -> tuple[Column, dict[str, Column]]:
     """A tampering for tests of a manifest: rows whose id has a CRC-32 that 3 divides get lower-case letters a to z."""
-    return F.crc32(F.col(order).cast("string").cast("binary")) % 3 == 0, {"text": F.translate("text", "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))}
+    return F.crc32(F.col(order).cast("string").cast("binary")) % 3 == 0, {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+
+
+def _sql(levels_of_group: int = 7, levels_of_all: int = 4) -> str:
+    """op13's query for DuckDB, for groups of up to 8^7 rows and up to 8^4 groups."""
+
+    def text(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def step(tree: str, k: int, g: str, i: str) -> list[str]:
+        """The next level of a tree, its runs, and the walk of every row over it."""
+        p = f"(({i} >> {3 * k}) & 7)"
+        return [
+            f"r_{tree}{k} AS (SELECT g, i >> 3 AS i, list(d ORDER BY i) AS ds, max(n) AS n FROM {tree}{k} GROUP BY ALL)",
+            f"{tree}{k + 1} AS (SELECT g, i, CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, count(*) OVER (PARTITION BY g) AS n FROM r_{tree}{k})",
+            f"w_{tree}{k} AS (SELECT w.* REPLACE (w.proof || CASE WHEN r.n = 1 THEN '' ELSE array_to_string(r.ds[1:{p}], '') || array_to_string(r.ds[{p} + 2:], '') END AS proof, "
+            f"CASE WHEN r.n = 1 THEN w.f ELSE sha256(array_to_string(r.ds[1:{p}], '') || w.f || array_to_string(r.ds[{p} + 2:], '')) END AS f) FROM w JOIN r_{tree}{k} r ON r.g = {g} AND r.i = {i} >> {3 * k + 3})",
+        ]
+
+    other = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR _ IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    head, lower = " || ".join(text(c) for c in COLUMNS[:-1]), text(other)
+    ctes = [
+        f"t AS (SELECT doc_id, coalesce('+' || lang, '') AS g, sha256({head} || {text('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN sha256({head} || {lower}) END AS t FROM documents)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM t)",
+        "a0 AS (SELECT g, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM p)",
+        "w0 AS (SELECT *, coalesce(t, leaf) AS f, '' AS proof FROM p)",
+    ]
+    last = "w0"
+    for k in range(levels_of_group):
+        ctes += [x.replace(" FROM w JOIN", f" FROM {last} w JOIN") for x in step("a", k, "w.g", "w.i")]
+        last = f"w_a{k}"
+    ctes += [
+        f"s AS (SELECT g, d AS sub, row_number() OVER (ORDER BY g) - 1 AS q FROM a{levels_of_group})",
+        "b0 AS (SELECT 0 AS g, q AS i, sub AS d, count(*) OVER () AS n FROM s)",
+        f"v AS (SELECT w.*, s.sub, s.q FROM {last} w JOIN s ON w.g = s.g)",
+    ]
+    last = "v"
+    for k in range(levels_of_all):
+        ctes += [x.replace(" FROM w JOIN", f" FROM {last} w JOIN") for x in step("b", k, "0", "w.q")]
+        last = f"w_b{k}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, sub AS subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM {last} CROSS JOIN (SELECT d FROM b{levels_of_all}) top"
+
+
+SQL = _sql()

@@ -67,4 +67,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard_documents, op3_suffix_dedup, op4_toxicity, op5_private_data, op6_quality_rules, op7_byte_bpe, op8_chat_format, op9_ngram_join, op10_media_clips, op11_word_bpe, op12_align_tokenizers, op13_merkle_manifest)}
-ORACLE = {"op8_chat_format": chat.DIGEST_SQL}
+ORACLE = {"op8_chat_format": chat.DIGEST_SQL, "op13_merkle_manifest": manifest.SQL}
