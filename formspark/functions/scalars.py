@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from .. import schemas
 from ..sources.tables import ALIASES, BEST, PROVIDERS
+from .matching import ratios
 
 _LABELS = {p[0]: p[1] for p in PROVIDERS}
 PROVIDER_LABELS = _LABELS | {a: _LABELS[c] for a, c in ALIASES.items()} | {b: "Automatic (Best)" for b in BEST}
@@ -114,7 +113,8 @@ def parse_extraction(c: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def field_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts; 0 where the second is empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y).ratio() if y else 0.0 for x, y in zip(a, b)])
+    a, b = a.fillna(""), b.fillna("")
+    return pd.Series(ratios(a.tolist(), b.tolist())).where((b != "").to_numpy(), 0.0)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

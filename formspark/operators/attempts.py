@@ -55,6 +55,15 @@ def assemble_pages(pages: DataFrame, mode: str = "upload", keys: tuple[str | Col
     return out.withColumn("raw_text", F.array_join(said, "\n"))
 
 
+def joined_pages(results: Column) -> dict[str, Column]:
+    """assemble_pages' columns from an array of a form's pages, as uploads have them."""
+    worded = F.filter(results, lambda p: F.trim(F.coalesce(p["raw_text"], F.lit(""))) != "")
+    sure = F.filter(F.transform(worded, lambda p: p["confidence"]), lambda c: F.coalesce(c != 0, F.lit(False)))
+    said = F.transform(worded, lambda p: F.concat(F.lit("\n--- Page "), p["page"].cast("string"), F.lit(" ---\n"), p["raw_text"]))
+    mean = F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(sure), F.lit(0))
+    return {"raw_text": F.array_join(said, "\n"), "confidence": round_at(F.coalesce(mean, F.lit(0.0)), 2), "pages_processed": F.size(results), "provider": F.get(results, 0)["provider"]}
+
+
 def split_pages(forms: DataFrame) -> DataFrame:
     """Pages from assembled text."""
     parts = F.split("raw_text", r"(?:^|\n)\n--- Page ")

@@ -15,7 +15,7 @@ def evaluate_fields(labels: DataFrame, parsed: DataFrame, raw: DataFrame | None
     """labels (sample_id, field, expected) with parsed (sample_id, field, actual) and raw (sample_id, raw_text).
 
     Fields whose expected text is empty don't count. A field without an actual text scores 0, or 0.8 where the expected
-    text occurs in the raw one. similarity: "blocks" (matching blocks) or "edits" (edit distance, native).
+    text occurs in the raw one. ratio is the similarity before it is rounded. similarity: "blocks" (matching blocks) or "edits" (edit distance, native).
     """
     own = labels.withColumn("_e", norm_text(F.col("expected"))).filter("_e <> ''")
     met = own.join(parsed.select("sample_id", "field", "actual"), ["sample_id", "field"], "left").withColumn("_a", norm_text(F.col("actual")))
@@ -23,7 +23,7 @@ def evaluate_fields(labels: DataFrame, parsed: DataFrame, raw: DataFrame | None
     ratio = field_similarity(F.col("_e"), F.col("_a")) if similarity == "blocks" else edit_similarity(F.col("_e"), F.col("_a"))
     met = met.withColumn("_r", ratio).withColumn("found_in_raw", F.coalesce(F.col("_raw").contains(F.col("_e")), F.lit(False)))
     met = met.withColumn("_r", F.when((F.col("_a") == "") & F.col("found_in_raw"), F.greatest("_r", F.lit(0.8))).otherwise(F.col("_r")))
-    return met.select("sample_id", "field", "expected", "actual", round_at(F.col("_r"), 3).alias("similarity"), (F.col("_r") >= 0.999).alias("exact_match"), "found_in_raw")
+    return met.select("sample_id", "field", "expected", "actual", round_at(F.col("_r"), 3).alias("similarity"), (F.col("_r") >= 0.999).alias("exact_match"), "found_in_raw", F.col("_r").alias("ratio"))
 
 
 def structured_or_parsed(extractions: DataFrame, specs: tuple[FieldSpec, ...] = SPECS) -> DataFrame:
@@ -42,7 +42,8 @@ def union_reports(reports: list[DataFrame]) -> DataFrame:
 
 
 def score_samples(scores: DataFrame, by: tuple[str, ...] = ("sample_id",)) -> DataFrame:
-    return scores.groupBy(*by).agg(F.avg("similarity").alias("similarity"), F.avg(F.col("exact_match").cast("double")).alias("exact_rate"), F.count("*").alias("n_fields"))
+    """Means over the fields of a sample, of the ratios before they are rounded."""
+    return scores.groupBy(*by).agg(F.avg("ratio").alias("similarity"), F.avg(F.col("exact_match").cast("double")).alias("exact_rate"), F.count("*").alias("n_fields"))
 
 
 def provider_summary(samples: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def cost_report(pages: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def impute_confidence(attempts: DataFrame, dim: DataFrame) -> DataFrame:
-    """Providers that report no confidence get their default; an empty text gets 0."""
-    own = dim.select(F.col("name").alias("_p"), F.col("default_confidence").alias("_d"))
+    """Providers that report no confidence get their default; of an empty text, those that give it 0 by the dimension get 0."""
+    own = dim.select(F.col("name").alias("_p"), F.col("default_confidence").alias("_d"), F.col("zero_if_empty").alias("_z"))
     met = attempts.join(F.broadcast(own), F.col("provider") == F.col("_p"), "left")
     empty = F.trim(F.coalesce("raw_text", F.lit(""))) == ""
-    return met.withColumn("confidence", F.coalesce("confidence", F.when(empty, 0.0).otherwise(F.col("_d")))).drop("_p", "_d")
+    return met.withColumn("confidence", F.coalesce("confidence", F.when(empty & F.col("_z"), 0.0).otherwise(F.col("_d")))).drop("_p", "_d", "_z")

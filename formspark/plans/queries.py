@@ -203,9 +203,15 @@ query("apply_verifications", _VERIFIED_SQL, "forms", "profiles")(lambda f, p: ch
 query("verified_profiles", "SELECT id, student_name, aadhar_number FROM profiles UNION ALL SELECT (SELECT max(id) FROM profiles ) + row_number() OVER (ORDER BY n), n, NULL FROM (SELECT DISTINCT 'New ' || student_name AS n FROM forms WHERE id % 3 = 0 AND id % 2 = 1) x", "forms", "profiles")(lambda f, p: changes.apply_verifications(f, _patch(f), p.withColumn("created_date", F.col("updated_date")))[2].select("id", "student_name", "aadhar_number"))
 query("verification_rejects", "SELECT id AS form_id FROM forms WHERE id % 6 = 0", "forms")(lambda f: changes.apply_verifications(f, _patch(f))[1].select("form_id"))
 query("apply_patches", "SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN ' ' ELSE 'New ' || student_name END ELSE student_name END AS student_name, email, CASE WHEN id % 3 = 0 THEN 'verified' ELSE status END AS status, coalesce(verified_date, CASE WHEN id % 3 = 0 THEN upload_date END) AS verified_date FROM forms", "forms")(lambda f: changes.apply_patches(f, _patch(f)).select("id", "student_name", "email", "status", "verified_date"))
+_MANY_PATCHES = "(SELECT form_id, upload_date AS t, CASE id % 3 WHEN 0 THEN description || id WHEN 1 THEN '' END AS name, CASE WHEN id % 2 = 0 THEN file_path END AS mail FROM docs ) p"
+_last = lambda c: f"(SELECT form_id, {c} FROM {_MANY_PATCHES} WHERE {c} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY form_id ORDER BY t DESC, {c} DESC) = 1) {c}_"
+_MANY_SQL = f"""SELECT id, coalesce(name, student_name) AS student_name, coalesce(mail, email) AS email, CASE WHEN first IS NULL THEN status ELSE 'verified' END AS status, coalesce(verified_date, first) AS verified_date
+FROM forms LEFT JOIN {_last('name')} ON name_.form_id = id LEFT JOIN {_last('mail')} ON mail_.form_id = id LEFT JOIN (SELECT form_id, min(t) AS first FROM {_MANY_PATCHES} WHERE name <> '' GROUP BY form_id) f ON f.form_id = id"""
+_many = lambda d: d.select("form_id", F.col("upload_date").alias("submitted_at"), F.when(F.col("id") % 3 == 0, F.concat("description", F.col("id").cast("string"))).when(F.col("id") % 3 == 1, "").alias("student_name"), F.when(F.col("id") % 2 == 0, F.col("file_path")).alias("email"))
+query("apply_many_patches", _MANY_SQL, "forms", "docs")(lambda f, d: changes.apply_patches(f, _many(d)).select("id", "student_name", "email", "status", "verified_date"))
 query("autofill", "SELECT id, CASE WHEN id % 2 = 0 THEN 'x' ELSE student_name END AS student_name, coalesce(aadhar_number, CASE WHEN id % 2 = 0 THEN '1' END) AS aadhar_number FROM forms", "forms")(lambda f: changes.autofill(changes.autofill(f, f.filter("id % 2 = 0").select("id", F.lit("x").alias("student_name"), F.lit("").alias("email"))), f.filter("id % 2 = 0").select("id", F.lit("1").alias("aadhar_number")), overwrite=False).select("id", "student_name", "aadhar_number"))
 query("upsert_profiles", "SELECT id, student_name, aadhar_number, coalesce(CASE WHEN id % 4 = 0 THEN timestamp '2024-01-01 00:00:00' END, updated_date) AS updated_date FROM profiles UNION ALL SELECT max(id) + 1, 'Zed', NULL, timestamp '2024-01-01 00:00:00' FROM profiles", "profiles")(lambda p: changes.upsert_profiles(p, p.filter("id % 4 = 0").select("student_name", F.coalesce("aadhar_number", F.lit("")).alias("aadhar_number"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("at")).union(p.sparkSession.sql("SELECT 'Zed', '', timestamp_ntz'2024-01-01 00:00:00'"))))
-query("create_profiles", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 = 1", "profiles")(lambda p: changes.create_profiles(p.filter("id % 5 <> 1"), p)[0].select("id"))
+query("create_profiles", "SELECT id FROM profiles WHERE id % 5 = 1", "profiles")(lambda p: changes.create_profiles(p, p.withColumn("student_name", F.when(F.col("id") % 5 == 1, F.concat(F.lit("New "), "student_name")).otherwise(F.col("student_name"))))[0].select("id"))
 query("attach_documents", "SELECT id, CASE WHEN form_id NOT IN (SELECT id FROM forms) THEN 'unknown form' WHEN student_profile_id NOT IN (SELECT id FROM profiles) THEN 'unknown profile' END AS reason FROM docs", "docs", "forms", "profiles")(lambda d, f, p: changes.attach_documents(d, f, p).select("id", "reason"))
 query("delete_forms", "SELECT id, CASE WHEN form_id % 2 = 0 THEN NULL ELSE form_id END AS form_id FROM docs", "forms", "docs")(lambda f, d: changes.delete_forms(f, d, d.select(F.col("form_id").alias("id")).filter("id % 2 = 0"))[1].select("id", "form_id"))
 query("forms_left", "SELECT id FROM forms WHERE id % 2 = 1", "forms", "docs")(lambda f, d: changes.delete_forms(f, d, f.select("id").filter("id % 2 = 0"))[0].select("id"))
@@ -228,7 +234,7 @@ query("structured_or_parsed", _STRUCTURED_SQL.format(*[extraction_sql("rendered"
 query("evaluate_blocks", None, "rendered")(lambda r: _eval(r, "blocks"))
 _EVAL = tuple(s for s in fields.SPECS if s.name in ("email", "aadhar_number", "city"))
 _LABELED_SQL = " UNION ALL ".join(f"SELECT id, lower(trim({s.name})) AS a, lower(trim(CASE WHEN id % 4 = 0 THEN translate({s.name}, '1a', '7o') ELSE {s.name} END)) AS e FROM ({extraction_sql('rendered', _EVAL)}) x_{s.name}" for s in _EVAL)
-_SCORES_SQL = f"""SELECT id AS sample_id, {rounded("avg(cast(round(cast(r AS decimal(20,10)), 3) AS double))", 6)} AS similarity, {rounded("avg(CASE WHEN r >= 0.999 THEN 1.0::double ELSE 0.0 END)", 6)} AS exact_rate, count(*) AS n_fields
+_SCORES_SQL = f"""SELECT id AS sample_id, {rounded("avg(r)", 6)} AS similarity, {rounded("avg(CASE WHEN r >= 0.999 THEN 1.0::double ELSE 0.0 END)", 6)} AS exact_rate, count(*) AS n_fields
 FROM (SELECT id, 1 - levenshtein(e, a) / greatest(length(e), length(a), 1) AS r FROM ({_LABELED_SQL}) y WHERE coalesce(e, '') <> '') z GROUP BY id"""
 query("score_samples", _SCORES_SQL, "rendered")(lambda r: evaluate.score_samples(_eval(r, "edits")).withColumns({c: scalars.round_at(F.col(c), 6) for c in ("similarity", "exact_rate")}))
 query("provider_summary", f"SELECT provider, count(*) AS samples, {rounded('avg(confidence) FILTER (error IS NULL)', 2)} AS avg_confidence, {rounded('avg(confidence / 100) FILTER (error IS NULL)', 3)} AS avg_similarity, {rounded('avg(page) FILTER (error IS NULL)', 3)} AS avg_exact_rate, {rounded('avg(attempt_ord) FILTER (error IS NULL)', 2)} AS avg_time_ms, count(error) AS failures FROM attempts GROUP BY provider", "attempts")(lambda a: evaluate.provider_summary(a.select("provider", "confidence", (F.col("confidence") / 100).alias("similarity"), F.col("page").alias("exact_rate"), F.col("attempt_ord").alias("time_ms"), "error")))
@@ -238,7 +244,7 @@ query("expired_uploads", "SELECT id FROM forms WHERE upload_date < timestamp '19
 query("needs_review", "SELECT form_id, page FROM form_pages WHERE CASE WHEN confidence <= 1 THEN confidence * 100 ELSE confidence END < 80", "form_pages")(lambda p: evaluate.needs_review(p).select("form_id", "page"))
 query("qc_sample", "SELECT id FROM forms WHERE status = 'verified' AND ('0x' || substr(md5(cast(id AS string)), 1, 6))::bigint % 100 < 7", "forms")(lambda f: evaluate.qc_sample(f, 7).select("id"))
 query("cost_report", "SELECT canonical, count(*) AS pages, cast(round(cast(sum(price) AS decimal(20,10)), 4) AS double) AS estimated_cost FROM (SELECT CASE provider WHEN 'google' THEN 'google-vision' ELSE provider END AS canonical, cast(CASE provider WHEN 'google' THEN 0.0015 WHEN 'aws-textract' THEN 0.0015 WHEN 'abbyy' THEN 0.01 ELSE 0 END AS double) AS price FROM attempts) x GROUP BY canonical", "attempts")(lambda a: evaluate.cost_report(a, tables.provider_dim(a.sparkSession)))
-query("impute_confidence", "SELECT form_id, attempt_ord, coalesce(confidence, CASE provider WHEN 'google' THEN 95.0 WHEN 'aws-textract' THEN 85.0 WHEN 'abbyy' THEN 90.0 END)::double AS confidence FROM attempts", "attempts")(lambda a: evaluate.impute_confidence(a, tables.provider_dim(a.sparkSession)).select("form_id", "attempt_ord", "confidence"))
+query("impute_confidence", "SELECT form_id, attempt_ord, coalesce(confidence, CASE provider WHEN 'google' THEN CASE WHEN form_id % 4 < 2 THEN 0.0 ELSE 95.0 END WHEN 'aws-textract' THEN 85.0 WHEN 'abbyy' THEN 90.0 END)::double AS confidence FROM attempts", "attempts")(lambda a: evaluate.impute_confidence(a.withColumn("raw_text", F.when(F.col("form_id") % 4 == 0, " ").when(F.col("form_id") % 4 != 1, F.col("raw_text"))), tables.provider_dim(a.sparkSession)).select("form_id", "attempt_ord", "confidence"))
 query("union_reports", "SELECT id, 'a' AS report, NULL AS status FROM forms WHERE status = 'verified' UNION ALL SELECT id, 'b', status FROM forms WHERE status <> 'verified'", "forms")(lambda f: evaluate.union_reports([f.filter("status = 'verified'").select("id", F.lit("a").alias("report")), f.filter("status <> 'verified'").select("id", F.lit("b").alias("report"), "status")]))
 query("union_pages", "SELECT form_id, provider, row_number() OVER (PARTITION BY form_id ORDER BY provider <> 'user', page) AS page FROM form_pages", "form_pages")(lambda p: attempts.union_pages([p.filter("provider = 'user'"), p.filter("provider <> 'user'")]).select("form_id", "provider", "page"))
 query("shown_pages", "SELECT form_id, CASE WHEN form_id % 3 = 0 THEN 1 ELSE count(*) END AS pages FROM form_pages GROUP BY form_id", "form_pages")(lambda p: attempts.assemble_pages(p).withColumns({"pages_processed": F.when(F.col("form_id") % 3 == 1, F.col("pages_processed")), "page_results": F.when(F.col("form_id") % 3 != 0, F.col("page_results"))}).select("form_id", attempts.shown_pages().cast("long").alias("pages")))

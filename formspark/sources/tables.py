@@ -22,6 +22,7 @@ PROVIDERS = (
 )
 ALIASES = {"google": "google-vision", "azure": "azure-vision"}
 BEST = ("best", "multi")
+ZERO_IF_EMPTY = ("google-vision", "google-documentai", "azure-vision")  # their confidence in an empty text
 
 
 def read(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -60,12 +61,13 @@ def validate_intake(files: DataFrame) -> DataFrame:
 
 
 def provider_dim(spark: SparkSession, enabled: list[str] | None = None) -> DataFrame:
-    """name (canonical, alias or best-of), canonical, label, default_confidence, price. Best-of needs two providers."""
+    """name (canonical, alias or best-of), canonical, label, default_confidence, price, zero_if_empty. Best-of needs two providers."""
     own = [p for p in PROVIDERS if enabled is None or p[0] in enabled]
+    own = [(*p, p[0] in ZERO_IF_EMPTY) for p in own]
     rows = [(p[0], *p) for p in own] + [(a, *p) for a, c in ALIASES.items() for p in own if p[0] == c]
     if len(own) >= 2:
-        rows += [(b, "best", "Automatic (Best)", None, None) for b in BEST]
-    return spark.createDataFrame(rows, "name string, canonical string, label string, default_confidence double, price double")
+        rows += [(b, "best", "Automatic (Best)", None, None, False) for b in BEST]
+    return spark.createDataFrame(rows, "name string, canonical string, label string, default_confidence double, price double, zero_if_empty boolean")
 
 
 def category_dim(spark: SparkSession) -> DataFrame:

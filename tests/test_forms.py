@@ -151,3 +151,22 @@ def test_gates_begin_every_match():
 def test_labels_after_letters_that_lower_to_two(spark):
     df = spark.createDataFrame([(1, "İİİİİİ Email: a@b.co Religion: None at all"), (2, "religious EMAIL Email: c@d.co")], "id long, raw_text string")
     assert {r.id: (r.email, r.religion) for r in fields.extract_fields(df).collect()} == {1: ("a@b.co", "None At All"), 2: ("c@d.co", None)}
+
+
+def test_matching_blocks_equal_the_librarys():
+    import difflib
+    import random
+
+    from formspark.functions.matching import ratios
+
+    rng = random.Random(5)
+    text = lambda n, some: "".join(rng.choice(some) for _ in range(n))
+    pairs = [("", ""), ("a", ""), ("", "b"), ("é🙂", "🙂é")]
+    for some in ("ab", "abcdef ", "abcdefghijklmnopqrstuvwxyz éü🙂"):
+        pairs += [(text(rng.randint(0, 40), some), text(rng.randint(0, 40), some)) for _ in range(300)]
+    for some in ("abc", "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(300, 500)))):  # with and without frequent characters
+        for _ in range(25):
+            x, y, k = text(rng.randint(0, 500), some), text(rng.randint(150, 500), some), rng.randrange(150)
+            pairs += [(x, y), (y[:k] + "##" + y[k + 3 :] + x[:20], y)]
+    assert ratios(*map(list, zip(*pairs))).tolist() == [difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    assert ratios([], []).tolist() == []
