@@ -11,6 +11,8 @@ from .common import cut, free
 
 #: High bits of the permutation hash: each source and pass is ordered in so many independent pieces.
 CELL_BITS = 12
+#: Equal rows that one row is made into at once.
+COPIES = 4096
 
 
 def words(text: str = "text") -> Column:
@@ -85,27 +87,35 @@ def mix(docs: DataFrame, tokens: Column | None = None, max_repeats: float | None
 
     Rows of the mix: doc_id, source, n_tokens, epoch, place, block, slot. Each pass over a source is a permutation of
     its own; whole passes take every document, the last one takes documents until the source's budget is met. A block
-    draws from each source in proportion to its weight and is shuffled within. Null sources form one source; sources
-    without tokens are seen once, spread over all blocks; rows of equal doc_id and text stay separate rows, of which a pass
-    takes all or none. Empty tables give no rows.
+    draws from each source in proportion to its weight and is shuffled within; it exceeds its tokens by a document of each
+    source at most. Null sources form one source; sources without tokens are seen once; rows without tokens are spread over
+    all blocks; rows of equal doc_id and text stay separate rows, of which a pass takes all or none, block after block.
+    Empty tables give no rows.
     """
-    rows = cut(docs.select("doc_id", "source", (words() if tokens is None else tokens).alias("n_tokens"), F.xxhash64("text").alias("print")))
-    sources = cut(weigh(rows.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), max_repeats, min_entropy, budget))
+    own = docs.select("doc_id", "source", (words() if tokens is None else tokens).alias("n_tokens"), F.xxhash64("text").alias("print"))
+    rows = cut(own.groupBy(own.columns).agg(F.count("*").alias("copies")).withColumn("_sum", F.col("n_tokens") * F.col("copies")))
+    sources = cut(weigh(rows.groupBy("source").agg(F.sum("_sum").alias("n_tokens"), F.sum("copies").alias("n_rows")), max_repeats, min_entropy, budget))
     plan = sources.select(F.col("source").alias("_source"), F.col("n_tokens").alias("_all"), "weight", "passes", "rest")
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("epoch", F.explode(F.expr("CASE WHEN passes + CAST(rest > 0 AS INT) > 0 THEN sequence(0, CAST(passes AS INT) + CAST(rest > 0 AS INT) - 1) END")))
     dealt = dealt.withColumn("place", permuted(seed, F.col("epoch"), F.col("doc_id"), F.col("print"))).withColumn("cell", F.shiftright("place", 63 - CELL_BITS))
     keys = ["source", "epoch", "cell"]
-    before = dealt.groupBy(*keys).agg(F.sum("n_tokens").alias("_sum"))
+    before = dealt.groupBy(*keys).agg(F.sum("_sum").alias("_sum"))
     before = before.withColumn("_before", F.sum("_sum").over(Window.partitionBy("source", "epoch").orderBy("cell")) - F.col("_sum")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_before")
-    inside = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
     placed = dealt.withColumn("_inside", F.coalesce(inside, F.lit(0)))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("epoch") == F.col("_epoch")) & (F.col("cell") == F.col("_cell"))).withColumn("_start", F.col("_before") + F.col("_inside"))
     kept = placed.filter((F.col("epoch") < F.col("passes")) | (F.col("_start") < F.col("rest")))
-    at = F.col("epoch") * F.col("_all") + F.col("_start")
+    # equal rows are one until here; each comes after the one before it
+    kept = kept.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    if (rows.agg(F.max("copies")).first()[0] or 0) > COPIES:
+        kept = kept.repartition("doc_id", "print", "epoch", "_part")
+    kept = kept.withColumn("_copy", F.explode(F.sequence(F.col("_part") * COPIES, F.least("copies", (F.col("_part") + 1) * COPIES) - 1)))
+    at = F.col("epoch") * F.col("_all") + F.col("_start") + F.col("_copy") * F.col("n_tokens")
     size = sources.agg(F.sum(F.when(F.col("n_tokens") > 0, F.col("target")).otherwise(F.col("n_rows")))).first()[0] or 0
-    empty = F.pmod(F.col("place"), F.lit(max(1, math.ceil(size / block_tokens))))
-    kept = kept.withColumn("block", F.coalesce(F.floor(F.try_divide(at, F.col("weight") * block_tokens)), empty).cast("long"))
+    empty = F.pmod(F.col("place") + F.col("_copy"), F.lit(max(1, math.ceil(size / block_tokens))))
+    full = F.when(F.col("n_tokens") > 0, F.floor(F.try_divide(at, F.col("weight") * block_tokens)))
+    kept = kept.withColumn("block", F.coalesce(full, empty).cast("long"))
     slot = F.row_number().over(Window.partitionBy("block").orderBy(permuted(seed + 1, F.col("doc_id"), F.col("print"), F.col("epoch")), "doc_id", "print", "epoch")).cast("long") - 1
     return kept.select("doc_id", "source", "n_tokens", "epoch", "place", "block", slot.alias("slot")), sources
 
