@@ -14,6 +14,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Cells of the ring: bounds what reaches the driver and what is broadcast.
 RING_CELLS = 1 << 14
 #: A cell of more than 1 / HOT of all rows, and of more than LARGE, is ranked in HOT parts.
@@ -70,17 +72,26 @@ def shard_rows(df: DataFrame, key: Column, n_shards: int, tie: list[Column] = ()
     """Adds home_shard, shard and slot (gapless from 0 in each shard) to the rows of df.
 
     Nulls share one key. Rows that agree in key and tie share a cell and are told apart by their rank alone, so equal
-    rows are interchangeable. A key of very many rows is ranked in parts by its ties (rows equal in both share a task). An
-    empty table gives an empty table. The added columns replace columns of the same name.
+    rows are interchangeable. A key of very many rows is ranked in parts by its ties, and very many rows equal in both in
+    parts by their places (df is written then). An empty table gives an empty table. The added columns replace columns of the same name.
     """
     spark = df.sparkSession
     h = F.xxhash64(F.lit("ring"), key.cast("string"))
     df = df.withColumns({"_ring_hash": h, "_ring_cell": F.pmod(h, F.lit(RING_CELLS)).cast("int")})
     counts = {r[0]: r[1] for r in df.groupBy("_ring_cell").count().collect()}  # RING_CELLS rows at most
-    hot = [c for c, n in counts.items() if n > max(sum(counts.values()) // HOT, LARGE)]  # fewer than HOT
-    part = F.when(F.col("_ring_cell").isin(hot), F.pmod(F.xxhash64(F.lit("part"), key.cast("string"), *tie), F.lit(HOT)).cast("int")).otherwise(0) if hot else F.lit(0)
+    most = max(sum(counts.values()) // HOT, LARGE)
+    hot = [c for c, n in counts.items() if n > most]  # fewer than HOT
+    part = F.lit(0)
+    if hot:
+        tied = F.xxhash64(F.lit("part"), key.cast("string"), *tie)
+        part = F.when(F.col("_ring_cell").isin(hot), F.pmod(tied, F.lit(HOT)).cast("int")).otherwise(0)
+        same = sorted(r[0] for r in df.filter(F.col("_ring_cell").isin(hot)).groupBy(tied.alias("_tied")).count().filter(F.col("count") > most).collect())  # fewer than HOT
+        if same:  # equal rows: any of them may come first, so that each is dealt by its place, which must stay as it is
+            df = cut(df.withColumn("_ring_part", F.pmod(F.monotonically_increasing_id(), F.lit(HOT)).cast("int")))
+            own = F.array_position(F.array(*map(F.lit, same)), tied).cast("int")
+            part = F.when(F.col("_ring_cell").isin(hot) & (own > 0), own * HOT + F.col("_ring_part")).otherwise(part)
     df = df.withColumn("_ring_part", part)
-    finer: dict[int, list[tuple[int, int, int]]] = {}  # part, rows before it, its rows; HOT * HOT in all at most
+    finer: dict[int, list[tuple[int, int, int]]] = {}  # part, rows before it, its rows; fewer than 2 * HOT * HOT in all
     for cell, p, n in sorted(df.filter(F.col("_ring_cell").isin(hot)).groupBy("_ring_cell", "_ring_part").count().collect()) if hot else []:
         own = finer.setdefault(cell, [])
         own.append((p, sum(own[-1][1:]) if own else 0, n))

@@ -188,3 +188,40 @@ def test_reply_trees_rank_branches(spark):
     df = spark.createDataFrame([(c, n, p, "user" if p is None else "assistant", f"t{n}", s, "extra") for c, n, p, s in nodes], "conv_id long, node long, parent long, role string, text string, score double, branch string")
     rows = chat.format_trees(df, branches=2).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
     assert {(r.conv_id, r.branch): [t.text for t in r.turns] for r in rows} == {(1, 1): ["t1", "t3", "t6"], (1, 2): ["t1", "t2", "t4"], (2, 1): ["t9"]}
+
+
+def test_blocks_keep_their_budget_where_rows_are_equal(spark, monkeypatch):
+    """A third of all rows are one row; another third is empty."""
+    monkeypatch.setattr(mixing, "COPIES", 100)
+    rng = random.Random(6)
+    texts = ["w x y z"] * 3000 + [""] * 3000 + [prose(rng, 10) for _ in range(3000)]
+    docs = documents(spark, texts, ids=[1 if i < 3000 else 2 if i < 6000 else i for i in range(9000)], source=lambda i: "one" if i < 6000 else f"s{i % 2}")
+    mixed, sources = mixing.mix(docs, block_tokens=1000)
+    rows = mixed.collect()
+    tokens, count = Counter(), Counter()
+    for r in rows:
+        tokens[r.block] += r.n_tokens
+        count[r.block] += 1
+    assert max(tokens.values()) <= 1000 + 10 * sources.count() and max(count.values()) < len(rows) / 10
+    seen = Counter((r.doc_id, r.epoch) for r in rows)
+    assert seen[1, 0] == seen[2, 0] == 3000 and len({r.doc_id for r in rows}) == 3002
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.block].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert Counter(r.doc_id for r in mixing.mix_rows(docs).collect()) == Counter(r.doc_id for r in rows)
+
+
+def test_shards_of_one_hot_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    monkeypatch.setattr(sharding, "HOT", 8)
+    docs = documents(spark, ["same"] * 300 + ["null"] * 200 + [f"text {i}" for i in range(300)], ids=[7] * 300 + [None] * 200 + [7 if i % 2 else i for i in range(300)])
+    written, cut = [], sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df: written.append(1) or cut(df))
+    rows = sharding.shard_documents(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert written and len(rows) == 800 and set(map(len, by.values())) == {50}
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
