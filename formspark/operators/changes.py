@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .lineage import cut
+from .lineage import stored
 from .relations import _key, existing_profiles, link_profiles
 
 
@@ -34,9 +34,9 @@ def apply_verifications(forms: DataFrame, changes: DataFrame, profiles: DataFram
     rest = forms.join(new.select("_id"), F.col("id") == F.col("_id"), "left_anti")
     if profiles is None:
         return done.unionByName(rest), last.filter(blank), None
-    done = cut(done)
+    done = stored(done)
     keyed = done if "aadhar_number" in done.columns else done.withColumn("aadhar_number", F.lit(None).cast("string"))
-    known = cut(upsert_profiles(profiles, keyed.select("student_name", "aadhar_number", F.col("verified_date").alias("at"))))
+    known = stored(upsert_profiles(profiles, keyed.select("student_name", "aadhar_number", F.col("verified_date").alias("at"))))
     return link_profiles(keyed, known).select(*forms.columns).unionByName(rest), last.filter(blank), known
 
 
@@ -132,7 +132,7 @@ def upsert_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
     touched = _key(profiles).join(k, same, "left").withColumn("updated_date", F.coalesce("at", "updated_date")).select(*profiles.columns)
     known = _key(profiles).select(F.col("student_name").alias("_n"), F.col("_aadhar").alias("_a"))
     fresh = new.join(known, same, "left_anti")
-    ranged = cut(fresh.repartitionByRange("student_name", "_aadhar").sortWithinPartitions("student_name", "_aadhar").withColumn("_m", F.monotonically_increasing_id()))
+    ranged = stored(fresh.repartitionByRange("student_name", "_aadhar").sortWithinPartitions("student_name", "_aadhar").withColumn("_m", F.monotonically_increasing_id()))
     dealt = ranged.withColumn("_b", F.shiftright("_m", 33))
     sizes = dealt.groupBy("_b").count()
     starts = sizes.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_start"))
