@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from formspark.llm import bpe, mixing, near, pii, toxicity
-from formspark.llm.common import cut, table
+from formspark.llm.common import stored, table
 from formspark.ship import ship
 
 #: No SQL: learning, MinHash and tokens are beyond it. tests/llm compares the stages with plain Python.
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

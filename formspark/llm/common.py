@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import cut, shared_dir
+from ..operators.lineage import cut, shared_dir, stored
 
 __all__ = ["cut", "free", "partitions", "shared_dir", "stored", "table"]
 
@@ -15,14 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut, for tables of many narrow rows: written as Parquet, a fraction of a checkpoint's size. The files stay in
-    the shared folder's part of this session."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

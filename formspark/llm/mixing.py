@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free
+from .common import free, stored
 
 #: High bits of the permutation hash: each source and pass is ordered in so many independent pieces.
 CELL_BITS = 12
@@ -93,8 +93,8 @@ def mix(docs: DataFrame, tokens: Column | None = None, max_repeats: float | None
     Empty tables give no rows.
     """
     own = docs.select("doc_id", "source", (words() if tokens is None else tokens).alias("n_tokens"), F.xxhash64("text").alias("print"))
-    rows = cut(own.groupBy(own.columns).agg(F.count("*").alias("copies")).withColumn("_sum", F.col("n_tokens") * F.col("copies")))
-    sources = cut(weigh(rows.groupBy("source").agg(F.sum("_sum").alias("n_tokens"), F.sum("copies").alias("n_rows")), max_repeats, min_entropy, budget))
+    rows = stored(own.groupBy(own.columns).agg(F.count("*").alias("copies")).withColumn("_sum", F.col("n_tokens") * F.col("copies")))
+    sources = stored(weigh(rows.groupBy("source").agg(F.sum("_sum").alias("n_tokens"), F.sum("copies").alias("n_rows")), max_repeats, min_entropy, budget))
     plan = sources.select(F.col("source").alias("_source"), F.col("n_tokens").alias("_all"), "weight", "passes", "rest")
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("epoch", F.explode(F.expr("CASE WHEN passes + CAST(rest > 0 AS INT) > 0 THEN sequence(0, CAST(passes AS INT) + CAST(rest > 0 AS INT) - 1) END")))
@@ -129,6 +129,6 @@ def mix_rows(docs: DataFrame, max_repeats: float | None = 2.0, seed: int = 42) -
     mixed, sources = mix(docs, max_repeats=max_repeats, seed=seed)
     last = mixed.groupBy("source").agg(F.max(F.struct("epoch", "place")).alias("last"))
     end = F.when((F.col("rest") > 0) & (F.col("last.epoch") == F.col("passes")), F.col("last.place"))
-    ends = cut(sources.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias(own), F.col("passes").cast("int").alias(count), end.alias(stop)))
+    ends = stored(sources.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias(own), F.col("passes").cast("int").alias(count), end.alias(stop)))
     n = F.col(count) + F.coalesce((permuted(seed, F.col(count), F.col("doc_id"), F.xxhash64("text")) <= F.col(stop)).cast("int"), F.lit(0))
     return docs.join(ends, F.col("source").eqNullSafe(F.col(own))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).drop(own, count, stop, copy)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut, free, partitions
+from .common import free, partitions, stored
 from .graph import components, join_groups
 
 _U = np.uint64
@@ -228,31 +228,31 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataF
     n_out = partitions(docs)
     t0, t1 = text_print("text")
     own = docs.select("doc_id", t0.alias("t0"), t1.alias("t1"), "text")
-    marked = cut(own.mapInArrow(_sketches(n, bands, rows), "doc_id long, t0 long, t1 long, bands array<long>, sketch binary"))
+    marked = stored(own.mapInArrow(_sketches(n, bands, rows), "doc_id long, t0 long, t1 long, bands array<long>, sketch binary"))
     texts = marked.groupBy("t0", "t1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()))
     keyed = texts.select("node", F.explode("bands").alias("band"))
     full = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = tiles(join_groups(keyed, full, "band", "size", bands * texts.count()), "size", BUCKET_TILE).select("node", "band", "lo", "hi")
     sketched = members.join(texts.select("node", "sketch"), "node")
     slack = 5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
     edges = sketched.repartition(n_out, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_bucket_edges(similarity - slack), "a long, b long")
-    near = cut(components(edges))
+    near = stored(components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     clusters = tiles(join_groups(near, sizes, "root", "size", near.count()).select("node", F.col("root").alias("cluster"), "size"), "size", CLUSTER_TILE).select("node", "cluster", "size", "chunk", "lo", "hi")
     # a text is read from a row with its least id
     of = ["t0", "t1", "id"]
-    clusters = cut(clusters.join(texts.select("node", "t0", "t1", F.coalesce("least", F.lit(0)).alias("id")), "node"))
+    clusters = stored(clusters.join(texts.select("node", "t0", "t1", F.coalesce("least", F.lit(0)).alias("id")), "node"))
     read = own.select("t0", "t1", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").mapInArrow(_once, "t0 long, t1 long, id long, text string")
     read = read.join(clusters.select(of).distinct(), of, "left_semi").dropDuplicates(of)
     tiled = read.join(clusters, of).select("node", "cluster", "chunk", "lo", "hi", "text").repartition(n_out, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    linked = cut(tiled.mapInArrow(_cluster_links(n, similarity), "node long, root long, links long"))
+    linked = stored(tiled.mapInArrow(_cluster_links(n, similarity), "node long, root long, links long"))
     links = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(texts.select("node", "least"), "node"))
+    roots = stored(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(texts.select("node", "least"), "node"))
     names = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
     named = join_groups(roots.select("node", "root"), names, "root", "size", roots.count()).select("node", "class_id")
     known = texts.select("t0", "t1", "node", "least", "n_copies").join(links, "node", "left").join(named, "node", "left")
-    known = cut(known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id")))
+    known = stored(known.select("t0", "t1", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id")))
     rows = known.agg(F.sum("n_copies")).first()[0] or 0
     return join_groups(marked.select("doc_id", "t0", "t1"), known, ["t0", "t1"], "n_copies", rows)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut
+from .common import stored
 from .near import text_print
 
 BITS = 20
@@ -151,7 +151,7 @@ def sampled_texts(docs: DataFrame, wanted: DataFrame, sizes: tuple[int, ...]) ->
     one of each id before any id's second."""
     keys = ["part", "doc_id", "t0", "t1"]
     t0, t1 = text_print("text")
-    own = cut(docs.select("doc_id", t0.alias("t0"), t1.alias("t1")).join(F.broadcast(wanted), "doc_id").select(keys).distinct())
+    own = stored(docs.select("doc_id", t0.alias("t0"), t1.alias("t1")).join(F.broadcast(wanted), "doc_id").select(keys).distinct())
     first = own.groupBy("part", "doc_id").agg(F.min(F.struct("t0", "t1")).alias("first"))
     own = own.join(F.broadcast(first), ["part", "doc_id"]).select(*keys, (F.struct("t0", "t1") != F.col("first")).alias("further"))
     out = [own.filter(F.col("part") == k).orderBy("further", F.xxhash64("doc_id", "t0", "t1"), "doc_id", "t0", "t1").limit(n).select(keys) for k, n in enumerate(sizes)]
@@ -223,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
     t0, t1 = text_print("text")
     whole = docs.select("doc_id", t0.alias("t0"), t1.alias("t1"), "text").join(F.broadcast(wanted), ["doc_id", "t0", "t1"]).select(*keys, "text")
     whole = whole.mapInArrow(run, "doc_id long, part int, t0 long, t1 long, f binary")
-    whole = cut(whole.groupBy(keys).agg(F.any_value("f").alias("f")).select("doc_id", "part", "f"))
+    whole = stored(whole.groupBy(keys).agg(F.any_value("f").alias("f")).select("doc_id", "part", "f"))
     # few tasks, since each sends counts for every feature
     df, texts = np.zeros((2, folds, DIMS), np.int64), np.zeros((2, folds), int)
     for r in whole.filter("part <> 1").coalesce(COUNTERS).mapInArrow(count, "part int, fold int, n long, df binary").collect():
