@@ -9,8 +9,6 @@ from .common import stored
 
 #: Groups that are broadcast at most, whatever the size of the table.
 HUBS = 10_000
-#: Tables of so few rows are joined plainly: one task can take any group of theirs.
-FEW = 50_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
@@ -19,8 +17,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
     groups: one row a key; its column size: at least the rows of the key in rows; total: at least the sum of size.
     Groups of more than total / HUBS rows, which can't be more than HUBS, are broadcast; the rest are joined by key.
     """
-    if total <= FEW:
-        return rows.join(groups, key)
     large = F.col(size) > total // HUBS
     hubs = groups.filter(large)
     met = rows.join(F.broadcast(hubs), key)
