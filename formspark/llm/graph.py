@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut
 
 #: Groups that are broadcast at most, whatever the size of the table.
 HUBS = 10_000
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     ones. The edges never grow in number, and the rounds grow with the logarithm of the size of a component. Loops and
     repeated edges don't matter. The edges of a node of very many are not brought together.
     """
-    own = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    own = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
     while True:
         now = tuple(own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -43,5 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_groups(both.filter("b > a"), least, "a", "n", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = join_groups(large, least, "a", "n", now[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        own = stored(small)
+        own = cut(small)
     return own.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(own.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
