@@ -181,6 +181,24 @@ _TRIMMED = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"  # noqa: E73
 _DROPDOWNS_SQL = " UNION ALL ".join(f"SELECT doc_id, i AS line, unnest(list_zip(regexp_extract_all(l[i], '{p}', 1), regexp_extract_all(l[i], '{p}', 2))) AS m FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ({_MARKS_SQL}) a) b{k}" for k, p in enumerate(elements.DROPDOWN))
 query("dropdowns", f"SELECT doc_id, {_TRIMMED('m[1]')} AS label, {_TRIMMED('m[2]')} AS value, line::int AS line FROM ({_DROPDOWNS_SQL}) c WHERE regexp_matches(lower(m[1]), '{'|'.join(elements.KEYWORDS)}')", "conversations")(lambda c: elements.detect_dropdowns(_marks(c)).select("doc_id", "label", "value", "line"))
 
+
+def _elements_sql() -> str:
+    """Every element with its line and place: a match begins after the gaps and matches before it."""
+    parts = []
+    for kind, patterns, on in (("checkbox", elements.CHECKBOXES, elements.CHECKED), ("radio", elements.RADIOS, elements.SELECTED), ("dropdown", elements.DROPDOWN, ())):
+        for p in patterns:
+            below = f"coalesce(nullif({_TRIMMED('l[i + 1]')}, ''), nullif({_TRIMMED('l[i + 2]')}, ''))"
+            text = f"nullif({_TRIMMED('l[i][place + length(m[k]) + 1:]')}, '')"
+            label, value, checked = (_TRIMMED("a[k]"), _TRIMMED("b[k]"), "NULL::boolean") if kind == "dropdown" else (f"coalesce({text}, {below})", "NULL::varchar", "lower(a[k]) IN (" + ", ".join(f"'{c}'" for c in sorted(on)) + ")")
+            second = f"regexp_extract_all(l[i], '{p}', {2 if kind == 'dropdown' else 0})"
+            found = f"SELECT doc_id, l, i, regexp_extract_all(l[i], '{p}', 0) AS m, regexp_extract_all(l[i], '{p}', 1) AS a, {second} AS b, string_split_regex(l[i], '{p}') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM ({_MARKS_SQL}) x) y"
+            placed = f"SELECT *, (length(array_to_string(g[1:k], '')) + length(array_to_string(m[1:k - 1], '')))::int AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM ({found}) z) w"
+            parts.append(f"SELECT doc_id, '{kind}' AS type, {checked} AS checked, {label} AS label, {value} AS value, i::int AS line, place AS position FROM ({placed}) v")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) e WHERE CASE WHEN type = 'dropdown' THEN regexp_matches(lower(label), '{'|'.join(elements.KEYWORDS)}') ELSE label IS NOT NULL END"
+
+
+query("element_rows", _elements_sql(), "conversations")(lambda c: elements.detect_elements(_marks(c)))
+
 # Scalars
 query("confidence", f"SELECT form_id, attempt_ord, CASE WHEN c <= 1 THEN c * 100 ELSE c END AS normal, CASE WHEN c IS NULL THEN 'neutral' WHEN CASE WHEN c <= 1 THEN c * 100 ELSE c END >= 90 THEN 'high' WHEN CASE WHEN c <= 1 THEN c * 100 ELSE c END >= 75 THEN 'medium' ELSE 'low' END AS band, CASE WHEN c IS NULL THEN 'n/a' ELSE cast(cast(round(cast(CASE WHEN c <= 1 THEN c * 100 ELSE c END AS decimal(20,10)), 1) AS decimal(18,1)) AS string) || '%' END AS text FROM (SELECT *, CASE WHEN attempt_ord % 2 = 0 THEN confidence / 100 ELSE confidence END AS c FROM attempts)", "attempts")(lambda a: a.withColumn("c", F.when(F.col("attempt_ord") % 2 == 0, F.col("confidence") / 100).otherwise(F.col("confidence"))).select("form_id", "attempt_ord", scalars.normalize_confidence(F.col("c")).alias("normal"), scalars.confidence_band(F.col("c")).alias("band"), scalars.format_confidence(F.col("c")).alias("text")))
 query("labels", "SELECT id, CASE ocr_provider WHEN 'tesseract' THEN 'Tesseract (Local)' WHEN 'google' THEN 'Google Vision' WHEN 'azure-vision' THEN 'Azure Vision' ELSE 'MyOCR Own Ocr' END AS provider, CASE status WHEN 'verified' THEN 'Verified' WHEN 'extracted' THEN 'Pending Verification' ELSE 'Uploaded' END AS status FROM forms", "forms")(lambda f: f.select("id", scalars.provider_label(F.col("ocr_provider")).alias("provider"), scalars.status_label(F.col("status")).alias("status")))
