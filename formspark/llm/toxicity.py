@@ -8,7 +8,7 @@ estimate falls below zero, the step is taken against it, which keeps the classif
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut
+from .common import cut, stored
 from .near import text_print
 
 BITS = 20
 DIMS = 1 << BITS
-#: Bounds of the samples that reach the driver: confirmed toxic, labelled harmless (for calibration), unlabelled texts.
-MAX_TOXIC, MAX_HARMLESS, MAX_UNLABELLED = 4000, 6000, 8000
+#: Bounds of the labelled samples that reach the driver: confirmed toxic, labelled harmless (for calibration).
+MAX_TOXIC, MAX_HARMLESS = 4000, 6000
+#: None: every unlabelled row counts, in sums that Spark makes. A number: a sample of so many texts is learned from instead.
+MAX_UNLABELLED: int | None = None
+#: Steps over all unlabelled rows, and their rate; more partial sums than ADDED are added up in tasks first.
+STEPS, RATE, ADDED = 100, 0.2, 64
 #: How many standard errors a feature must stand out by; the left-out folds tell which serves best.
 LIFTS = (4.0, 6.0, 10.0)
 #: Tasks that count the samples' features.
@@ -129,6 +133,110 @@ def fit_nnpu(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return out, float(b)
 
 
+def unlabelled_counts(docs: DataFrame, toxic: np.ndarray, fold: Callable[[int], int], folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rows of docs, by fold: how many have each feature of the mask toxic, and how many rows there are.
+
+    Each task counts for itself; its sums are shuffled by feature, so that the driver gets folds * features of them at most.
+    """
+    at, d = np.flatnonzero(toxic), int(toxic.sum())
+    place = docs.sparkSession.sparkContext.broadcast(np.where(toxic, np.cumsum(toxic) - 1, -1).astype("<i4"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(folds * (d + 1), np.int64)  # a fold's last place counts its rows
+        for batch in ta.chunks(batches, limit=1 << 18):
+            own = np.array([fold(i) for i in batch.column(0).to_pylist()], np.int64) * (d + 1)
+            doc, f = features(batch.column(1))
+            f = place.value[f]
+            df += np.bincount(np.concatenate((own[doc[f >= 0]] + f[f >= 0], own + d)), minlength=len(df))
+        k = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(df[k], pa.int64())], ["k", "n"])
+
+    sums = docs.select("doc_id", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(folds * (d + 1), np.int64)
+    df[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    df, out = df.reshape(folds, d + 1), np.zeros((folds, len(toxic)), np.int64)
+    out[:, at] = df[:, :d]
+    return out, df[:, d]
+
+
+def unlabelled_sets(docs: DataFrame, known: np.ndarray, fold: Callable[[int], int]) -> DataFrame:
+    """fold, f (the places, among those of the mask known, of a row's features, as 32-bit integers) and n, the rows that
+    have these and no others: equal rows are one before they are shuffled."""
+    place = docs.sparkSession.sparkContext.broadcast(np.where(known, np.cumsum(known) - 1, -1).astype("<i4"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ta.chunks(batches, limit=1 << 18):
+            doc, f = features(batch.column(1))
+            f = place.value[f]
+            doc, f = doc[f >= 0], f[f >= 0]
+            data = f.tobytes()
+            ends = 4 * np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sets = pa.array([data[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([fold(i) for i in batch.column(0).to_pylist()], pa.int32()), sets], ["fold", "f"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "fold int, f binary").groupBy("fold", "f").agg(F.count("*").alias("n"))
+
+
+def unlabelled_sums(sets: DataFrame, w: np.ndarray, b: np.ndarray, left_out: list[int], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each model (a row of w, b): the sum of the negative loss over the rows of the folds it doesn't leave out, and that
+    of its gradient by the weights and the bias."""
+    models, d = w.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((models, d + 2))
+        for batch in batches:
+            own, f, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            ends = np.frombuffer(f.buffers()[1], "<i4")[f.offset : f.offset + len(f) + 1].astype(np.int64)
+            at = np.frombuffer(f.buffers()[2][ends[0] : ends[-1]], "<i4") if ends[-1] > ends[0] else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(f)), np.diff(ends) // 4)
+            for j in range(models):
+                z, weight = np.bincount(row, w[j][at], minlength=len(f)) + b[j], n * (own != left_out[j])
+                g = weight * sigmoid(z)
+                out[j] += np.concatenate((np.bincount(at, g[row], minlength=d), [g.sum(), (weight * np.logaddexp(0, z)).sum()]))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(s, np.float64) for batch in batches for s in batch.column(0).to_pylist()]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(own, axis=0).tobytes()], pa.binary())], ["s"])
+
+    sums = sets.mapInArrow(run, "s binary")
+    if parts > ADDED:
+        sums = sums.repartition(ADDED).mapInArrow(add, "s binary")
+    out = np.sum([np.frombuffer(r.s, np.float64) for r in sums.collect()], axis=0).reshape(models, d + 2)
+    return out[:, -1], out[:, :-1]
+
+
+def fit_nnpu_spread(toxic: list[list[np.ndarray]], sets: DataFrame, unlabelled: list[int], prior: float, masks: list[tuple[int, np.ndarray]], steps: int = STEPS, rate: float = RATE, shrink: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """fit_nnpu's classifiers, one for each (fold left out, mask of features) of masks, from all unlabelled rows: each step
+    sums the risk and its gradient over sets (unlabelled_sets) in Spark, for all classifiers at once.
+
+    toxic: for each fold left out, the toxic texts' places of features. unlabelled: likewise, how many rows there are.
+    """
+    d = len(masks[0][1])
+    left_out, mask = [k for k, _ in masks], np.array([np.append(own, True) for _, own in masks])
+    x = [Sparse.of(rows) for rows in toxic]
+    w, m, v = (np.zeros((len(masks), d + 1)) for _ in range(3))
+    w[:, -1] = np.log(prior / (1 - prior))
+    parts = sets.rdd.getNumPartitions()
+    for t in range(1, steps + 1):
+        loss, sums = unlabelled_sums(sets, w[:, :-1], w[:, -1], left_out, parts)
+        g = np.zeros_like(w)
+        for j, k in enumerate(left_out):
+            n, own = max(unlabelled[k], 1), x[k]
+            zp = own.times(w[j, :-1]) + w[j, -1]
+            gn_p, gu = -prior * sigmoid(zp) / max(own.n, 1), sums[j] / n
+            if loss[j] / n < prior * np.logaddexp(0, zp).mean():
+                gp, gu = -gn_p, -gu
+            else:
+                gp = gn_p - prior * sigmoid(-zp) / max(own.n, 1)
+            g[j] = np.append(own.back(gp, d), gp.sum()) + gu + shrink * np.append(w[j, :-1], 0)
+        g *= mask
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return [(row[:-1], float(row[-1])) for row in w]
+
+
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """a > 0 and b of sigmoid(a z + b), by Newton steps on the weighted log loss with a small ridge."""
     scale = max(float(np.std(z)), 1e-9)
@@ -177,19 +285,21 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
     the one with the least loss on the left-out folds.
 
     docs: doc_id, text. labels: doc_id, toxic; ids with conflicting labels count as toxic. Held-out ids give neither
-    labels nor texts. Without toxic labels every text scores 0.
+    labels nor texts. Without toxic labels every text scores 0. All other rows count as unlabelled, repeated ones each, in
+    sums made in Spark (MAX_UNLABELLED None); of the labelled, bounded samples are learned from, each text of an id once.
     """
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = {int(r[0]): r[1] for r in own.groupBy("toxic").count().collect()}
     if not known.get(1):
         return Model(np.zeros(DIMS, np.float32), -60.0)
     prior = min(max(known[1] / sum(known.values()), 1e-4), 0.9)
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).distinct()
+    others = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
+    sizes = (MAX_TOXIC, MAX_HARMLESS) + (() if MAX_UNLABELLED is None else (MAX_UNLABELLED,))
     wanted = sampled(own.filter("toxic = 1").select("doc_id"), MAX_TOXIC).select("doc_id", F.lit(0).alias("part"))
     wanted = wanted.unionByName(sampled(own.filter("toxic = 0").select("doc_id"), MAX_HARMLESS).select("doc_id", F.lit(1).alias("part")))
-    wanted = wanted.unionByName(sampled(ids, MAX_UNLABELLED).select("doc_id", F.lit(2).alias("part")))
-
-    wanted = sampled_texts(docs, wanted, (MAX_TOXIC, MAX_HARMLESS, MAX_UNLABELLED))
+    if MAX_UNLABELLED is not None:
+        wanted = wanted.unionByName(sampled(others.select("doc_id").distinct(), MAX_UNLABELLED).select("doc_id", F.lit(2).alias("part")))
+    wanted = sampled_texts(docs, wanted, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # of the bounded sample
@@ -231,11 +341,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
         texts[r.part // 2, r.fold] += r.n
     if not texts[0].sum():
         return Model(np.zeros(DIMS, np.float32), -60.0)
-    # other features get no weight in any fold, so that only these are sent
-    known = np.zeros(DIMS, bool)
-    for k in range(folds):
+    if MAX_UNLABELLED is None:
+        df[1], texts[1] = unlabelled_counts(others, df[0].sum(axis=0) >= min(2, texts[0].sum()), fold, folds)
+
+    def stands_out(k: int, least: float) -> np.ndarray:
         rest = [np.arange(folds) != k if p or texts[0].sum() > texts[0, k] else np.full(folds, True) for p in range(2)]
-        known |= standing_out([df[p][rest[p]].sum(axis=0) for p in range(2)], [int(texts[p][rest[p]].sum()) for p in range(2)])
+        return standing_out([df[p][rest[p]].sum(axis=0) for p in range(2)], [int(texts[p][rest[p]].sum()) for p in range(2)], least)
+
+    # other features get no weight in any fold, so that only these are sent
+    known = np.logical_or.reduce([stands_out(k, LIFTS[0]) for k in range(folds)])
+    masks = [(k, stands_out(k, least)[known]) for least in LIFTS for k in range(folds)]
     del df
     shipped = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -247,12 +362,19 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3) -> Model:
     found = whole.mapInArrow(keep, "doc_id long, part int, f binary").collect()
     found.sort(key=lambda r: (r.part, r.doc_id, r.f))
     parts = [[(int(r.doc_id), np.frombuffer(r.f, "<i4").astype(np.int64)) for r in found if r.part == k] for k in range(3)]
+    toxic = [[f for i, f in parts[0] if fold(i) != k] or [f for _, f in parts[0]] for k in range(folds)]
+    if MAX_UNLABELLED is None:
+        place = np.cumsum(known) - 1
+        found = fit_nnpu_spread([[place[f] for f in rows] for rows in toxic], stored(unlabelled_sets(others, known, fold)), [int(texts[1].sum() - texts[1, k]) for k in range(folds)], prior, masks)
     tried = []
-    for least in LIFTS:
+    for nth, least in enumerate(LIFTS):
         fits, z, y = [], [], []
         for k in range(folds):
-            toxic = [f for i, f in parts[0] if fold(i) != k] or [f for _, f in parts[0]]
-            w, b = fit_nnpu(toxic, [f for i, f in parts[2] if fold(i) != k], prior, least=least)
+            if MAX_UNLABELLED is None:
+                w = np.zeros(DIMS)
+                w[known], b = found[nth * folds + k]
+            else:
+                w, b = fit_nnpu(toxic[k], [f for i, f in parts[2] if fold(i) != k], prior, least=least)
             fits.append((w, b))
             for part, value in ((0, 1), (1, 0)):
                 for i, f in parts[part]:
