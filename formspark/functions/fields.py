@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,11 +118,11 @@ def is_valid(v: Column, check: str) -> Column:
     return (n >= 2) & own
 
 
-def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec, ...] = SPECS, mode: str = "collapsed", form_type: Column | None = None) -> DataFrame:
+def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec, ...] = SPECS, mode: str = "collapsed", form_type: Column | None = None, only: dict[str, Column] | None = None) -> DataFrame:
     """Adds one column for each spec: the first pattern's value that is valid once cleaned, else NULL.
 
     mode: "collapsed" matches on the text with all white space made single spaces, "lines" on the text as it is.
-    form_type: a boolean column; rows where it isn't true get NULL. Each pattern runs only on texts with its label, and from
+    form_type: a boolean column; rows where it isn't true get NULL; only: likewise for single fields. Each pattern runs only on texts with its label, and from
     the first of them on.
     """
     whole = collapse(F.col(text)) if mode == "collapsed" else F.coalesce(F.col(text), F.lit(""))
@@ -140,12 +140,36 @@ def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec
             own = F.col("_text") if at is None else F.when(F.col("_even"), F.substring("_text", at, F.lit(1 << 30))).otherwise(F.col("_text"))
             on = at.isNotNull() if at is not None else F.col("_low").contains("@") if "@" in p else F.col("_low").rlike(r"\d") if r"\d" in p else F.lit(True)
             found = clean(F.regexp_extract(own, "(?im)" + p, 1), s.clean)
-            cleaned[f"_{s.name}_{k}"] = F.when(on & form_type if form_type is not None else on, found)
+            for wanted in (form_type, (only or {}).get(s.name)):
+                on = on if wanted is None else on & wanted
+            cleaned[f"_{s.name}_{k}"] = F.when(on, found)
     df = df.withColumns(cleaned)
     out = {s.name: F.coalesce(*[F.when(is_valid(F.col(f"_{s.name}_{k}"), s.check), F.col(f"_{s.name}_{k}")) for k in range(len(s.patterns))]) for s in specs}
     return df.withColumns(out).drop("_text", "_low", "_even", *first.values(), *cleaned)
 
 
+def extract_by_type(df: DataFrame, form_type: str, profiles: dict[str, tuple[FieldSpec, ...]], text: str = "raw_text", mode: str = "collapsed", default: str | None = None) -> DataFrame:
+    """Adds the fields of all profiles; a row gets those of the profile that the column form_type names, the others are NULL.
+
+    A row of another type, or none, gets the default profile's, or NULL. Profiles may hold one field by different patterns;
+    a spec that several share is matched once, labels are located once for all, and a row runs its own profile's patterns
+    only. In a profile that names a field twice the first valid value counts.
+    """
+    if default is not None and default not in profiles:
+        raise ValueError(f"no profile {default}")
+    kind = F.when(F.col(form_type).isin(*profiles), F.col(form_type)).otherwise(F.lit(default))
+    users: dict[FieldSpec, list[str]] = {}
+    for name, specs in profiles.items():
+        for s in specs:
+            users.setdefault(s, []).append(name)
+    own = tuple(replace(s, name=f"_own_{i}") for i, s in enumerate(users))
+    out = extract_fields(df, text, own, mode, only={o.name: kind.isin(*types) for o, types in zip(own, users.values())})
+    fields: dict[str, list[Column]] = {}
+    for o, s in zip(own, users):
+        fields.setdefault(s.name, []).append(F.col(o.name))
+    return out.withColumns({name: F.coalesce(*found) for name, found in fields.items()}).drop(*[o.name for o in own])
+
+
 def validation_report(forms: DataFrame, key: str = "id", specs: tuple[FieldSpec, ...] = SPECS) -> DataFrame:
     """key, field and value of every filled field that fails its check as it stands."""
     own = [s for s in specs if s.name in forms.columns]

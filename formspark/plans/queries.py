@@ -141,6 +141,14 @@ for _group, _names in schemas.GROUPS.items():
     query(f"extract_{_group}", extraction_sql("rendered", _specs), "rendered")(lambda r, s=_specs: fields.extract_fields(r, specs=s).select("id", *[x.name for x in s]))
 _bare = tuple(s for s in fields.SPECS if s.name in ("email", "pincode", "date_of_birth"))
 query("extract_free_text", extraction_sql("(SELECT doc_id AS id, text AS raw_text FROM documents)", _bare), "documents")(lambda d: fields.extract_fields(d.select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text")), specs=_bare).select("id", *[s.name for s in _bare]))
+_pick = lambda *names: tuple(s for s in fields.SPECS if s.name in names)
+_PROFILES = {
+    "admission": _pick("student_name", "course_applied", "enrollment_number"),
+    "contact": (*_pick("phone_number", "email"), fields.FieldSpec("student_name", "upper", "name", (r"(?:student\s+name)[:\s]+([a-z]+)",))),
+}
+_TYPED = ("student_name", "course_applied", "enrollment_number", "phone_number", "email")
+_TYPED_SQL = " UNION ALL ".join("SELECT id, " + ", ".join(n if n in {s.name for s in specs} else f"NULL::varchar AS {n}" for n in _TYPED) + f" FROM ({extraction_sql(f'(SELECT * FROM rendered WHERE id % 3 = {k})', specs) if specs else 'SELECT id FROM rendered WHERE id % 3 = 2'}) t{k}" for k, specs in enumerate((*_PROFILES.values(), ())))
+query("extract_by_form_type", _TYPED_SQL, "rendered")(lambda r: fields.extract_by_type(r.withColumn("form_type", F.element_at(F.array(*map(F.lit, (*_PROFILES, "other"))), (F.col("id") % 3 + 1).cast("int"))), "form_type", _PROFILES).select("id", *_TYPED))
 query("validation_report", "SELECT id, 'aadhar_number' AS field, substr(aadhar_number, 1, 11) AS value FROM forms WHERE aadhar_number IS NOT NULL AND id % 2 = 0", "forms")(lambda f: fields.validation_report(f.withColumn("aadhar_number", F.when(F.col("id") % 2 == 0, F.substring("aadhar_number", 1, 11)).otherwise(F.col("aadhar_number")))))
 _ALL_SQL = "SELECT id, e.field AS field, e.value AS value FROM (SELECT id, unnest([" + ", ".join(f"{{'field': '{n}', 'value': {n}}}" for n in schemas.FIELDS) + f"]) AS e FROM ({extraction_sql('rendered', fields.SPECS)}) x) y WHERE e.value IS NOT NULL"
 query("extract_all_map", _ALL_SQL, "rendered")(lambda r: fields.extract_fields(r).select("id", F.explode(fields.to_structured(list(schemas.FIELDS))).alias("field", "value")))

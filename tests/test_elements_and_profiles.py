@@ -1,6 +1,8 @@
 import random
 
-from formspark.functions import elements
+import pytest
+
+from formspark.functions import elements, fields
 
 KINDS = ("checkbox", "radio", "dropdown")
 
@@ -15,3 +17,18 @@ def test_native_elements_equal_the_python_form(spark):
         assert sorted(map(tuple, elements.marked(df, kinds, context).collect()), key=repr) == want
     assert elements.detect_elements(df.limit(0)).collect() == []
     assert "Python" not in elements.detect_elements(df)._jdf.queryExecution().toString()
+
+
+def test_a_form_type_chooses_the_profile(spark):
+    text = "Student Name: Ann Lee DOB: 01/02/2003 Email: a@b.org City: Pune"
+    email, city = (next(s for s in fields.SPECS if s.name == n) for n in ("email", "city"))
+    other = fields.FieldSpec("email", "lower", "any", (r"(?:email)[:\s]+([a-z]{2,})@",))
+    rows = [(1, "x", text), (2, "y", text), (3, "z", text), (4, None, text), (5, "x", None)]
+    df = spark.createDataFrame(rows, "id long, kind string, raw_text string")
+    profiles = {"x": (email, city), "y": (other,), "w": ()}
+    got = {r.id: (r.email, r.city) for r in fields.extract_by_type(df, "kind", profiles).collect()}
+    assert got == {1: ("a@b.org", "Pune"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
+    got = {r.id: r.email for r in fields.extract_by_type(df, "kind", {"x": (email,), "y": (fields.FieldSpec("email", "upper", "any", email.patterns),)}, default="y").collect()}
+    assert got == {1: "a@b.org", 2: "A@B.ORG", 3: "A@B.ORG", 4: "A@B.ORG", 5: None}
+    with pytest.raises(ValueError):
+        fields.extract_by_type(df, "kind", profiles, default="v")
