@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import elements, fields, scalars
-from ..operators import attempts, changes, evaluate, layout, relations, search
+from ..operators import attempts, changes, evaluate, layout, lineage, ranked, relations, search
 from ..sources import sinks, tables
 from .fixtures import duck, view
 
@@ -50,6 +51,9 @@ query("fields_long", " UNION ALL ".join(f"SELECT id, '{c}' AS field, {c} AS valu
 query("list_forms", "SELECT id, upload_date FROM forms ORDER BY upload_date DESC, id DESC LIMIT 50 OFFSET 100", "forms")(lambda f: search.list_forms(f, 100, 50).select("id", "upload_date"))
 query("search_page", "SELECT id FROM forms WHERE status = 'verified' ORDER BY upload_date DESC, id DESC LIMIT 20 OFFSET 40", "forms")(lambda f: search.page_of(search.search_forms(f, status="verified"), "upload_date", 40, 20).select("id"))
 query("next_page", "SELECT id FROM forms WHERE upload_date < timestamp '1996-01-01 00:00:00' ORDER BY upload_date DESC, id DESC LIMIT 20", "forms")(lambda f: search.after(f, "upload_date", __import__("datetime").datetime(1996, 1, 1), 0, 20).select("id"))
+_ranked = lambda f: ranked.write_ranked(f, f"{lineage.shared_dir(f.sparkSession)}/{uuid.uuid4()}", rows=4096)
+query("page_by_number", "SELECT id, upload_date, student_name FROM forms WHERE status = 'extracted' ORDER BY upload_date DESC, id DESC LIMIT 100 OFFSET 2500", "forms")(lambda f: ranked.page_at(f.sparkSession, _ranked(f), 2500, 100, status="extracted").select("id", "upload_date", "student_name"))
+query("found_page_by_number", "SELECT id, upload_date FROM forms WHERE course_applied ILIKE '%house%' ORDER BY upload_date DESC, id DESC LIMIT 50 OFFSET 1200", "forms")(lambda f: ranked.page_at(f.sparkSession, _ranked(f), 1200, 50, search.contains(F.col("course_applied"), "house")).select("id", "upload_date"))
 query("list_profiles", "SELECT id, updated_date FROM profiles ORDER BY updated_date DESC NULLS LAST, id DESC LIMIT 30", "profiles")(lambda p: search.page_of(p, "updated_date", 0, 30).select("id", "updated_date"))
 query("list_documents", "SELECT id, upload_date FROM docs ORDER BY upload_date DESC, id DESC LIMIT 30", "docs")(lambda d: search.page_of(d, "upload_date", 0, 30).select("id", "upload_date"))
 query("recent_forms", "SELECT id FROM forms ORDER BY upload_date DESC, id DESC LIMIT 10", "forms")(lambda f: search.list_forms(f, 0, 10).select("id"))
