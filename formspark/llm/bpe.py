@@ -220,10 +220,11 @@ def codec(rank_file: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec
     return Codec(rank_file, pattern, remembered)
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bool = False, remembered: int = REMEMBERED, piece: int = 4 << 20) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each text, with the ids themselves on request.
 
-    rank_path: a rank file of a few MB at most, read by the driver and broadcast. Null and empty texts have no tokens.
+    rank_path: a rank file of a few MB at most, read by the driver and broadcast. piece: texts of about so many bytes are
+    encoded at once. Null and empty texts have no tokens.
     Repeated rows are rows of the result each; equal texts of a batch are encoded once. All other columns of docs than
     doc_id and text are left out; no rows give no rows.
     """
@@ -232,7 +233,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shipped.value, pattern, remembered)
-        for batch in ta.chunks(batches, limit=4 << 20):
+        for batch in ta.chunks(batches, limit=piece):
             texts = [x.as_py() or "" for x in batch.column(1)]
             done = dict.fromkeys(texts)  # of the equal texts of a batch, one is encoded
             for text, ids in zip(done, c.encode(list(done))):
@@ -242,4 +243,4 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
             cols, names = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(coded, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(ta.frees(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)

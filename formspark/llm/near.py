@@ -25,6 +25,8 @@ _U = np.uint64
 #: MinHash values whose low byte goes into the sketch.
 SKETCH = 128
 BUCKET_TILE, CLUSTER_TILE = 2048, 512
+#: Texts are cut into n-grams in pieces of about so many bytes; pairs are counted in tables of about so many cells.
+PIECE, CELLS = 1 << 18, 1 << 20
 
 
 def banding(similarity: float, recall: float, most: int = 400) -> tuple[int, int]:
@@ -71,11 +73,21 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], d[keep]
 
 
+def shingles_by_piece(rows: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles of the column text, worked out piece by piece; at least one row."""
+    found, before = [], 0
+    for piece in ta.chunks(rows.select(["text"]).to_batches(), limit=PIECE):
+        g, d = shingles(piece.column(0), n)
+        found.append((g, d + before))
+        before += piece.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _sketches(n: int, bands: int, rows: int) -> Callable:
     factor = np.random.default_rng(7).integers(1, 2**63, max(bands * rows, SKETCH), dtype=np.int64).astype(_U) * _U(2) + _U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.chunks(batches, limit=1 << 20):
+        for batch in ta.chunks(batches, limit=PIECE):
             g, d = shingles(batch.column(3), n)
             with_any, at = np.unique(d, return_index=True)
             least = np.empty((len(factor), len(with_any)), _U)
@@ -173,7 +185,7 @@ def overlaps(g: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     shared = count > 1
     ids, d = (np.cumsum(shared) - 1)[ids[shared[ids]]], d[shared[ids]]
     total = np.zeros((n, n), np.float32)
-    width = max(64, (1 << 22) // max(n, 1))
+    width = min(max(64, CELLS // max(n, 1)), max(int(shared.sum()), 1))
     order = np.argsort(ids, kind="stable")
     ids, d = ids[order], d[order]
     for lo in range(0, int(shared.sum()), width):
@@ -192,7 +204,7 @@ def _cluster_links(n: int, similarity: float) -> Callable:
         for t in groups(batches, ["cluster", "lo", "hi"]):
             node, at = np.unique(np.asarray(t.column("node")), return_index=True)
             rows = t.take(pa.array(at)).combine_chunks()
-            g, d = shingles(rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text"), n)
+            g, d = shingles_by_piece(rows, n)
             size = np.bincount(d, minlength=len(node))
             both = overlaps(g, d, len(node))
             # both / (a + b - both) >= similarity, in whole numbers
@@ -228,7 +240,7 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataF
     n_out = partitions(docs)
     t0, t1 = text_print("text")
     own = docs.select("doc_id", t0.alias("t0"), t1.alias("t1"), "text")
-    marked = cut(own.mapInArrow(_sketches(n, bands, rows), "doc_id long, t0 long, t1 long, bands array<long>, sketch binary"))
+    marked = cut(own.mapInArrow(ta.frees(_sketches(n, bands, rows)), "doc_id long, t0 long, t1 long, bands array<long>, sketch binary"))
     texts = marked.groupBy("t0", "t1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     keyed = texts.select("node", F.explode("bands").alias("band"))
@@ -236,17 +248,17 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> DataF
     members = tiles(join_groups(keyed, full, "band", "size", bands * texts.count()), "size", BUCKET_TILE).select("node", "band", "lo", "hi")
     sketched = members.join(texts.select("node", "sketch"), "node")
     slack = 5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    edges = sketched.repartition(n_out, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_bucket_edges(similarity - slack), "a long, b long")
+    edges = sketched.repartition(n_out, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(ta.frees(_bucket_edges(similarity - slack)), "a long, b long")
     near = cut(components(edges))
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     clusters = tiles(join_groups(near, sizes, "root", "size", near.count()).select("node", F.col("root").alias("cluster"), "size"), "size", CLUSTER_TILE).select("node", "cluster", "size", "chunk", "lo", "hi")
     # a text is read from a row with its least id
     of = ["t0", "t1", "id"]
     clusters = cut(clusters.join(texts.select("node", "t0", "t1", F.coalesce("least", F.lit(0)).alias("id")), "node"))
-    read = own.select("t0", "t1", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").mapInArrow(_once, "t0 long, t1 long, id long, text string")
+    read = own.select("t0", "t1", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").mapInArrow(ta.frees(_once), "t0 long, t1 long, id long, text string")
     read = read.join(clusters.select(of).distinct(), of, "left_semi").dropDuplicates(of)
     tiled = read.join(clusters, of).select("node", "cluster", "chunk", "lo", "hi", "text").repartition(n_out, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    linked = cut(tiled.mapInArrow(_cluster_links(n, similarity), "node long, root long, links long"))
+    linked = cut(tiled.mapInArrow(ta.frees(_cluster_links(n, similarity)), "node long, root long, links long"))
     links = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(texts.select("node", "least"), "node"))
     names = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))

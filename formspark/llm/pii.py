@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from . import text_arrays as ta
 from .common import cut
 
+#: Texts are searched in pieces of about so many bytes.
+PIECE = 1 << 18
+
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = KINDS[:4]
 
@@ -129,7 +132,7 @@ FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.string())]))
-    for batch in ta.chunks(batches):
+    for batch in ta.chunks(batches, limit=PIECE):
         n, sha, base, more = [[] for _ in BASE], [], [], []
         for x in batch.column(1):
             text = x.as_py() or ""
@@ -210,7 +213,7 @@ def find_private(docs: DataFrame) -> DataFrame:
     A null text is empty. Spans are in code points, end exclusive. Rows don't depend on each other but for the votes
     that all of them add to the reliabilities; repeated rows count each time.
     """
-    found = cut(docs.select("doc_id", "text").mapInArrow(scan, FOUND))
+    found = cut(docs.select("doc_id", "text").mapInArrow(ta.frees(scan), FOUND))
     taken = F.array(*[F.lit(f"{k}{v}") for k, v in accepted(found)]).cast("array<string>")
     spans = F.array_sort(F.concat("base", F.filter("more", lambda s: F.array_contains(taken, F.concat(s["kind"].cast("string"), s["votes"])))))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -220,10 +223,10 @@ def find_private(docs: DataFrame) -> DataFrame:
 
 def mask_private(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets, and n_chars, where there is such a column, counted anew."""
-    taken = frozenset(accepted(cut(docs.select("doc_id", "text").mapInArrow(scan, FOUND).select("base", "more"))))
+    taken = frozenset(accepted(cut(docs.select("doc_id", "text").mapInArrow(ta.frees(scan), FOUND).select("base", "more"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ta.chunks(batches):
+        for batch in ta.chunks(batches, limit=PIECE):
             at = batch.schema.get_field_index("text")
             out = [None if (t := x.as_py()) is None else _masked(t, taken) for x in batch.column(at)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
@@ -232,7 +235,7 @@ def mask_private(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(k, field, pa.array([None if t is None else len(t) for t in out], field.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(ta.frees(run), docs.schema)
 
 
 def _masked(text: str, taken: frozenset[tuple[int, str]]) -> str:

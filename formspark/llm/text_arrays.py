@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ _PRIME = 2**31 - 1
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, _PRIME, (2, 256), dtype=_U)
 _BASE = _rng.integers(1 << 20, _PRIME, 2).tolist()
+#: Powers that a worker keeps of each base; texts beyond that have theirs computed anew.
+KEPT = 1 << 22
 _factors = {x: np.ones(1, np.uint32) for base in _BASE for x in (base, pow(base, -1, _PRIME))}
 
 
@@ -34,6 +37,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             lo = hi
 
 
+def frees(run: Callable) -> Callable:
+    """run, a function of batches, whose task gives back at its end what Arrow's pool keeps; the worker lives on without."""
+
+    @wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return own
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after the other, and the n + 1 places where they begin and end. Null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -60,7 +74,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     p = _factors[base]
     while len(p) < n:
         p = np.concatenate((p, (p * _U(pow(base, len(p), _PRIME)) % _U(_PRIME)).astype(np.uint32)))
-    _factors[base] = p
+    if len(p) <= KEPT:
+        _factors[base] = p
     return p
 
 

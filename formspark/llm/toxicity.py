@@ -411,7 +411,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
             column = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(shipped.value.scores(column) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(ta.frees(run), docs.schema)
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -153,3 +153,44 @@ def test_shots_split_where_the_histogram_moves():
     dark, light = [rng.integers(0, 60, (64, 64)).astype(np.uint8) for _ in range(6)], [rng.integers(180, 250, (64, 64)).astype(np.uint8) for _ in range(5)]
     assert media.shots(dark + light) == [(0, 6), (6, 11)]
     assert media.shots(dark[:1]) == [(0, 1)]
+
+
+def test_a_tile_of_long_texts_is_cut_into_grams_piece_by_piece(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from formspark.llm import near
+    from formspark.llm import text_arrays as ta
+
+    monkeypatch.setattr(ta, "_factors", {k: np.ones(1, np.uint32) for k in ta._factors})
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 9000)) for _ in range(40)]
+    texts += [texts[0] + " more", "two words", "", None]
+    column, zero = pa.array(texts, pa.string()), [0] * len(texts)
+    tile = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *[pa.array(zero, pa.int64())] * 4, column], ["node", "cluster", "chunk", "lo", "hi", "text"])
+    tracemalloc.start()
+    rows = pa.Table.from_batches(list(near._cluster_links(5, 0.8)(iter([tile])))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows["links"] == [1] + [0] * 39 + [1, 0, 0, 0] and rows["root"][40] == 0
+    assert peak < 60 << 20
+    # what a worker keeps grows with a piece, not with a tile
+    assert max(map(len, ta._factors.values())) <= 4 * near.PIECE
+    whole = near.shingles(column, 5)
+    assert all((a == b).all() for a, b in zip(whole, near.shingles_by_piece(pa.table({"text": column}), 5)))
+
+
+def test_common_grams_of_a_few_texts_need_a_small_table():
+    import tracemalloc
+
+    from formspark.llm import near
+
+    sets = [{1, 2, 3, 9}, {2, 3, 4}, {3, 7}]
+    g, d = (np.array(x) for x in zip(*((y, i) for i, own in enumerate(sets) for y in sorted(own))))
+    tracemalloc.start()
+    both = near.overlaps(g.astype(np.uint64), d, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [both[0, 1], both[0, 2], both[1, 2]] == [2, 1, 1] and (both == both.T).all()
+    assert peak < 1 << 20
