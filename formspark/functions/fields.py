@@ -71,14 +71,25 @@ SPECS = (
 )
 
 
-def gate(pattern: str) -> tuple[str, ...]:
+def gate(pattern: str, spaced: bool = False) -> tuple[str, ...]:
     """Words with one of which, in lower case, any match of the pattern begins; none for patterns without labels. ("@",): a
-    match holds an @ somewhere."""
+    match holds an @ somewhere. spaced: white space in the text is single spaces, so that labels of several words are whole."""
     m = re.match(r"\(\?:([^)]*)\)", pattern)
     if not m:
         return ("@",) if "@" in pattern else ()
     words = [re.match(r"([a-z0-9-]*)(?![?*{])", a) for a in m[1].split("|")]
-    return tuple(sorted({w[1] for w in words})) if all(w and w[1] for w in words) else ()
+    if not all(w and w[1] for w in words):
+        return ()
+    if spaced:
+        words = [re.match(r"([a-z0-9% -]*)(?![?*{])", a.replace(r"\s+", " ")) for a in m[1].split("|")]
+    own = {w[1] for w in words}
+    return tuple(sorted(w for w in own if not spaced or not any(w != v and w.startswith(v) for v in own)))
+
+
+def led(pattern: str, words: tuple[str, ...]) -> str:
+    """The pattern, tried only where the first letters, each by itself, are ones that some word begins with."""
+    heads = ["".join(sorted({w[i] for w in words})) for i in range(min(4, *map(len, words)))]
+    return "(?=" + "".join(f"[{re.escape(h)}]" for h in heads) + ")" + pattern
 
 
 def collapse(text: Column) -> Column:
@@ -86,74 +97,73 @@ def collapse(text: Column) -> Column:
 
 
 def clean(value: Column, how: str) -> Column:
+    kept = {"phone": r"[^\d+]", "date": r"[^\d/\-.]", "id": r"[^\d\-]", "number": r"[^\d.]"}
+    if how in kept:  # what these keep, the steps below would keep, too
+        return F.regexp_replace(value, kept[how], "")
     v = F.trim(F.regexp_replace(F.regexp_replace(value, r"(?U)[^\w\s@.,\-+()/]", ""), r"(?U)\s+", " "))
-    return {
-        "base": v,
-        "name": F.initcap(v),
-        "lower": F.lower(v),
-        "phone": F.regexp_replace(v, r"[^\d+]", ""),
-        "date": F.regexp_replace(v, r"[^\d/\-.]", ""),
-        "address": F.trim(F.btrim(v, F.lit(","))),
-        "id": F.regexp_replace(v, r"[^\d\-]", ""),
-        "number": F.regexp_replace(v, r"[^\d.]", ""),
-        "upper": F.upper(v),
-    }[how]
+    return {"base": lambda: v, "name": lambda: F.initcap(v), "lower": lambda: F.lower(v), "address": lambda: F.trim(F.btrim(v, F.lit(","))), "upper": lambda: F.upper(v)}[how]()
 
 
 def is_valid(v: Column, check: str) -> Column:
     n = F.char_length(v)
-    digits = F.char_length(F.regexp_replace(v, r"\D", ""))
+    digits = lambda: F.char_length(F.regexp_replace(v, r"\D", ""))
     own = {
-        "any": F.lit(True),
-        "name": n.between(2, 50) & v.rlike("[a-zA-Z]"),
-        "email": (n >= 5) & F.coalesce(F.try_element_at(F.split(v, "@"), F.lit(2)).contains("."), F.lit(False)),
-        "phone": digits.between(10, 15),
-        "date": n.between(8, 12),
-        "address": n >= 10,
-        "digits12": digits == 12,
-        "digits6": digits == 6,
-        "short": n.between(3, 100),
-        "percent": F.coalesce(v.try_cast("double").between(0, 100), F.lit(False)),
-    }[check]
-    return (n >= 2) & own
+        "any": lambda: n >= 2,
+        "name": lambda: n.between(2, 50) & v.rlike("[a-zA-Z]"),
+        "email": lambda: (n >= 5) & F.coalesce(F.try_element_at(F.split(v, "@"), F.lit(2)).contains("."), F.lit(False)),
+        "phone": lambda: (n >= 2) & digits().between(10, 15),
+        "date": lambda: n.between(8, 12),
+        "address": lambda: n >= 10,
+        "digits12": lambda: (n >= 2) & (digits() == 12),
+        "digits6": lambda: (n >= 2) & (digits() == 6),
+        "short": lambda: n.between(3, 100),
+        "percent": lambda: (n >= 2) & F.coalesce(v.try_cast("double").between(0, 100), F.lit(False)),
+    }
+    return own[check]()
 
 
 def extract_fields(df: DataFrame, text: str = "raw_text", specs: tuple[FieldSpec, ...] = SPECS, mode: str = "collapsed", form_type: Column | None = None, only: dict[str, Column] | None = None) -> DataFrame:
     """Adds one column for each spec: the first pattern's value that is valid once cleaned, else NULL.
 
     mode: "collapsed" matches on the text with all white space made single spaces, "lines" on the text as it is.
-    form_type: a boolean column; rows where it isn't true get NULL; only: likewise for single fields. Each pattern runs only on texts with its label, and from
-    the first of them on.
+    form_type: a boolean column; rows where it isn't true get NULL; only: likewise for single fields. Each pattern runs only on texts with its label, from
+    the first of them on, and where no pattern before it gave a valid value.
     """
     whole = collapse(F.col(text)) if mode == "collapsed" else F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_text": whole}).withColumns({"_low": F.lower("_text")})
-    # lowering a letter may give two; places are told from where it gives none
-    df = df.withColumns({"_even": F.char_length("_low") == F.char_length("_text")})
-    gates = {(s.name, k): gate(p) for s in specs for k, p in enumerate(s.patterns)}
-    first = {w: f"_at_{i}" for i, w in enumerate(sorted({w for need in gates.values() for w in need if w != "@"}))}
-    df = df.withColumns({at: F.nullif(F.locate(w, F.col("_low")), F.lit(0)) for w, at in first.items()})
-    cleaned = {}
-    for s in specs:
-        for k, p in enumerate(s.patterns):
-            places = [F.col(first[w]) for w in gates[s.name, k] if w in first]
-            at = F.least(*places) if len(places) > 1 else places[0] if places else None
-            own = F.col("_text") if at is None else F.when(F.col("_even"), F.substring("_text", at, F.lit(1 << 30))).otherwise(F.col("_text"))
-            on = at.isNotNull() if at is not None else F.col("_low").contains("@") if "@" in p else F.col("_low").rlike(r"\d") if r"\d" in p else F.lit(True)
-            found = clean(F.regexp_extract(own, "(?im)" + p, 1), s.clean)
-            for wanted in (form_type, (only or {}).get(s.name)):
-                on = on if wanted is None else on & wanted
-            cleaned[f"_{s.name}_{k}"] = F.when(on, found)
-    df = df.withColumns(cleaned)
-    out = {s.name: F.coalesce(*[F.when(is_valid(F.col(f"_{s.name}_{k}"), s.check), F.col(f"_{s.name}_{k}")) for k in range(len(s.patterns))]) for s in specs}
-    return df.withColumns(out).drop("_text", "_low", "_even", *first.values(), *cleaned)
+    # lowering a letter may give two, and a place counts letters beyond 16 bits as two; places are told where neither happens
+    df = df.withColumns({"_ascii": F.octet_length("_text") == F.char_length("_text"), "_bytes": F.col("_text").cast("binary")})
+    df = df.withColumns({"_even": F.col("_ascii") | ((F.char_length("_low") == F.char_length("_text")) & ~F.col("_text").rlike(r"[\x{10000}-\x{10FFFF}]"))})
+    texts, low, rest = F.col("_text"), F.col("_low"), F.lit(1 << 30)
+    places: dict[tuple[str, ...], Column] = {}
+
+    def value(s: FieldSpec, pattern: str) -> Column:
+        words, own, on = gate(pattern, mode == "collapsed"), texts, None
+        if words == ("@",):
+            on = low.contains("@")
+        elif words:
+            if words not in places:  # a literal of four letters is found in leaps; locate would compare at each letter
+                at = F.array_min(F.array_remove(F.array(*[F.regexp_instr(low, F.lit(w)) if len(w) > 3 else F.when(low.contains(w), F.regexp_instr(low, F.lit(w))) for w in words]), 0))
+                # ASCII is cut by bytes: no letters need be counted
+                places[words] = F.when(F.col("_ascii"), F.substring(F.col("_bytes"), at, rest).cast("string")).when(F.col("_even"), F.substring(texts, at, rest)).when(at.isNotNull(), texts)
+            own = places[words]
+        elif r"\d" in pattern:
+            on = low.rlike(r"\d")
+        for wanted in (form_type, (only or {}).get(s.name)):
+            on = wanted if on is None else on if wanted is None else wanted & on
+        found = clean(F.regexp_extract(own if on is None else F.when(on, own), "(?im)" + (pattern if own is texts else led(pattern, words)), 1), s.clean)
+        return F.get(F.filter(F.array(found), lambda v: is_valid(v, s.check)), F.lit(0))
+
+    # the filters by a function also keep Spark from compiling all patterns into one method, which the JVM would only interpret
+    out = {s.name: F.coalesce(*[value(s, p) for p in s.patterns]) for s in specs}
+    return df.withColumns(out).drop("_text", "_low", "_ascii", "_even", "_bytes")
 
 
 def extract_by_type(df: DataFrame, form_type: str, profiles: dict[str, tuple[FieldSpec, ...]], text: str = "raw_text", mode: str = "collapsed", default: str | None = None) -> DataFrame:
     """Adds the fields of all profiles; a row gets those of the profile that the column form_type names, the others are NULL.
 
     A row of another type, or none, gets the default profile's, or NULL. Profiles may hold one field by different patterns;
-    a spec that several share is matched once, labels are located once for all, and a row runs its own profile's patterns
-    only. In a profile that names a field twice the first valid value counts.
+    a spec that several share is matched once, and a row runs its own profile's patterns only. In a profile that names a field twice the first valid value counts.
     """
     if default is not None and default not in profiles:
         raise ValueError(f"no profile {default}")
